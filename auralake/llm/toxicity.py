@@ -74,13 +74,25 @@ class Machine:
         return learn.sigmoid(self.a * out + self.b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.3, decay: float = 1e-6, mindf: int = 6, seed: int = 5) -> Machine:
+def telling(rows: list[np.ndarray], y: np.ndarray, mindf: int, select: int) -> np.ndarray:
+    """Which buckets are terms of the machine: the `select` whose log-odds stand out most from their error.
+
+    A term of fewer than mindf rows tells those rows apart and no others.
+    """
+    n = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if (v > 0) == k] or [np.zeros(0, int)]), minlength=1 << BITS) for k in (False, True)]
+    size = [(y <= 0).sum(), (y > 0).sum()]
+    odds = [np.log((n[k] + 0.5) / (size[k] - n[k] + 0.5)) for k in (0, 1)]
+    error = np.sqrt(sum(1 / (n[k] + 0.5) + 1 / (size[k] - n[k] + 0.5) for k in (0, 1)))
+    z = np.where(n[0] + n[1] >= mindf, np.abs(odds[1] - odds[0]) / error, 0)
+    return (z >= max(2.0, np.sort(z)[-select])) & (z > 0)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.3, decay: float = 1e-6, mindf: int = 4, select: int = 1024, seed: int = 5) -> Machine:
     """Adagrad over minibatches; a fifth of the rows is set aside for the calibration."""
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return Machine(0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK)), np.zeros(1 << BITS, bool), 0.0, float(np.log(p / (1 - p))))
-    # A term of a few rows tells those rows apart and no others: it is no term of the machine.
-    common = np.bincount(np.concatenate(rows), minlength=1 << BITS) >= mindf
+    rows, common = [*rows], telling(rows, y, mindf, select)
     rows = [r[common[r]] for r in rows]
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(1 << BITS), rng.normal(0, 0.05, (1 << BITS, RANK))
