@@ -110,11 +110,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_pylist()
         for i, j, data, offs in chunks(columns_text(batch, "text")):
             words, at, found, bounds = text_shingles(data, offs)
+            # The sequence of words as two sums of hashes of (word, place in its text).
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(words ^ (np.arange(len(words), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)) * np.uint64(s)))]) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            c1, c2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64).tolist() for s in sums)
             for k in range(j - i):
                 if at[k] == at[k + 1]:
                     continue
-                copy = tuple(int((s[at[k + 1]] - s[at[k]]).astype(np.int64)) for s in sums)
+                copy = (c1[k], c2[k])
                 if copy not in known:
                     h, n = np.unique(found[bounds[k] : bounds[k + 1]], return_counts=True)
                     known[copy] = bands(dart_signature(h, n.astype(np.float64)))
@@ -211,6 +213,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return ids.join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs but those of a class with a smaller id; rows without an id stay, and so do repeated rows of an id that stays."""
+    found = near_duplicates(docs, id, text)
+    gone = cut(found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, docs[id] == gone["__gone"], "left_anti")
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -118,6 +118,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id: str = "
     return learn.score(docs, keep or [F.col(id)], text, "score double", lambda data, offs: [pa.array(model.value.scores(data, offs))]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", **how) -> DataFrame:
+    """The rows of docs that are predicted good, as they are; rows travel as one struct, so any column names do."""
+    scored = score_quality(docs, labels, train, text=text, keep=[F.struct("*").alias("__row")], **how)
+    return scored.where(F.col("predicted") == 1).select("__row.*")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = learn.held_out("doc_id", 4, 2)
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~out, keep=[F.col("doc_id"), out.alias("held_out")])
