@@ -1 +1 @@
-
+"""Continuous forms of the request metrics, logs, feedback and load."""
