@@ -12,7 +12,7 @@ doc_id in it.
    coordinate keeps its earliest. The rank up to which darts are thrown is raised until every
    coordinate has one; equal coordinates of two documents have the probability of their similarity.
 3. Bands of ROWS coordinates: documents that agree on a band meet in its bucket. Each member of a
-   bucket is compared with the bucket's smallest id, by 192 one-bit coordinates first (which lose a
+   bucket is compared with the bucket's smallest id, by one-bit coordinates first (120, which lose a
    pair of similarity 0.8 with probability below 1e-6) and then exactly, over the whole texts.
 4. Connected components over the links, by least neighbours and pointer jumping, written out each
    round. Buckets that then still hold more than one component give the pairs across components that
@@ -36,63 +36,81 @@ from pyspark.sql import functions as F
 from auralake.llm.common import chunks, columns_text, cut, table
 from auralake.llm.wordhash import mix, text_shingles
 
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 24, 5
 DARTS = BANDS * ROWS
-#: One-bit coordinates in which a compared pair may differ: 0.8 expects 19.2, with deviation 4.2.
-BITS_APART = 42
+#: One-bit coordinates in which a compared pair may differ: 0.8 expects 12 of 120, with deviation 3.3.
+BITS_APART = 30
 LEAST = 0.8
+#: Expected darts of a cell: a strip of an element's weight by a slab of rank.
+SLAB = 4.0
+WORDS = -(-DARTS // 64)
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+def multisets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' hashes the text, hash and number of occurrences of each distinct one."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((hashes, of))
+    of, h = of[order], hashes[order]
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return of[new], h[new], np.diff(np.append(new, len(h)))
 
 
-def dart_signature(hashes: np.ndarray, weights: np.ndarray, darts: int = DARTS) -> np.ndarray:
-    """For each coordinate the identity of the earliest dart that hits the weighted set.
+def dart_signatures(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int, darts: int = DARTS) -> np.ndarray:
+    """For each of n weighted sets and each coordinate the identity of the earliest dart that hits the set.
 
-    An element's weight axis is cut at 1, 2, 4, 8, ...; on each piece darts arrive with exponential
-    gaps at a rate of the piece's width, so that sets agree on all darts they both contain.
+    of, hashes and weights name the elements, the weights being positive. An element's weight axis is
+    cut at 1, 2, 4, 8, ... and the rank axis into slabs; in each cell darts arrive with exponential gaps
+    at a rate of the piece's width, so that sets agree on all darts they both contain. All sets are thrown at side by side; those
+    with a coordinate left empty are thrown at again up to twice the rank.
     """
-    total = float(weights.sum())
-    limit = (darts * np.log(darts) + 2 * darts) / total
-    top = float(weights.max())
-    while True:
-        rank, ident = np.full(darts, np.inf), np.zeros(darts, np.uint64)
+    total = np.bincount(of, weights, n)
+    limits = (np.log(darts) + 3) * darts / np.maximum(total, 1e-300)
+    rank, ident = np.full((n, darts), np.inf), np.zeros((n, darts), np.uint64)
+    todo = total > 0
+    while todo.any():
+        some = todo[of]
+        where, when, what = [], [], []
         low, width = 0.0, 1.0
-        while low < top:
-            some = weights > low
-            h, w = hashes[some], weights[some]
-            at, key = np.zeros(len(h)), h ^ mix(np.full(1, int(low) * 2 + 1, np.uint64))
+        while some.any():
+            o, h, w = of[some], hashes[some], weights[some].astype(float)
+            cells = np.ceil(limits[o] * width / SLAB).astype(np.int64)
+            slab = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+            o, w = np.repeat(o, cells), np.repeat(w, cells)
+            key = mix(np.repeat(h ^ mix(np.full(1, int(low) * 2 + 1, np.uint64)), cells) + slab.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            at, end = slab * (SLAB / width), np.minimum(limits[o], (slab + 1) * (SLAB / width))
             k = 0
-            while len(h):
+            while len(o):
                 k += 1
                 dart = mix(key + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
-                at = at - np.log(_uniform(dart)) / width
-                near = at < limit
-                h, w, at, key, dart = h[near], w[near], at[near], key[near], dart[near]
-                if not len(h):
-                    break
-                hit = low + _uniform(dart ^ np.uint64(0xA5A5A5A55A5A5A5A)) * width < w
-                d, r = dart[hit], at[hit]
-                where = (mix(d ^ np.uint64(0x5DEECE66D1CE4E5B)) % np.uint64(darts)).astype(np.int64)
-                order = np.lexsort((d, -r))  # the earliest is written last
-                better = r[order] < rank[where[order]]
-                rank[where[order][better]] = r[order][better]
-                ident[where[order][better]] = d[order][better]
+                at = at - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
+                near = np.flatnonzero(at < end)
+                o, w, at, end, key, dart = o[near], w[near], at[near], end[near], key[near], dart[near]
+                spot = mix(dart ^ np.uint64(0xA5A5A5A55A5A5A5A))  # the upper half is the place in weight, the lower the coordinate
+                hit = np.flatnonzero(low + ((spot >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32 * width < w)
+                where.append(o[hit] * darts + ((spot[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(darts)).astype(np.int64))
+                when.append(at[hit])
+                what.append(dart[hit])
             low, width = (1.0, 1.0) if low == 0.0 else (2 * low, 2 * low)
-        if np.isfinite(rank).all():
-            return ident
-        limit *= 2
-
-
-def bands(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each band, and the lowest bits of all coordinates as 64-bit words."""
-    rows = signature.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+            some = todo[of] & (weights > low)
+        where, when, what = (np.concatenate(c) for c in (where, when, what))
+        flat = rank.ravel()
+        np.minimum.at(flat, where, when)
+        first = when == flat[where]
+        ident.ravel()[where[first]] = what[first]
+        todo &= ~np.isfinite(rank).all(1)
+        limits[todo] *= 2
+    return ident
+
+
+def bands(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each signature a 64-bit key for each band, and the lowest bits of all coordinates as 64-bit words."""
+    rows = signatures.reshape(-1, BANDS, ROWS)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
     for j in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, j])
-    bits = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8))
-    return key.view(np.int64), bits.view("<i8")
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, :, j])
+    bits = np.zeros((len(rows), WORDS * 64), np.uint8)
+    bits[:, :DARTS] = mix(signatures) & np.uint64(1)
+    return key.view(np.int64), np.packbits(bits, axis=1).view("<i8")
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -105,30 +123,19 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        known: dict[tuple[int, int], tuple] = {}
-        ids = batch.column("doc_id").to_pylist()
+        ids = batch.column("doc_id").to_numpy()
         for i, j, data, offs in chunks(columns_text(batch, "text")):
             words, at, found, bounds = text_shingles(data, offs)
+            own = np.flatnonzero(np.diff(at))
+            if not len(own):
+                continue
             # The sequence of words as two sums of hashes of (word, place in its text).
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(words ^ (np.arange(len(words), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)) * np.uint64(s)))]) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-            c1, c2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64).tolist() for s in sums)
-            for k in range(j - i):
-                if at[k] == at[k + 1]:
-                    continue
-                copy = (c1[k], c2[k])
-                if copy not in known:
-                    h, n = np.unique(found[bounds[k] : bounds[k + 1]], return_counts=True)
-                    known[copy] = bands(dart_signature(h, n.astype(np.float64)))
-                    out[3].append(known[copy][0].tolist())
-                    out[4].append(known[copy][1].tolist())
-                else:  # the copies of a batch need not carry the signature again
-                    out[3].append(None)
-                    out[4].append(None)
-                out[0].append(ids[i + k])
-                out[1].append(copy[0])
-                out[2].append(copy[1])
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.list_(pa.int64())) for c in out[3:])], names=["doc_id", "c1", "c2", "bands", "bits"])
+            place = np.arange(len(words), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
+            sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(words ^ place * np.uint64(s)))]) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            c1, c2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64)[own] for s in sums)
+            keys, bits = bands(dart_signatures(*multisets(found, bounds), j - i)[own])
+            lists = [pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * m.shape[1], m.ravel()) for m in (keys, bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][own]), pa.array(c1), pa.array(c2), *lists], names=["doc_id", "c1", "c2", "bands", "bits"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +165,15 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label: the smallest id that links connect a node with; only nodes with links appear.
 
-    Each round a node takes the least label of itself and its neighbours, then its label's label.
+    Each round a node takes the least label of itself and its neighbours, then what that label was labelled.
     """
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("label")))
     for _ in range(rounds):
         near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("least"))
-        old = labels.withColumnRenamed("label", "old")
-        step = cut(old.join(near, "node").select("node", "old", F.least("old", "least").alias("label")))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        step = labels.withColumnRenamed("label", "old").join(near, "node").select("node", "old", F.least("old", "least").alias("label"))
+        # A label's own label is in the last round's table: the node it names has one.
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         new = cut(step.join(jump, "label", "left").select("node", "old", F.coalesce("root", "label").alias("label")))
         labels = new.select("node", "label")
         if new.where("old <> label").limit(1).count() == 0:
@@ -189,7 +196,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         """Pairs whose one-bit coordinates allow the similarity, each once."""
         of = heads.select(F.col("rep"), "bits")
         p = pairs.where("a < b").distinct().join(of.withColumnsRenamed({"rep": "a", "bits": "ba"}), "a").join(of.withColumnsRenamed({"rep": "b", "bits": "bb"}), "b")
-        apart = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(DARTS // 64)), F.lit(0))
+        apart = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(WORDS)), F.lit(0))
         return p.where(apart <= BITS_APART).select("a", "b")
 
     texts = rows.select("doc_id", "text")
