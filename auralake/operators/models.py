@@ -70,8 +70,8 @@ def decode_text(ids: Column, make: Callable[[], TextTokenizer]) -> Column:
     return run(ids)
 
 
-def encode_wave(wave: Column, rate: Column, make: Callable[[], AudioCodec], v: Vocabulary = VOCABULARY) -> Column:
-    """Flat audio ids of a waveform: the codec's books, interleaved."""
+def encode_books(wave: Column, rate: Column, make: Callable[[], AudioCodec]) -> Column:
+    """The codec's books [book][frame] of a waveform."""
 
     @F.pandas_udf(T.ArrayType(IDS))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -79,7 +79,13 @@ def encode_wave(wave: Column, rate: Column, make: Callable[[], AudioCodec], v: V
         for waves, rates in batches:
             yield pd.Series([None if w is None else [list(map(int, b)) for b in codec.encode(np.asarray(w), int(r))] for w, r in zip(waves, rates, strict=True)])
 
-    return tokens.encode_audio(run(wave, rate), v)
+    return run(wave, rate)
+
+
+def with_audio_ids(rows: DataFrame, make: Callable[[], AudioCodec], wave: str = "wave", rate: str = "rate", name: str = "audio_ids", v: Vocabulary = VOCABULARY) -> DataFrame:
+    """rows with the flat audio ids of their waveforms: the codec's books, interleaved."""
+    stored = _stored(rows, "__books", encode_books(F.col(wave), F.col(rate), make))
+    return stored.withColumn(name, tokens.encode_audio(F.col("__books"), v)).drop("__books")
 
 
 def decode_books(books: Column, make: Callable[[], AudioCodec]) -> Column:
@@ -105,6 +111,11 @@ def generate(prompt: Column, make: Callable[[], Generator], most: int = 1024) ->
     return run(prompt)
 
 
+def _stored(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that the optimiser does not move into its uses: a Python step cannot take a lambda as its argument."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def speak(requests: DataFrame, tokenizer: Callable[[], TextTokenizer], model: Callable[[], Generator], codec: Callable[[], AudioCodec], marks: dict[str, int], v: Vocabulary = VOCABULARY, audio: str | None = None) -> DataFrame:
     """Text requests (text, speaker_id) to waveforms: prompt, ids, books, valid, wave.
 
@@ -114,17 +125,18 @@ def speak(requests: DataFrame, tokenizer: Callable[[], TextTokenizer], model: Ca
     out = requests.withColumn("__text", encode_text(sanitize(F.col("text")), tokenizer)).withColumn("__speaker", encode_text(F.coalesce("speaker_id", F.lit(v.unknown_speaker)), tokenizer))
     out = out.withColumn("prompt", tokens.with_audio_context(prompt, F.col(audio), v=v) if audio else prompt).drop("__text", "__speaker")
     out = out.withColumn("ids", generate(F.col("prompt"), model))
-    out = out.withColumn("books", tokens.decode_audio(tokens.until_stop(F.col("ids"), marks[v.stop]), v))
+    out = _stored(out, "books", tokens.decode_audio(tokens.until_stop(F.col("ids"), marks[v.stop]), v))
     out = out.withColumn("valid", tokens.non_negative(F.col("books")))
-    return out.withColumn("wave", F.when(F.col("valid"), decode_books(F.col("books"), codec)))
+    return out.withColumn("wave", decode_books(F.col("books"), codec))
 
 
 def continue_audio(requests: DataFrame, model: Callable[[], Generator], codec: Callable[[], AudioCodec], marks: dict[str, int], v: Vocabulary = VOCABULARY) -> DataFrame:
     """Waveforms (wave, rate) and what a model makes follow them."""
-    out = requests.withColumn("prompt", tokens.continuation_prompt(encode_wave(F.col("wave"), F.col("rate"), codec, v), F.lit(marks[v.audio])))
+    heard = with_audio_ids(requests, codec, v=v)
+    out = _stored(heard, "prompt", tokens.continuation_prompt(F.col("audio_ids"), F.lit(marks[v.audio]))).drop("audio_ids", "wave")
     out = out.withColumn("ids", generate(F.col("prompt"), model))
-    out = out.withColumn("books", tokens.decode_audio(tokens.until_stop(F.col("ids"), marks[v.stop]), v))
-    return out.withColumn("valid", tokens.non_negative(F.col("books"))).withColumn("wave", F.when(F.col("valid"), decode_books(F.col("books"), codec)))
+    out = _stored(out, "books", tokens.decode_audio(tokens.until_stop(F.col("ids"), marks[v.stop]), v))
+    return out.withColumn("valid", tokens.non_negative(F.col("books"))).withColumn("wave", decode_books(F.col("books"), codec))
 
 
 def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Generator], most: int, overlap: int, marks: tuple[int, int, int], limit: int = 1024) -> DataFrame:

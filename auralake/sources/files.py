@@ -74,13 +74,17 @@ def refused(uploads: DataFrame, path: str = "path") -> DataFrame:
     return uploads.where(~suffix(F.col(path)).isin(*AUDIO_SUFFIXES)).withColumn("reason", F.concat(F.lit("unsupported file type: "), suffix(F.col(path))))
 
 
-@F.pandas_udf("data array<double>, shape array<int>")
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+@F.pandas_udf(_struct(data=T.ArrayType(T.DoubleType()), shape=T.ArrayType(T.IntegerType())))
 def _npy(content: pd.Series) -> pd.DataFrame:
     loaded = [np.load(io.BytesIO(c), allow_pickle=False) for c in content]
     return pd.DataFrame({"data": [a.astype(float).ravel() for a in loaded], "shape": [list(a.shape) for a in loaded]})
 
 
-@F.pandas_udf("TEXT array<bigint>, SEMANTIC array<bigint>, ACOUSTIC array<bigint>")
+@F.pandas_udf(_struct(**{n: T.ArrayType(T.LongType()) for n in ("TEXT", "SEMANTIC", "ACOUSTIC")}))
 def _npz(content: pd.Series) -> pd.DataFrame:
     names, rows = ("TEXT", "SEMANTIC", "ACOUSTIC"), []
     for c in content:
@@ -89,7 +93,7 @@ def _npz(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(names))
 
 
-@F.pandas_udf("wave array<array<float>>, rate int")
+@F.pandas_udf(_struct(wave=T.ArrayType(T.ArrayType(T.FloatType())), rate=T.IntegerType()))
 def _wav(content: pd.Series) -> pd.DataFrame:
     rows = []
     for c in content:
