@@ -12,12 +12,15 @@ doc_id in it.
    coordinate keeps its earliest. The rank up to which darts are thrown is raised until every
    coordinate has one; equal coordinates of two documents have the probability of their similarity.
 3. Bands of ROWS coordinates: documents that agree on a band meet in its bucket. Each member of a
-   bucket is compared with the bucket's smallest id, by one-bit coordinates first (120, which lose a
-   pair of similarity 0.8 with probability below 1e-6) and then exactly, over the whole texts.
+   bucket is compared with three leaders of it, by one-bit coordinates first (120, which lose a pair of
+   similarity 0.8 with probability below 1e-6) and then exactly, over the whole texts.
 4. Connected components over the links, by least neighbours and pointer jumping, written out each
-   round. Buckets that then still hold more than one component give the pairs across components that
-   have not been compared; they go the same way, and the components are joined up. Within a component
-   no pair needs comparing, so groups of near copies cost as many comparisons as they have members.
+   round. Within a component no pair needs comparing, so groups of near copies cost as many comparisons
+   as they have members. Buckets that still hold several components give the pairs across these: small
+   ones all of them; in large ones a document's candidates are those that share one of its rarest
+   shingles. With shingles in order of rising frequency, two documents of similarity 0.8 have their
+   first common shingle before either has used up 0.2 of its weight, so none is missed, and a document
+   with more than that of its own has no candidates. The components are then joined up.
 
 A null or empty text, or one without words, is a class of its own. A text of one to four words has
 one shingle. Repeated rows of one id are one document per text; a null id takes part under no id and
@@ -41,6 +44,8 @@ DARTS = BANDS * ROWS
 #: One-bit coordinates in which a compared pair may differ: 0.8 expects 12 of 120, with deviation 3.3.
 BITS_APART = 30
 LEAST = 0.8
+#: Members of a mixed bucket up to which its pairs are compared as they are.
+PAIRED = 32
 #: Expected darts of a cell: a strip of an element's weight by a slab of rank.
 SLAB = 4.0
 WORDS = -(-DARTS // 64)
@@ -155,6 +160,34 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, labels = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
+        for i, j, data, offs in chunks(columns_text(batch, "text")):
+            _, _, found, bounds = text_shingles(data, offs)
+            of, h, n = multisets(found, bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][of]), pa.array(labels[i:j][of]), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["rep", "label", "h", "w"])
+
+
+def rare_candidates(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents (rep, label) of different labels that share a shingle of both prefixes."""
+    rows = cut(mixed.join(texts, mixed["rep"] == texts["doc_id"]).select("rep", "label", "text").mapInArrow(_shingled, "rep long, label long, h long, w int"))
+    common = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    # A shingle of one document comes first in its order and pairs with nothing: its weight is all that counts.
+    whole = rows.groupBy("rep").agg(F.sum("w").alias("total"))
+    known = rows.join(common, "h").groupBy("rep", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h", "w"))).alias("l"), F.sum("w").alias("shared"))
+    known = known.join(whole, "rep")
+    # Weight before each shingle, those of one document included; a prefix ends where the rest is below LEAST.
+    before = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i)["w"])
+    sums = F.aggregate(before, F.struct(F.array().cast("array<bigint>").alias("s"), (F.col("total") - F.col("shared")).alias("n")), lambda a, w: F.struct(F.concat(a["s"], F.array(a["n"])).alias("s"), (a["n"] + w).alias("n")))["s"]
+    prefix = known.withColumn("before", sums).select("rep", "label", F.explode_outer(F.filter(F.arrays_zip("l", "before"), lambda x: x["before"] <= F.col("total") * (1 - LEAST) + 1e-9)).alias("x"))
+    prefix = cut(prefix.where("x IS NOT NULL").select("rep", "label", F.col("x.l.h").alias("h")))
+    crossing = cut(prefix.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("h"))
+    left = cut(prefix.join(crossing, "h"))
+    other = left.withColumnsRenamed({"rep": "rep2", "label": "label2"})
+    return left.join(other, "h").where("rep < rep2 AND label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose texts have a similarity of LEAST or more."""
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -188,8 +221,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     heads = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands", ignorenulls=True).alias("bands"), F.first("bits", ignorenulls=True).alias("bits"))
     heads = cut(heads)
     filed = heads.select("rep", F.explode("bands").alias("band"))
-    # Buckets of one document are gone after this; the smallest id of each of the others leads it.
-    leaders = cut(filed.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a"))
+    # Buckets of one document are gone after this. The smallest id of each of the others leads it, and so do
+    # the smallest with some bits turned over, which are other members without order among themselves.
+    turned = [0, 0x5555555555555555, 0x3333333333333333]
+    led = [F.min(F.col("rep").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)).alias(f"a{i}") for i, k in enumerate(turned)]
+    leaders = cut(filed.groupBy("band").agg(*led, F.count("*").alias("n")).where("n > 1").drop("n"))
     members = cut(filed.select("rep", "band").join(leaders, "band"))
 
     def close(pairs: DataFrame) -> DataFrame:
@@ -200,16 +236,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         return p.where(apart <= BITS_APART).select("a", "b")
 
     texts = rows.select("doc_id", "text")
-    links = cut(verify(cut(close(members.select("a", F.col("rep").alias("b")))), texts))
+    led = members.select(F.explode(F.array_distinct(F.array(*(F.col(f"a{i}") for i in range(len(turned)))))).alias("l"), "rep").where("l <> rep")
+    links = cut(verify(cut(close(led.select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")))), texts))
     labels = components(links)
-    # Buckets that still hold several components: their pairs across components, but for the leader's own.
-    placed = members.join(labels, members["rep"] == labels["node"], "left").select("band", "a", "rep", F.coalesce("label", "rep").alias("label"))
-    placed = cut(placed)
-    mixed = placed.groupBy("band").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("band")
-    left = cut(placed.join(mixed, "band").where("rep <> a").select("band", "rep", "label"))
+    # Buckets that still hold several components: their pairs across components.
+    placed = cut(members.join(labels, members["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label")))
+    mixed = cut(placed.groupBy("band").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("n")).where("l1 < l2").select("band", "n"))
+    left = cut(placed.join(mixed.where(F.col("n") <= PAIRED).select("band"), "band"))
     other = left.withColumnsRenamed({"rep": "rep2", "label": "label2"})
     across = left.join(other, "band").where("rep < rep2 AND label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    more = cut(verify(cut(close(across)), texts))
+    many = cut(placed.join(mixed.where(F.col("n") > PAIRED).select("band"), "band").select("rep", "label").distinct())
+    more = cut(verify(cut(close(across.union(rare_candidates(many, texts)))), texts))
     # Rows of one id that are different texts fall together by their id.
     edges = cut(links.union(more))
     labels = components(edges) if more.limit(1).count() else labels
