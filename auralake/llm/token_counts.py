@@ -34,7 +34,8 @@ KNOWN = 0x250
 MEMO, MEMO_CHARS = 500_000, 48
 
 _SPACE = "\\t-\\r \x85\xa0"
-_known = [chr(c) for c in range(KNOWN)]
+#: The known characters and what they become in lower case, which may lie above.
+_known = sorted({x for c in range(KNOWN) for x in chr(c) + chr(c).lower()})
 _LETTERS = "".join(c for c in _known if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _known if unicodedata.category(c)[0] == "N")
 #: A contraction starts with an apostrophe and so with neither letter nor number: the order of these does not matter.
