@@ -90,7 +90,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: list[str], epochs: int = 4, batch: int = 32, rate: float = 0.5, seed: int = 11) -> Model | None:
+def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: list[str], epochs: int = 4, least_steps: int = 800, batch: int = 32, rate: float = 0.5, seed: int = 11) -> Model | None:
     """Minibatch gradient descent with a falling rate; rows are scaled to unit mean."""
     langs = sorted(set(y))
     if not langs:
@@ -100,7 +100,9 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: list[str], epochs:
     e, w, bias = rng.uniform(-1 / WIDTH, 1 / WIDTH, (1 << BITS, WIDTH)), rng.normal(0, 0.1, (WIDTH, len(langs))), np.zeros(len(langs))
     aside = np.arange(len(y)) % 5 == 0
     use = np.flatnonzero(~aside) if (~aside).any() else np.arange(len(y))
-    steps, done = epochs * -(-len(use) // batch), 0
+    a_round = -(-len(use) // batch)
+    epochs = max(epochs, -(-least_steps // a_round))  # few rows are gone through more often
+    steps, done = epochs * a_round, 0
     for _ in range(epochs):
         rng.shuffle(use)
         for i in range(0, len(use), batch):

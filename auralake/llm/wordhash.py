@@ -90,7 +90,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
     end = np.repeat(bounds[1:], counts)
     at = np.arange(m)
     total = np.zeros(m, np.uint64)
-    for j in range(size):
+    for j in range(min(size, m)):
         total[: m - j] += np.where(at[: m - j] + j < end[: m - j], words[j:] * MULTIPLIERS[j], np.uint64(0))
     keep = at + size <= end
     short = counts < size
