@@ -1,0 +1,72 @@
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from auralake.llm import learn, near_dups, quality, source_mix
+from auralake.llm.common import table
+from tests.llm.test_decontaminate import brute as leaks
+from tests.llm.test_mix import targets
+from tests.llm.test_near_dups import classes
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_do_what_they_say(spark):
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "PII", "mixing sources to target weights"]
+
+    good = stages["quality classifier"](spark, docs, SF).cache()
+    scored = quality.score_quality(docs, table(spark, SF, "labels"), ~learn.held_out("doc_id", 4, 2))
+    assert good.columns == columns
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scored.where("predicted = 1").collect()}
+
+    distinct = stages["MinHash near-dedup"](spark, good, SF).cache()
+    of = classes([(r.doc_id, r.text) for r in good.collect()])
+    assert distinct.columns == columns and {r.doc_id for r in distinct.collect()} == {i for i, c in of.items() if i == c}
+
+    clean = stages["benchmark decontamination"](spark, distinct, SF).cache()
+    rows = [(r.doc_id, r.text) for r in distinct.collect()]
+    bad = {d for d, _ in leaks(rows, [tuple(r) for r in table(spark, SF, "benchmark").select("item_id", "text").collect()])}
+    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - bad
+
+    private = stages["PII"](spark, clean, SF).cache()
+    assert private.columns == columns and private.count() == clean.count()
+    assert private.where("n_chars <> length(text)").count() == 0
+    assert private.where(F.col("text").rlike("@mail[0-9]|[0-9a-f]{40}") & F.col("text").rlike("@mail[0-9]")).count() == 0
+
+    mix = stages["mixing sources to target weights"](spark, private, SF)
+    sizes = {}
+    for r in source_mix.mix_sources(private).join(private.select("doc_id", "source"), "doc_id").collect():
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = targets(sizes)
+    taken = {}
+    for r in mix.join(private.select("doc_id", "source"), "doc_id").collect():
+        assert 0 < r.taken <= 3 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken.get(s, 0) - want[s]) <= 1 for s in want)
+
+
+def test_run_equals_its_stages(spark):
+    docs = table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, docs.collect()))
+
+
+@pytest.mark.parametrize("n", [0, 4])
+def test_stages_take_any_rows(spark, n):
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some words here", "en", None, 5), (2, "", "en", "a", 0)][:n]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"score": F.lit(1), "class_id": F.lit(2), "taken": F.lit(3), "n_found": F.lit(4), "__x": F.lit(5)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = out.cache()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() <= n
+
+
+def test_one_of_each_group_stays(spark):
+    docs = table(spark, SF, "documents")
+    found = near_dups.near_duplicates(docs)
+    assert near_dups.keep_one(docs).count() == found.select("class_id").distinct().count()
