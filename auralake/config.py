@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -47,3 +50,22 @@ def session(name: str = "auralake", **conf: str) -> SparkSession:
     """A session with what the library relies on: UTC, adaptive execution, Arrow transfer."""
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
     return SparkSession.builder.appName(name).config(map=base | conf).getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application: they need not run where it is installed."""
+    app, here = spark.sparkContext.applicationId, os.path.dirname(os.path.abspath(__file__))
+    if app in _shipped or not os.path.isdir(here):
+        return
+    _shipped.add(app)
+    path = os.path.join(tempfile.mkdtemp(), "auralake_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("auralake", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(path)
