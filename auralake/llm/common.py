@@ -12,11 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auralake.config import ship
+
 #: Bytes of text that the numpy kernels take at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     The files outlive executors, so a lost executor costs a few tasks and not the whole lineage;
     the planner then knows their size, which is what lets it broadcast a side on its own.
     """
+    ship(df.sparkSession)
     path = f"{scratch_root(df.sparkSession)}/auralake/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

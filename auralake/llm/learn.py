@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auralake.config import ship
 from auralake.llm.common import chunks, columns_text, cut
 
 #: features(bytes, offsets) gives the buckets of all texts, and the bounds by text.
@@ -72,6 +73,7 @@ def hash_bytes(b: bytes) -> bytes:
 
 def score(docs: DataFrame, keep: list[Column], text: str, schema: str, scorer: Callable[[np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
     """keep, and the columns that scorer(bytes, offsets) gives for each chunk of whole texts."""
+    ship(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     kept = [f for f in rows.schema.fields if f.name != "__text"]
     made = T.StructType.fromDDL(schema)
