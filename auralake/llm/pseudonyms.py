@@ -18,6 +18,10 @@ different ones, and a pseudonym validates as its original did:
 What looks like one of these but does not validate stays as it is. All matches of a text are found by
 one pattern and replaced within the row: no shuffle, and no document is read twice.
 
+Values that stand side by side, with a single blank or hyphen between, are found as one run of groups
+and told apart in it, from left to right: at each group the best span of groups is taken (see rank()), and if
+there is none the group stays.
+
 A null text stays null and has 0 found; an empty one stays empty. Texts of any length are read whole;
 each alternative of the pattern begins at the start of its run, so a run of any length is read once.
 Other columns stay as they are.
@@ -46,9 +50,18 @@ IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}"
 SECRET = r"[A-Fa-f0-9]{32,64}"
 VALUE = r"(?=[A-Za-z0-9_/+\-]{8})(?<=[=: \"'])(?<=(?i:token|password|passwd|secret|api[_ \-]?key) ?[=:] ?[\"']?)[A-Za-z0-9_/+\-]{8,}+"
+#: Groups of digits, or an account number and what follows it, as far as they reach: values side by side are told apart later.
+_GROUPS = r"(?:[ \-][0-9]++(?![A-Za-z0-9]))*+"
+RUN = rf"(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?![A-Za-z0-9]){_GROUPS}"
+IBAN_RUN = rf"{IBAN}(?![A-Za-z0-9]){_GROUPS}"
+#: Groups of a span, at most: a card of single digits.
+SPAN = 19
+#: How cards are printed, with any of the separators.
+PRINTED = r"[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}(?:[ \-][0-9]{3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}"
+ONE_SEPARATOR = r"[0-9]+(?:(?: [0-9]+)*|(?:-[0-9]+)*)"
 #: All begin where no letter or digit stands before, so within a word nothing is tried.
 _END, _NO_DOT = r"(?![A-Za-z0-9])", r"(?<![.\-/])"
-_ALL = (rf"(?<![._%+\-]){EMAIL}", VALUE, SECRET + _END, IBAN + _END, _NO_DOT + CARD + _END, _NO_DOT + SSN + _END, _NO_DOT + DATE + _END, rf"(?<!\.){IP}(?!\.?[A-Za-z0-9])", rf"(?<!\+){PHONE}{_END}")
+_ALL = (rf"(?<![._%+\-]){EMAIL}", VALUE, SECRET + _END, IBAN_RUN, _NO_DOT + RUN, _NO_DOT + SSN + _END, _NO_DOT + DATE + _END, rf"(?<!\.){IP}(?!\.?[A-Za-z0-9])", rf"(?<!\+){PHONE}{_END}")
 ALL = "(?<![A-Za-z0-9])(?:" + "|".join(_ALL) + ")"
 
 
@@ -108,16 +121,20 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), worth), F.lit(0), lambda s, x: s + x)
 
 
+def card_fits(d: Column) -> Column:
+    """Whether digits have an issuer's range and Luhn's remainder."""
+    issuer = d.rlike("^(4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-7]|30|38|39|6011|65|64[4-9]|62|35)")
+    return issuer & (F.pmod(luhn_sum(d), F.lit(10)) == 0)
+
+
 def card(m: Column, key: str) -> Column:
     def body(d: Column) -> Column:
-        issuer = d.rlike("^(4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-7]|30|38|39|6011|65|64[4-9]|62|35)")
-
         def made(inner: Column) -> Column:
             bare = F.concat(F.substring(d, 1, 4), inner)
             return let(bare, lambda x: refilled(m, F.concat(x, F.pmod(10 - F.pmod(luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))))
 
         new = let(permuted(F.substring(d, F.lit(5), F.length(d) - 5), key, "card"), made)
-        return F.when(issuer & (F.pmod(luhn_sum(d), F.lit(10)) == 0), new)
+        return F.when(card_fits(d), new)
 
     return let(only_digits(m), body)
 
@@ -129,11 +146,14 @@ def mod97(s: Column) -> Column:
     return F.aggregate(chars, F.lit(0), step)
 
 
+def iban_fits(s: Column) -> Column:
+    """Whether an account number without blanks has a length in range and the remainder 1."""
+    turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
+    return F.length(s).between(15, 34) & let(turned, lambda x: mod97(x) == 1)
+
+
 def iban(m: Column, key: str) -> Column:
     def body(s: Column) -> Column:
-        turned = F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))
-        fits = F.length(s).between(15, 34) & (mod97(turned) == 1)
-
         def made(bban: Column) -> Column:
             check = F.lpad((98 - mod97(F.concat(bban, F.substring(s, 1, 2), F.lit("00")))).cast("string"), 2, "0")
             whole = F.concat(F.substring(s, 1, 2), check, bban)
@@ -143,7 +163,7 @@ def iban(m: Column, key: str) -> Column:
 
         rest = F.substring(s, F.lit(5), F.length(s))
         new = let(let(permuted_long(only_digits(rest), key, "iban"), lambda d: refilled(rest, d)), made)
-        return F.when(fits, new)
+        return F.when(iban_fits(s), new)
 
     return let(F.replace(m, F.lit(" "), F.lit("")), body)
 
@@ -214,7 +234,7 @@ def pseudonym(m: Column, key: str) -> Column:
     digits = m.rlike("^[0-9 \\-]+$") & (F.length(only_digits(m)) >= 13)
     return (
         F.when(m.contains("@"), email(m, key))
-        .when(digits & card(m, key).isNotNull(), card(m, key))
+        .when(digits & (F.length(only_digits(m)) <= 19) & card(m, key).isNotNull(), card(m, key))
         .when(whole(SSN), ssn(m, key))
         .when(whole(DATE), date(m, key))
         .when(whole(IP), address(m, key))
@@ -227,16 +247,68 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
+def rank(span: Column, alone: Column) -> Column:
+    """How well a span of groups reads as one value, 0 best; null if it does not.
+
+    Account, printed card, social security number, date, card of one separator, card that is the whole
+    run (alone) and holds none of these, phone, any other card. What is written as a number or a date is
+    one, valid or not: its groups are no part of a phone.
+    """
+    shape = lambda p: span.rlike(f"^(?:{p})$")
+    n = F.length(only_digits(span))
+    other = F.when(shape(ONE_SEPARATOR), 4).when(alone & ~span.rlike(f"(?<![0-9\\-])(?:{SSN}|{DATE})(?![0-9])"), 5).when(shape(PHONE), 6).otherwise(7)
+    as_card = F.when(shape(CARD) & let(only_digits(span), card_fits), F.when(shape(PRINTED), 1).otherwise(other))
+    return (
+        F.when(span.rlike("^[A-Z]"), F.when(shape(IBAN) & let(F.replace(span, F.lit(" "), F.lit("")), iban_fits), 0))
+        .when(n > 19, None)
+        .when(n >= 13, F.coalesce(as_card, F.when(shape(PHONE), 6)))
+        .when(shape(SSN), 2)
+        .when(shape(DATE), 3)
+        .when(shape(PHONE) & n.between(7, 15), 6)
+    )
+
+
+def told_apart(run: Column) -> Column:
+    """The parts of a run, as struct(text, is_value): their concatenation is the run."""
+    part = lambda text, is_value: F.struct(text.alias("text"), F.lit(is_value).alias("is_value"))
+
+    def best(g: Column, i: Column) -> Column:
+        n = F.least(F.lit(SPAN), F.size(g) - i)
+        span = lambda k: F.regexp_replace(F.array_join(F.slice(g, i + 1, k), ""), "[ \\-]$", "")
+        ranked = lambda k: let(span(k), lambda s: F.struct(rank(s, k == F.size(g)).alias("rank"), (-k).alias("less"), s.alias("span")))
+        return F.array_min(F.filter(F.transform(F.sequence(F.lit(1), n), ranked), lambda x: x["rank"].isNotNull()))
+
+    def cover(g: Column, b: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            found, at = F.get(b, i), s["at"]
+            last = F.get(g, i - found["less"] - 1)
+            new = F.when(found.isNull(), F.array(part(F.get(g, i), False))).otherwise(F.array(part(found["span"], True), part(F.regexp_extract(last, "[ \\-]$", 0), False)))
+            return F.struct(F.when(i < at, at).otherwise(i + F.coalesce(-found["less"], F.lit(1))).alias("at"), F.when(i < at, s["out"]).otherwise(F.concat(s["out"], new)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,is_value:boolean>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda s: s["out"])
+
+    groups = F.regexp_extract_all(run, F.lit("[^ \\-]+[ \\-]?"), F.lit(0))
+    return let(groups, lambda g: let(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: best(g, i)), lambda b: cover(g, b)))
+
+
+def values(m: Column) -> Column:
+    """The parts of a match: a run's own, else the match as one value."""
+    run = m.rlike("^[0-9 \\-]+$") & (F.length(only_digits(m)) >= 13) | m.rlike(f"^{IBAN}(?![A-Za-z0-9])")
+    return F.when(run & m.rlike("[ \\-]"), told_apart(m)).otherwise(F.array(F.struct(m.alias("text"), F.lit(True).alias("is_value"))))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = "auralake", found: str | None = "n_found") -> DataFrame:
     """docs with the personal data in `text` replaced, and the number of replaced matches as `found`."""
     t = F.col(text)
     matches = docs.withColumn("__m", F.coalesce(F.regexp_extract_all(t, F.lit(ALL), F.lit(0)), F.array().cast("array<string>")))
     # Only rows with matches pay for the rest; the array is stored so that its use is not its definition.
-    new = F.transform("__m", lambda m: pseudonym(m, key))
-    matches = matches.withColumn("__p", F.when(F.size("__m") > 0, new).otherwise(F.array().cast("array<string>")))
-    pieces = F.zip_with(F.split(t, ALL, -1), F.zip_with("__m", "__p", lambda m, p: F.coalesce(p, m)), lambda gap, p: F.concat(gap, F.coalesce(p, F.lit(""))))
+    one = lambda v: let(F.when(v["is_value"], pseudonym(v["text"], key)), lambda p: F.struct(F.coalesce(p, v["text"]).alias("text"), p.isNotNull().cast("int").alias("n")))
+    new = F.transform("__m", lambda m: let(F.transform(values(m), one), lambda v: F.struct(F.array_join(v["text"], "").alias("text"), F.aggregate(v["n"], F.lit(0), lambda a, b: a + b).alias("n"))))
+    matches = matches.withColumn("__p", F.when(F.size("__m") > 0, new).otherwise(F.array().cast("array<struct<text:string,n:int>>")))
+    pieces = F.zip_with(F.split(t, ALL, -1), "__p", lambda gap, p: F.concat(gap, F.coalesce(p["text"], F.lit(""))))
     done = F.when(F.size("__p") > 0, F.array_join(pieces, "")).otherwise(t)
-    count = F.size(F.filter("__p", lambda p: p.isNotNull()))
+    count = F.aggregate("__p", F.lit(0), lambda a, p: a + p["n"])
     out = matches.withColumns({text: done} | ({found: count} if found else {}))
     return out.drop("__m", "__p")
 

@@ -88,6 +88,22 @@ def test_clean_texts_stay(spark, s):
     assert run(spark, s)[0].text == s and run(spark, s)[0].n_found == 0
 
 
+def test_values_side_by_side(spark):
+    card, ssn, day, phone, account = "4111 1111 1111 1111", "123-45-6789", "1980-01-15", "415-555-1234", "AT611904300234573201"
+    alone = {v: r.text for v, r in zip((card, ssn, day, phone, account), run(spark, card, ssn, day, phone, account), strict=True)}
+    assert all(v != p for v, p in alone.items())
+    rows = [[ssn, day], ["2024-13-15", day], [day, day], [day, phone], [phone, day], [phone, phone], [day, "12345"], [card, "123"], [card, "12"], [ssn, card], [card, card], [day, phone, card], [card, ssn, day, phone] * 50, [account, "BIC"], [account, card], [account, account], ["7", ssn, "1234"]]
+    for parts, got in zip(rows, run(spark, *map(" ".join, rows)), strict=True):
+        assert got.text == " ".join(alone.get(p, p) for p in parts) and got.n_found == sum(p in alone for p in parts)
+    solid = run(spark, "4111111111111111 123", "4111111111111111-123-45-6789x", "4111 1111 1111 1111 12/25")
+    assert [r.n_found for r in solid] == [1, 1, 1] and all("1111 1111" not in r.text and "41111111" not in r.text for r in solid)
+
+
+def test_long_runs_of_numbers(spark):
+    got = run(spark, "17 " * 3000 + "123-45-6789", "1" * 100_000, "AB12 " * 3000)
+    assert [r.n_found for r in got] == [1, 0, 0] and "123-45-6789" not in got[0].text
+
+
 def test_cases(spark):
     long = "word " * 40_000 + "4417744280351547 " + "x" * 100_000
     df = spark.createDataFrame([(1, None), (None, "4417744280351547"), (2, long), (2, long), (3, "4417744280351547" * 100)], "doc_id long, text string").selectExpr("*", "1 AS n_found", "2 AS __x")
