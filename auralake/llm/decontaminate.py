@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits in lower case; shingles are runs of five words (an item of fewer
 words is one shingle of all of them). A window of a document is item-sized and aligned: it starts
-where an item would start that agrees with it on a shingle in place, and has as many words as the
+where an item would start that agrees with it on a shingle in place (if that would be before
+the document, at its first word and at the shingle; the SQL leaves these windows out), and has as many words as the
 item, or those that are left. Its fingerprint has 64 bits, each the sign of a sum over its shingles.
 
 Fingerprints are cut into 8 blocks of 8 bits and stored, for items, under every value within 2 bits
@@ -78,7 +79,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str,
     # the array's definition is put into its own lambda and evaluated for every element.
     # 1. Where items could start: the document's place of a shared shingle less the item's.
     hits = hashed.select("doc_id", "copy", F.posexplode_outer("hs").alias("place", "h")).join(small(places, BROADCAST_ROWS), "h")
-    windows = hits.where(F.col("place") >= F.col("at")).select("doc_id", "copy", "n", (F.col("place") - F.col("at")).alias("start")).distinct()
+    # Before the document: at its first word, or at the shared shingle, which leaves out what is not the item's.
+    starts = F.when(F.col("place") < F.col("at"), F.array(F.lit(0), "place")).otherwise(F.array(F.col("place") - F.col("at")))
+    windows = hits.where("place IS NOT NULL").select("doc_id", "copy", "n", F.explode(starts).alias("start")).distinct()
     windows = cut(windows.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("n", "start"))).alias("windows")))
 
     # 2. Their shingles and fingerprints: the few documents with windows meet their texts again.

@@ -55,6 +55,24 @@ def test_planted_passages(spark):
     assert dc.contaminated(d.limit(0), b).count() == 0 and dc.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_documents_that_begin_within_an_item(spark):
+    """Against all window starts: an item less its first word, and with a word deleted among its first five."""
+    item = [f"q{i}" for i in range(30)]
+    docs = [(1, " ".join(item[1:])), (2, " ".join(item[:2] + item[3:])), (3, " ".join(item[1:] + ["z"] * 50)), (4, " ".join(item[12:])), (5, " ".join(item[:4] + item[5:]))]
+    want = {}
+    for d, t in docs:
+        a, b = shingles(words(t)), shingles(item)
+        for start in range(len(a)):
+            cut = a[start : start + len(b)]
+            both = sum((Counter(cut) & Counter(b)).values())
+            want[d] = max(want.get(d, 0), round(both / (len(cut) + len(b) - both), 6))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in dc.contaminated(frame, bench).collect()}
+    assert got == {d: s for d, s in want.items() if s >= 0.8} and set(got) == {1, 2, 3, 5}
+    assert [r.doc_id for r in dc.drop_contaminated(frame, bench).collect()] == [4]
+
+
 @pytest.mark.parametrize("flips", [0, 5, 23])
 def test_blocks_find_all_within_the_radius(spark, flips):
     """Any two fingerprints within the radius agree on a block up to FLIPS bits."""
