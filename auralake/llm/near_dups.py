@@ -4,27 +4,33 @@ A document is the multiset of its five-word shingles; two documents are linked i
 similarity of these is 0.8 or more, and a class is what links connect. The class id is the smallest
 doc_id in it.
 
-1. Documents of one sequence of words are copies: they share 128 bits of hash and are represented by
-   their smallest id. Groups of copies of any size collapse in a map-side aggregate.
+1. Documents of one sequence of words are copies: they share 128 bits of hash and are one node. Groups
+   of copies of any size collapse in a map-side aggregate.
 2. DartMinHash: every shingle, with its number of occurrences as weight, owns a strip of weight by
    rank. Darts fall on it as a Poisson process whose gaps and places are hashes of the shingle alone;
    those beyond the shingle's weight miss. A dart that hits belongs to one of DARTS coordinates, and a
    coordinate keeps its earliest. The rank up to which darts are thrown is raised until every
    coordinate has one; equal coordinates of two documents have the probability of their similarity.
 3. Bands of ROWS coordinates: documents that agree on a band meet in its bucket. Each member of a
-   bucket is compared with three leaders of it, by one-bit coordinates first (120, which lose a pair of
-   similarity 0.8 with probability below 1e-6) and then exactly, over the whole texts.
+   bucket is compared with the bucket's leader, the member that meets most documents over all of its
+   buckets: of a group of edited copies that is the one nearest to all others. The comparison is exact,
+   over the whole texts.
 4. Connected components over the links, by least neighbours and pointer jumping, written out each
-   round. Within a component no pair needs comparing, so groups of near copies cost as many comparisons
-   as they have members. Buckets that still hold several components give the pairs across these: small
-   ones all of them; in large ones a document's candidates are those that share one of its rarest
-   shingles. With shingles in order of rising frequency, two documents of similarity 0.8 have their
-   first common shingle before either has used up 0.2 of its weight, so none is missed, and a document
-   with more than that of its own has no candidates. The components are then joined up.
+   round. Within a component no pair needs comparing, so a group of near copies costs about as many
+   comparisons as it has members.
+5. Buckets that still hold several components: all pairs of their documents that are similar enough and
+   of two components are found, by rarest shared shingles. With shingles in order of rising frequency,
+   a pair whose first common shingle comes after weight q of a document of weight T has at most T - q in
+   common, and 0.8 asks for 4/9 of the weights of both. So a document of weight T is worth joining at a
+   shingle after q only with documents of weight (5 T - 9 q) / 4 or less: this bounds sizes and places at
+   once, is part of the join, and takes rows out before it at shingles where no other component has a
+   document that fits. What is left is verified exactly, and the components are joined up.
 
 A null or empty text, or one without words, is a class of its own. A text of one to four words has
-one shingle. Repeated rows of one id are one document per text; a null id takes part under no id and
-is left out. Extra columns of docs are ignored.
+one shingle. Each row is a document: rows of one id and text are copies, rows of one id with different
+texts are documents that share their id, and rows without an id take part like others; the id of a
+class that has none is null. An empty table gives no rows. A text of any length is read whole, by itself
+if it is long. Extra columns of docs, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +47,11 @@ from auralake.llm.wordhash import mix, text_shingles
 
 BANDS, ROWS = 24, 5
 DARTS = BANDS * ROWS
-#: One-bit coordinates in which a compared pair may differ: 0.8 expects 12 of 120, with deviation 3.3.
-BITS_APART = 30
-LEAST = 0.8
-#: Members of a mixed bucket up to which its pairs are compared as they are.
-PAIRED = 32
+#: The least similarity, as a fraction.
+NUM, DEN = 4, 5
+LEAST = NUM / DEN
 #: Expected darts of a cell: a strip of an element's weight by a slab of rank.
 SLAB = 4.0
-WORDS = -(-DARTS // 64)
 
 
 def multisets(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,15 +110,13 @@ def dart_signatures(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n:
     return ident
 
 
-def bands(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each signature a 64-bit key for each band, and the lowest bits of all coordinates as 64-bit words."""
+def bands(signatures: np.ndarray) -> np.ndarray:
+    """For each signature a 64-bit key for each band."""
     rows = signatures.reshape(-1, BANDS, ROWS)
     key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
     for j in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, :, j])
-    bits = np.zeros((len(rows), WORDS * 64), np.uint8)
-    bits[:, :DARTS] = mix(signatures) & np.uint64(1)
-    return key.view(np.int64), np.packbits(bits, axis=1).view("<i8")
+    return key.view(np.int64)
 
 
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -128,19 +129,17 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
         for i, j, data, offs in chunks(columns_text(batch, "text")):
             words, at, found, bounds = text_shingles(data, offs)
-            own = np.flatnonzero(np.diff(at))
-            if not len(own):
-                continue
             # The sequence of words as two sums of hashes of (word, place in its text).
             place = np.arange(len(words), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(words ^ place * np.uint64(s)))]) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-            c1, c2 = ((s[at[1:]] - s[at[:-1]]).view(np.int64)[own] for s in sums)
-            keys, bits = bands(dart_signatures(*multisets(found, bounds), j - i)[own])
-            lists = [pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * m.shape[1], m.ravel()) for m in (keys, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][own]), pa.array(c1), pa.array(c2), *lists], names=["doc_id", "c1", "c2", "bands", "bits"])
+            none = np.diff(at) == 0
+            c1, c2 = (pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64), mask=none) for s in sums)
+            keys = bands(dart_signatures(*multisets(found, bounds), j - i)[~none])
+            ends = np.concatenate([[0], np.cumsum(~none * BANDS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(none, False)), keys.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), c1, c2, lists], names=["doc_id", "th", "c1", "c2", "bands"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,47 +161,79 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, labels = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
+        nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
         for i, j, data, offs in chunks(columns_text(batch, "text")):
             _, _, found, bounds = text_shingles(data, offs)
             of, h, n = multisets(found, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][of]), pa.array(labels[i:j][of]), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["rep", "label", "h", "w"])
+            columns = (nodes[i:j][of], labels[i:j][of], np.diff(bounds)[of].astype(np.int64), h.view(np.int64), n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "label", "t", "h", "w"])
 
 
-def rare_candidates(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents (rep, label) of different labels that share a shingle of both prefixes."""
-    rows = cut(mixed.join(texts, mixed["rep"] == texts["doc_id"]).select("rep", "label", "text").mapInArrow(_shingled, "rep long, label long, h long, w int"))
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a document that may be the first one it has in common, and how far it reaches at each (see join())."""
+    for batch in batches:
+        listed = batch.column("l")
+        values, ends = listed.flatten(), np.concatenate([[0], np.cumsum(np.diff(np.asarray(listed.offsets)))])
+        df, h, w = (values.field(c).to_numpy().astype(np.int64) for c in ("df", "h", "w"))
+        node, label, t, shared = (batch.column(c).to_numpy() for c in ("node", "label", "t", "shared"))
+        of = np.repeat(np.arange(len(node)), np.diff(ends))
+        order = np.lexsort((h, df, of))
+        h, w = h[order], w[order]
+        before = np.cumsum(w) - w
+        # Shingles of no other document come first: their weight is all that counts of them.
+        before += np.repeat(t - shared - (before[ends[:-1]] if len(w) else 0), np.diff(ends))
+        keep = DEN * before <= (DEN - NUM) * t[of]
+        of, h, before = of[keep], h[keep], before[keep]
+        columns = (h, node[of], label[of], t[of], DEN * t[of] - (NUM + DEN) * before)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "node", "label", "t", "reach"])
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """The rows (h, node, label, t, reach) whose shingle is also that of a row of another label they might pair with.
+
+    The least t and the greatest reach of all other labels decide, so a shingle that most of a large group
+    has is left out unless a document outside of the group fits one of it.
+    """
+    own = cut(rows.groupBy("h", "label").agg(F.min("t").alias("t"), F.max("reach").alias("reach")))
+    best = own.groupBy("h").agg(F.min(F.struct("t", "label")).alias("lo"), F.max(F.struct("reach", "label")).alias("hi"), F.count("*").alias("n")).where("n > 1").drop("n")
+    best = cut(best)
+    other = own.join(best, "h").groupBy("h").agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.min(F.when(F.col("label") != F.col("lo.label"), F.col("t"))).alias("lo2"), F.max(F.when(F.col("label") != F.col("hi.label"), F.col("reach"))).alias("hi2"),
+    )
+    least = F.when(F.col("label") == F.col("lo.label"), F.col("lo2")).otherwise(F.col("lo.t"))
+    most = F.when(F.col("label") == F.col("hi.label"), F.col("hi2")).otherwise(F.col("hi.reach"))
+    return rows.join(cut(other), "h").where((NUM * least <= F.col("reach")) & (NUM * F.col("t") <= most)).select(rows.columns)
+
+
+def rare_candidates(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents (node, label, text) of different labels that a shared rare shingle lets be similar enough."""
+    rows = cut(mixed.mapInArrow(_shingled, "node long, label long, t long, h long, w long"))
     common = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
-    # A shingle of one document comes first in its order and pairs with nothing: its weight is all that counts.
-    whole = rows.groupBy("rep").agg(F.sum("w").alias("total"))
-    known = rows.join(common, "h").groupBy("rep", "label").agg(F.array_sort(F.collect_list(F.struct("df", "h", "w"))).alias("l"), F.sum("w").alias("shared"))
-    known = known.join(whole, "rep")
-    # Weight before each shingle, those of one document included; a prefix ends where the rest is below LEAST.
-    before = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i)["w"])
-    sums = F.aggregate(before, F.struct(F.array().cast("array<bigint>").alias("s"), (F.col("total") - F.col("shared")).alias("n")), lambda a, w: F.struct(F.concat(a["s"], F.array(a["n"])).alias("s"), (a["n"] + w).alias("n")))["s"]
-    prefix = known.withColumn("before", sums).select("rep", "label", F.explode_outer(F.filter(F.arrays_zip("l", "before"), lambda x: x["before"] <= F.col("total") * (1 - LEAST) + 1e-9)).alias("x"))
-    prefix = cut(prefix.where("x IS NOT NULL").select("rep", "label", F.col("x.l.h").alias("h")))
-    crossing = cut(prefix.groupBy("h").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("h"))
-    left = cut(prefix.join(crossing, "h"))
-    other = left.withColumnsRenamed({"rep": "rep2", "label": "label2"})
-    return left.join(other, "h").where("rep < rep2 AND label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    known = rows.join(common, "h").groupBy("node", "label", "t").agg(F.collect_list(F.struct("df", "h", "w")).alias("l"), F.sum("w").alias("shared"))
+    prefix = cut(known.mapInArrow(_prefixes, "h long, node long, label long, t long, reach long"))
+    left = cut(fitting(cut(fitting(prefix))))
+    other = left.select("h", F.col("node").alias("b"), F.col("label").alias("label2"), F.col("t").alias("t2"), F.col("reach").alias("reach2"))
+    fits = (F.col("node") < F.col("b")) & (F.col("label") != F.col("label2")) & (NUM * F.col("t2") <= F.col("reach")) & (NUM * F.col("t") <= F.col("reach2"))
+    return left.join(other, "h").where(fits).select(F.col("node").alias("a"), "b").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have a similarity of LEAST or more."""
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    """The pairs (a, b) of nodes whose texts (node, text) have a similarity of LEAST or more."""
+    tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: the smallest id that links connect a node with; only nodes with links appear.
+def components(links: DataFrame) -> DataFrame:
+    """node, label: the smallest node that links connect a node with; only nodes with links appear.
 
-    Each round a node takes the least label of itself and its neighbours, then what that label was labelled.
+    Each round a node takes the least label of itself and its neighbours, then what that label was
+    labelled. Labels only fall, so the rounds end: after about as many as the logarithm of the longest chain.
     """
     both = cut(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("least"))
         step = labels.withColumnRenamed("label", "old").join(near, "node").select("node", "old", F.least("old", "least").alias("label"))
         # A label's own label is in the last round's table: the node it names has one.
@@ -211,57 +242,82 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("old <> label").limit(1).count() == 0:
             return labels
-    raise RuntimeError("the components have not settled")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and class_id for every row of docs that has an id."""
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(rows.mapInArrow(_signatures, "doc_id long, c1 long, c2 long, bands array<long>, bits array<long>"))
-    heads = signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands", ignorenulls=True).alias("bands"), F.first("bits", ignorenulls=True).alias("bits"))
-    heads = cut(heads)
-    filed = heads.select("rep", F.explode("bands").alias("band"))
-    # Buckets of one document are gone after this. The smallest id of each of the others leads it, and so do
-    # the smallest with some bits turned over, which are other members without order among themselves.
-    turned = [0, 0x5555555555555555, 0x3333333333333333]
-    led = [F.min(F.col("rep").bitwiseXOR(F.lit(k))).bitwiseXOR(F.lit(k)).alias(f"a{i}") for i, k in enumerate(turned)]
-    leaders = cut(filed.groupBy("band").agg(*led, F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = cut(filed.select("rep", "band").join(leaders, "band"))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """Pairs whose one-bit coordinates allow the similarity, each once."""
-        of = heads.select(F.col("rep"), "bits")
-        p = pairs.where("a < b").distinct().join(of.withColumnsRenamed({"rep": "a", "bits": "ba"}), "a").join(of.withColumnsRenamed({"rep": "b", "bits": "bb"}), "b")
-        apart = sum((F.bit_count(F.get("ba", i).bitwiseXOR(F.get("bb", i))) for i in range(WORDS)), F.lit(0))
-        return p.where(apart <= BITS_APART).select("a", "b")
-
-    texts = rows.select("doc_id", "text")
-    led = members.select(F.explode(F.array_distinct(F.array(*(F.col(f"a{i}") for i in range(len(turned)))))).alias("l"), "rep").where("l <> rep")
-    links = cut(verify(cut(close(led.select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")))), texts))
+def _heads(signed: DataFrame) -> DataFrame:
+    """One row for each distinct sequence of words: c1, c2, id and th of its first row, bands, and a number of its own (node).
+
+    The number is the smallest id, or one below all ids where there is none or another text has it, too.
+    """
+    same = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "th")).alias("m0"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("m"), F.first("bands", ignorenulls=True).alias("bands"))
+    same = cut(same.select("c1", "c2", "id", F.coalesce("m.th", "m0.th").alias("th"), "bands", F.monotonically_increasing_id().alias("at")))
+    shared = cut(same.where("id IS NOT NULL").groupBy(F.col("id").alias("id2")).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    floor = F.lit(min(same.agg(F.min("id")).first()[0] or 0, 0))
+    taken = F.col("id").isNull() | F.col("first").isNotNull() & (F.col("first") != F.col("at"))
+    heads = same.join(shared, same["id"] == shared["id2"], "left").withColumn("node", F.when(taken, floor - 1 - F.col("at")).otherwise(F.col("id")))
+    return cut(heads.select("c1", "c2", "id", "th", "bands", "node"))
+
+
+def _classes(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th (the text's hash), class and class_id (the smallest doc_id of it) for every row of docs, class being null for a text without words; and the (doc_id, th) that several rows have."""
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    signed = cut(rows.mapInArrow(_signatures, "doc_id long, th long, c1 long, c2 long, bands array<long>"))
+    again = cut(signed.where("c1 IS NOT NULL").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    repeats = again.limit(1).count() > 0
+    heads = _heads(signed)
+    filed = heads.select("node", F.explode("bands").alias("band"))
+    # Buckets of one document are gone after this.
+    sizes = cut(filed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    members = cut(filed.join(sizes, "band"))
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    leaders = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", (-F.col("node")).alias("less"))).alias("m")).select("band", (-F.col("m.less")).alias("leader"))
+    led = members.join(cut(leaders), "band").where("leader <> node")
+    pairs = cut(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """node, text and the other columns of nodes (node, ...); a text that several rows have is taken once."""
+        some = nodes.join(heads.select("node", F.col("id").alias("i"), F.col("th").alias("h")), "node")
+        own = rows.join(some, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).drop("doc_id", "th", "i", "h")
+        return cut(own.dropDuplicates(["node"]) if repeats else own)
+
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    links = cut(verify(pairs, texts_of(met)))
     labels = components(links)
-    # Buckets that still hold several components: their pairs across components.
-    placed = cut(members.join(labels, members["rep"] == labels["node"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label")))
-    mixed = cut(placed.groupBy("band").agg(F.min("label").alias("l1"), F.max("label").alias("l2"), F.count("*").alias("n")).where("l1 < l2").select("band", "n"))
-    left = cut(placed.join(mixed.where(F.col("n") <= PAIRED).select("band"), "band"))
-    other = left.withColumnsRenamed({"rep": "rep2", "label": "label2"})
-    across = left.join(other, "band").where("rep < rep2 AND label <> label2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    many = cut(placed.join(mixed.where(F.col("n") > PAIRED).select("band"), "band").select("rep", "label").distinct())
-    more = cut(verify(cut(close(across.union(rare_candidates(many, texts)))), texts))
-    # Rows of one id that are different texts fall together by their id.
-    edges = cut(links.union(more))
-    labels = components(edges) if more.limit(1).count() else labels
-    own = signed.select("doc_id", "c1", "c2").join(heads.select("c1", "c2", "rep"), ["c1", "c2"])
-    own = own.join(labels, own["rep"] == labels["node"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    own = own.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    ids = rows.select("doc_id")
-    return ids.join(own, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # Buckets that still hold several components.
+    placed = cut(members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
+    mixed = cut(placed.groupBy("band").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("band"))
+    many = texts_of(placed.join(mixed, "band").select("node", "label").distinct())
+    more = cut(verify(cut(rare_candidates(many)), many))
+    if more.limit(1).count():
+        labels = components(cut(links.union(more)))
+    found = heads.join(labels, "node", "left").select("c1", "c2", "node", "id", F.coalesce("label", "node").alias("class"), F.col("label").isNotNull().alias("linked"))
+    least = found.where("linked").groupBy(F.col("class").alias("k")).agg(F.min("id").alias("least"))
+    found = found.join(least, found["class"] == least["k"], "left").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "class", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("class_id"))
+    own = signed.drop("bands").join(cut(found), (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left")
+    return own.select("doc_id", "th", "class", F.when(F.col("c1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")), again
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and class_id for every row of docs."""
+    return _classes(docs, id, text)[0].select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs but those of a class with a smaller id; rows without an id stay, and so do repeated rows of an id that stays."""
-    found = near_duplicates(docs, id, text)
-    gone = cut(found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[id] == gone["__gone"], "left_anti")
+    """The rows of docs but for one of each class, the one of the smallest id; texts without words all stay."""
+    found, again = _classes(docs, id, text)
+    found = cut(found.where("class IS NOT NULL"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
+    stays = cut(found.groupBy(F.col("class").alias("k")).agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1"))
+    gone = found.join(stays, found["class"] == stays["k"]).where(~(F.col("doc_id").eqNullSafe(F.col("m.id")) & (F.col("th") == F.col("m.th"))))
+    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    again = again.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    same = lambda few: docs[id].cast("long").eqNullSafe(few["__id"]) & (F.xxhash64(docs[text]) == few["__th"])
+    left = docs.join(gone, same(gone), "left_anti")
+    # Of rows that repeat the one that stays, one stays.
+    if not again.limit(1).count():
+        return left
+    twice = left.join(again, same(again), "left_semi").dropDuplicates([id, text])
+    return left.join(again, same(again), "left_anti").unionByName(twice)
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
