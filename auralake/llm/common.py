@@ -9,13 +9,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.config import ship
 
 #: Bytes of text that the numpy kernels take at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
+#: Bytes of values that a side of a join may have to be broadcast.
+BROADCAST_BYTES = 1 << 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df (already cut) marked for broadcast if it has at most `most` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (already cut) marked for broadcast if its values take at most `most` bytes; else as it is, for a shuffled join.
+
+    Its values are counted at 16 bytes each and a string's own, which is about what they take in memory,
+    elements of an array at 32.
+    """
+
+    def extra(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 32 if kind.startswith("array") else F.lit(0), F.lit(0))
+
+    values = [F.lit(16) + extra(n, k) for n, k in df.dtypes]
+    size = df.agg(F.coalesce(F.sum(sum(values, F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most else df
 
 
 def columns_text(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -57,7 +57,7 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     hashed = F.xxhash64("text")
     shared = cut(rows.groupBy("d").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select(F.col("d").alias("shared")))
-    return rows.join(small(shared, 1_000_000), rows["d"] == shared["shared"], "left").select("doc_id", "d", F.when(F.col("shared").isNotNull(), hashed).otherwise(F.lit(0).cast("long")).alias("t"), "text")
+    return rows.join(small(shared), rows["d"] == shared["shared"], "left").select("doc_id", "d", F.when(F.col("shared").isNotNull(), hashed).otherwise(F.lit(0).cast("long")).alias("t"), "text")
 
 
 def _grams(least: int):

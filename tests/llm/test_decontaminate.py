@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -16,20 +17,17 @@ def shingles(w):
 
 
 def brute(docs, items):
-    """Best similarity of an aligned window for each document and item."""
+    """Best similarity for each document and item, over all places of a frame of the item's size."""
     out = {}
     for d, t in docs:
         a = shingles(words(t))
         for i, s in items:
-            w = words(s)
-            b = shingles(w)
-            for start in {p - o for p, x in enumerate(a) for o, y in enumerate(b) if x == y and p >= o}:
-                # any item of the same length may have placed the window
-                cut = a[start : start + max(len(w) - 4, 1)]
+            b = shingles(words(s))
+            for start in range(1 - len(b), len(a)):
+                cut = a[max(start, 0) : start + len(b)]
                 both = sum((Counter(cut) & Counter(b)).values())
-                sim = both / (len(cut) + len(b) - both)
-                if sim >= 0.8:
-                    out[d, i] = max(out.get((d, i), 0), round(sim, 6))
+                if both and 9 * both >= 4 * (len(cut) + len(b)):
+                    out[d, i] = max(out.get((d, i), 0), round(both / (len(cut) + len(b) - both), 6))
     return out
 
 
@@ -59,37 +57,68 @@ def test_documents_that_begin_within_an_item(spark):
     """Against all window starts: an item less its first word, and with a word deleted among its first five."""
     item = [f"q{i}" for i in range(30)]
     docs = [(1, " ".join(item[1:])), (2, " ".join(item[:2] + item[3:])), (3, " ".join(item[1:] + ["z"] * 50)), (4, " ".join(item[12:])), (5, " ".join(item[:4] + item[5:]))]
-    want = {}
-    for d, t in docs:
-        a, b = shingles(words(t)), shingles(item)
-        for start in range(len(a)):
-            cut = a[start : start + len(b)]
-            both = sum((Counter(cut) & Counter(b)).values())
-            want[d] = max(want.get(d, 0), round(both / (len(cut) + len(b) - both), 6))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    got = {r.doc_id: r.similarity for r in dc.contaminated(frame, bench).collect()}
-    assert got == {d: s for d, s in want.items() if s >= 0.8} and set(got) == {1, 2, 3, 5}
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.contaminated(frame, bench).collect()}
+    assert got == brute(docs, [(1, " ".join(item))]) and {d for d, _ in got} == {1, 2, 3, 5}
     assert [r.doc_id for r in dc.drop_contaminated(frame, bench).collect()] == [4]
 
 
-@pytest.mark.parametrize("flips", [0, 5, 23])
-def test_blocks_find_all_within_the_radius(spark, flips):
-    """Any two fingerprints within the radius agree on a block up to FLIPS bits."""
-    import random
-
-    rng = random.Random(flips)
-    for _ in range(500):
-        bits = set(rng.sample(range(64), flips))
-        assert min(sum(1 for x in bits if x // 8 == b) for b in range(8)) <= dc.FLIPS
-    near = spark.range(1).select(F.size(dc._near(F.lit(77)))).first()[0]
-    assert near == 37
+def test_parts_of_an_item_in_any_order(spark):
+    """The halves of an item swapped, items cut off at either end of a document, and a shingle repeated: as brute force has it."""
+    rng = random.Random(6)
+    item = [f"q{i}" for i in range(100)]
+    other = [f"r{i % 7}" for i in range(30)]
+    filler = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    docs = [(1, item), (2, item[50:] + item[:50]), (3, filler(20) + item[:86]), (4, item[12:] + filler(300)), (5, filler(9) + item[30:70] + item[:30] + item[70:] + filler(9)), (6, other[:20] + filler(4) + other), (7, filler(30) + item[:60] + filler(60) + item[60:])]
+    docs += [(10 + k, [w if rng.random() > 0.025 else "x" for w in filler(k) + item + other]) for k in range(25)]
+    docs = [(i, " ".join(w)) for i, w in docs]
+    items = [(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[:99])), (4, " ".join(other + ["end"]))]
+    found = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in found.collect()}
+    assert got == brute(docs, items)
+    assert {d for d, _ in got} >= {1, 2, 5, 6} and 7 not in {d for d, i in got if i in (1, 3)}
+
+
+def test_frames_leave_out_only_what_cannot_reach_the_threshold(spark):
+    rng = random.Random(2)
+    rows = []
+    for d in range(60):
+        s, n = rng.randrange(1, 60), rng.randrange(5, 25)
+        rows.append((d, n, s, sorted(p for p in range(s) if rng.random() < 0.9)))
+    got = {}
+    for r in dc.frames(spark.createDataFrame(rows, "d long, n int, s int, p array<int>"), "d").collect():
+        assert r.start not in got.setdefault(r.d, set())
+        got[r.d].add(r.start)
+    for d, n, s, p in rows:
+        m = n - 4
+        held = {a: (sum(a <= x < a + m for x in p), min(a + m, s) - max(a, 0)) for a in range(1 - m, s)}
+        assert got.get(d, set()) == {a for a, (t, c) in held.items() if t and 9 * t >= 4 * (c + m)}
+
+
+@pytest.mark.parametrize("apart", [0, 16, 40, 63])
+def test_blocks_find_all_within_the_radius(spark, apart):
+    """Fingerprints that far apart meet in the index, however the bits lie."""
+    rng, rows = random.Random(apart), []
+    for k in range(40):
+        a = [rng.randrange(1 << dc.BITS) for _ in range(dc.BLOCKS)]
+        b = list(a)
+        bits = rng.sample(range(dc.BLOCKS * dc.BITS), apart) if k else [x * dc.BITS + y for x in range(dc.BLOCKS) for y in range(4)][:apart]
+        for x in bits:
+            b[x // dc.BITS] ^= 1 << x % dc.BITS
+        rows.append((k, a, b))
+    df = spark.createDataFrame(rows, "k int, a array<int>, b array<int>")
+    index, asked = dc.filed(df.withColumn("fp", F.col("a")), dc.STORED, "k"), dc.filed(df.withColumn("fp", F.col("b")), dc.ASKED, "k")
+    assert index.join(asked, ["k", "block", "value"]).select("k").distinct().count() == 40
+    assert df.select(F.size(dc.near(F.lit(77), 2)), F.size(dc.near(F.lit(77), 1))).first() == (137, 17)
 
 
 def test_fingerprint_is_the_sign_of_sums(spark):
-    df = spark.createDataFrame([([1, 3, -1],)], "h array<bigint>")
-    got = df.select(dc.fingerprint(F.col("h"))).first()[0]
-    assert got == [3, 0, 0, 0, 0, 0, 0, 0]
+    df = spark.createDataFrame([([1, 3, -1, 12345],)], "h array<bigint>")
+    salted = [[r for (r,) in df.select(F.explode("h").alias("h")).select(F.xxhash64("h", F.lit(j))).collect()] for j in range(4)]
+    bits = [sum(1 if h >> b & 1 else -1 for h in own) > 0 for own in salted for b in range(64)]
+    want = [sum(1 << i for i in range(16) if bits[16 * b + i]) for b in range(16)]
+    assert df.select(dc.fingerprint(F.col("h"))).first()[0] == want
 
 
 def test_no_python_runs(spark):

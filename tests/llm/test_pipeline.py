@@ -24,7 +24,7 @@ def test_stages_do_what_they_say(spark):
 
     distinct = stages["MinHash near-dedup"](spark, good, SF).cache()
     of = classes([(r.doc_id, r.text) for r in good.collect()])
-    assert distinct.columns == columns and {r.doc_id for r in distinct.collect()} == {i for i, c in of.items() if i == c}
+    assert distinct.columns == columns and {r.doc_id for r in distinct.collect()} == {i for i, c in of if i == c}
 
     clean = stages["benchmark decontamination"](spark, distinct, SF).cache()
     rows = [(r.doc_id, r.text) for r in distinct.collect()]
