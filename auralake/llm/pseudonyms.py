@@ -8,9 +8,9 @@ different ones, and a pseudonym validates as its original did:
   card       13 to 19 digits, issuer range, Luhn    the first four digits stay, the check digit is new
   iban       country, length, remainder mod 97      country and letters stay, the check digits are new
   ssn        area, group and serial in range        over the valid numbers alone
-  phone      7 to 15 digits, grouped                the last ten digits, in place
+  phone      see PHONES                             the last ten digits, in place
   ip         four octets up to 255                  over the 2**32 addresses
-  date       a day that exists, three formats       within 73,000 days from 1900-01-01, or the next ones
+  date       a day that exists, four formats        the days of its 196 years, within the format
   email      local part and domain                  keyed hash, a domain under .example
   secret     32 to 64 hex digits, or the value      keyed hash of the same length
              after token, password, secret or key
@@ -22,13 +22,21 @@ Values that stand side by side, with a single blank or hyphen between, are found
 and told apart in it, from left to right: at each group the best span of groups is taken (see rank()), and if
 there is none the group stays.
 
-A null text stays null and has 0 found; an empty one stays empty. Texts of any length are read whole;
-each alternative of the pattern begins at the start of its run, so a run of any length is read once.
-Other columns stay as they are.
+dd/MM/yyyy and MM/dd/yyyy share strings: what reads as the former is permuted among these, and the rest,
+with a day above 12, among the rest, so no two slash dates have one pseudonym.
+
+A null text stays null and has 0 found; an empty one stays empty, and an empty table too. Texts of any
+length are read whole; each alternative of the pattern begins at the start of its run and does not go
+back into it, so a run of any length is read once. Repeated rows have equal results. A column that has
+the name of the count is replaced by it; other columns, whatever their names, stay as they are.
+
+The key decides all pseudonyms: who knows it can invert them. It is a parameter; the query takes it from
+spark.conf (KEY_SETTING), and only where that is unset, as for synthetic tables, the one in this file.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,17 +45,30 @@ from pyspark.sql import functions as F
 from auralake.llm.common import table
 
 ROUNDS = 8
-#: Days of a window of dates: 200 x 365.
-DAYS = (200, 365)
+#: The days of the years 1 to 9999 are 51 windows of 101 x 709 days; the first begins at EPOCH, and the years are taken as a ring.
+DAYS, WINDOWS = (101, 709), 51
 EPOCH = "1900-01-01"
+#: Steps of a walk from one slash date with a day above 12 to the next: six of ten dates have one.
+WALK = 64
+KEY_SETTING, UNSAFE_KEY = "spark.auralake.pseudonym.key", "auralake"
 
-EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+EMAIL = r"[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-PHONE = r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}"
+#: Three groups; (415)555-1234; +14155551234; +49 30 1234567; 06 12 34 56 78 and +33 6 12 34 56 78; 4155551234, ten
+#: digits as an area and an exchange begin. Seven digits alone are too common to be taken for a phone.
+PHONES = (
+    r"(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-][0-9]{3,4}[ .\-][0-9]{3,4}",
+    r"(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{3}\)[0-9]{3}[ .\-][0-9]{4}",
+    r"\+[0-9]{7,15}",
+    r"\+[0-9]{1,3}[ .\-](?:\([0-9]{2,4}\)|[0-9]{2,4})[ .\-]?[0-9]{5,8}",
+    r"(?:0|\+[0-9]{1,3}[ .\-]?)[0-9](?:[ .\-][0-9]{2}){4}",
+    r"[2-9][0-9]{2}[2-9][0-9]{6}(?![.\-/][0-9])",
+)
+PHONE = "(?:" + "|".join(rf"{p}(?![A-Za-z0-9])" for p in PHONES) + ")"
 SECRET = r"[A-Fa-f0-9]{32,64}"
 VALUE = r"(?=[A-Za-z0-9_/+\-]{8})(?<=[=: \"'])(?<=(?i:token|password|passwd|secret|api[_ \-]?key) ?[=:] ?[\"']?)[A-Za-z0-9_/+\-]{8,}+"
 #: Groups of digits, or an account number and what follows it, as far as they reach: values side by side are told apart later.
@@ -56,12 +77,16 @@ RUN = rf"(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++(?![A-Za-z0-9]){_GROUPS}"
 IBAN_RUN = rf"{IBAN}(?![A-Za-z0-9]){_GROUPS}"
 #: Groups of a span, at most: a card of single digits.
 SPAN = 19
+#: Groups that are told apart in one go.
+BLOCK = 512
 #: How cards are printed, with any of the separators.
 PRINTED = r"[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}(?:[ \-][0-9]{3})?|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}"
 ONE_SEPARATOR = r"[0-9]+(?:(?: [0-9]+)*|(?:-[0-9]+)*)"
 #: All begin where no letter or digit stands before, so within a word nothing is tried.
 _END, _NO_DOT = r"(?![A-Za-z0-9])", r"(?<![.\-/])"
-_ALL = (rf"(?<![._%+\-]){EMAIL}", VALUE, SECRET + _END, IBAN_RUN, _NO_DOT + RUN, _NO_DOT + SSN + _END, _NO_DOT + DATE + _END, rf"(?<!\.){IP}(?!\.?[A-Za-z0-9])", rf"(?<!\+){PHONE}{_END}")
+_ALL = (rf"(?<![._%+\-]){EMAIL}", VALUE, SECRET + _END, IBAN_RUN, _NO_DOT + RUN, _NO_DOT + SSN + _END, _NO_DOT + DATE + _END, rf"(?<!\.){IP}(?!\.?[A-Za-z0-9])", rf"(?<![+.\-/]){PHONE}")
+#: What any match holds: texts without it are not searched.
+ANY = "[0-9@=:]|[A-Fa-f]{32}"
 ALL = "(?<![A-Za-z0-9])(?:" + "|".join(_ALL) + ")"
 
 
@@ -201,19 +226,39 @@ def address(m: Column, key: str) -> Column:
     return let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), body)
 
 
-def date(m: Column, key: str) -> Column:
+def permuted_day(day: Column, key: str) -> Column:
+    """The image of a day of the years 1 to 9999 among the days of its window."""
     a, b = DAYS
+    ring, epoch, first = WINDOWS * a * b, F.lit(EPOCH).cast("date"), F.lit("0001-01-01").cast("date")
+    n = F.pmod(F.datediff(day, epoch), F.lit(ring))
+
+    def back(s: Column, window: Column) -> Column:
+        place = F.datediff(epoch, first) + window * (a * b) + s["l"] * b + s["r"]
+        return F.date_add(first, F.pmod(place, F.lit(ring)).cast("int"))
+
+    def body(n: Column) -> Column:
+        within = F.pmod(n, F.lit(a * b))
+        image = feistel(F.floor(within / b), F.pmod(within, F.lit(b)), F.lit(a).cast("long"), F.lit(b).cast("long"), key, "date")
+        return let(image, lambda s: back(s, F.floor(n / (a * b))))
+
+    return let(n, body)
+
 
-    def as_(form: str) -> Column:
-        def body(day: Column) -> Column:
-            n = F.datediff(day, F.lit(EPOCH).cast("date"))
-            window, within = F.floor(n / (a * b)), F.pmod(n, F.lit(a * b))
-            image = feistel(F.floor(within / b), F.pmod(within, F.lit(b)), F.lit(a).cast("long"), F.lit(b).cast("long"), key, "date")
-            return let(image, lambda s: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (window * (a * b) + s["l"] * b + s["r"]).cast("int")), form))
+def date(m: Column, key: str) -> Column:
+    def as_(form: str, walk: bool = False) -> Column:
+        # Only days that the format writes back as they were: four digits of the year.
+        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
+        day = F.when(day.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")), day)
+
+        def walked(day: Column) -> Column:
+            start = F.struct(permuted_day(day, key).alias("d"))
+            step = lambda s, _: F.when(F.dayofmonth(s["d"]) > 12, s).otherwise(F.struct(permuted_day(s["d"], key).alias("d")))
+            return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)["d"]
 
-        return let(F.try_to_timestamp(m, F.lit(form)).cast("date"), body)
+        return let(day, lambda d: F.when(d.isNotNull(), F.date_format(walked(d) if walk else permuted_day(d, key), form)))
 
-    return F.when(m.contains("-"), as_("yyyy-MM-dd")).when(m.contains("."), as_("dd.MM.yyyy")).otherwise(F.coalesce(as_("dd/MM/yyyy"), as_("MM/dd/yyyy")))
+    slash = let(as_("dd/MM/yyyy"), lambda d: F.when(d.isNotNull(), d).otherwise(as_("MM/dd/yyyy", True)))
+    return F.when(m.contains("-"), as_("yyyy-MM-dd")).when(m.contains("."), as_("dd.MM.yyyy")).otherwise(slash)
 
 
 def email(m: Column, key: str) -> Column:
@@ -232,19 +277,17 @@ def pseudonym(m: Column, key: str) -> Column:
     """What stands for a match: null if it does not validate."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
     digits = m.rlike("^[0-9 \\-]+$") & (F.length(only_digits(m)) >= 13)
-    return (
+    other = (
         F.when(m.contains("@"), email(m, key))
-        .when(digits & (F.length(only_digits(m)) <= 19) & card(m, key).isNotNull(), card(m, key))
         .when(whole(SSN), ssn(m, key))
         .when(whole(DATE), date(m, key))
         .when(whole(IP), address(m, key))
         .when(whole(SECRET) & ~digits, secret(m, key))
-        .when(whole(IBAN) & iban(m, key).isNotNull(), iban(m, key))
         .when(whole(PHONE), phone(m, key))
-        .when(digits, F.lit(None).cast("string"))
-        .when(whole(IBAN), F.lit(None).cast("string"))
+        .when(digits | whole(IBAN), F.lit(None).cast("string"))
         .otherwise(secret(m, key))
     )
+    return F.coalesce(F.when(digits & (F.length(only_digits(m)) <= 19), card(m, key)), F.when(whole(IBAN), iban(m, key)), other)
 
 
 def rank(span: Column, alone: Column) -> Column:
@@ -260,7 +303,7 @@ def rank(span: Column, alone: Column) -> Column:
     as_card = F.when(shape(CARD) & let(only_digits(span), card_fits), F.when(shape(PRINTED), 1).otherwise(other))
     return (
         F.when(span.rlike("^[A-Z]"), F.when(shape(IBAN) & let(F.replace(span, F.lit(" "), F.lit("")), iban_fits), 0))
-        .when(n > 19, None)
+        .when((n < 7) | (n > 19), None)
         .when(n >= 13, F.coalesce(as_card, F.when(shape(PHONE), 6)))
         .when(shape(SSN), 2)
         .when(shape(DATE), 3)
@@ -278,6 +321,8 @@ def told_apart(run: Column) -> Column:
         ranked = lambda k: let(span(k), lambda s: F.struct(rank(s, k == F.size(g)).alias("rank"), (-k).alias("less"), s.alias("span")))
         return F.array_min(F.filter(F.transform(F.sequence(F.lit(1), n), ranked), lambda x: x["rank"].isNotNull()))
 
+    parts = F.array().cast("array<struct<text:string,is_value:boolean>>")
+
     def cover(g: Column, b: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
             found, at = F.get(b, i), s["at"]
@@ -285,8 +330,12 @@ def told_apart(run: Column) -> Column:
             new = F.when(found.isNull(), F.array(part(F.get(g, i), False))).otherwise(F.array(part(found["span"], True), part(F.regexp_extract(last, "[ \\-]$", 0), False)))
             return F.struct(F.when(i < at, at).otherwise(i + F.coalesce(-found["less"], F.lit(1))).alias("at"), F.when(i < at, s["out"]).otherwise(F.concat(s["out"], new)).alias("out"))
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,is_value:boolean>>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda s: s["out"])
+        def block(s: Column, k: Column) -> Column:
+            # Parts gather by blocks: what a step copies does not grow with the run.
+            inner = F.aggregate(F.sequence(k, F.least(k + BLOCK, F.size(g)) - 1), F.struct(s["at"].alias("at"), parts.alias("out")), step)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(s["out"], x["out"]).alias("out")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), parts.alias("out")), block, lambda s: s["out"])
 
     groups = F.regexp_extract_all(run, F.lit("[^ \\-]+[ \\-]?"), F.lit(0))
     return let(groups, lambda g: let(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: best(g, i)), lambda b: cover(g, b)))
@@ -298,23 +347,32 @@ def values(m: Column) -> Column:
     return F.when(run & m.rlike("[ \\-]"), told_apart(m)).otherwise(F.array(F.struct(m.alias("text"), F.lit(True).alias("is_value"))))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "auralake", found: str | None = "n_found") -> DataFrame:
+def configured_key(spark: SparkSession) -> str:
+    """The key in spark.conf; without one, a warning and the key that this file makes public."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: the pseudonyms are made with a public key", stacklevel=2)
+    return key or UNSAFE_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str | None = "n_found") -> DataFrame:
     """docs with the personal data in `text` replaced, and the number of replaced matches as `found`."""
     t = F.col(text)
-    matches = docs.withColumn("__m", F.coalesce(F.regexp_extract_all(t, F.lit(ALL), F.lit(0)), F.array().cast("array<string>")))
+    m, p = (f"__{x}{'_' * max(map(len, docs.columns))}" for x in "mp")  # longer than any name of docs
+    none = F.array().cast("array<string>")
+    matches = docs.withColumn(m, F.when(t.rlike(ANY), F.regexp_extract_all(t, F.lit(ALL), F.lit(0))).otherwise(none))
     # Only rows with matches pay for the rest; the array is stored so that its use is not its definition.
     one = lambda v: let(F.when(v["is_value"], pseudonym(v["text"], key)), lambda p: F.struct(F.coalesce(p, v["text"]).alias("text"), p.isNotNull().cast("int").alias("n")))
-    new = F.transform("__m", lambda m: let(F.transform(values(m), one), lambda v: F.struct(F.array_join(v["text"], "").alias("text"), F.aggregate(v["n"], F.lit(0), lambda a, b: a + b).alias("n"))))
-    matches = matches.withColumn("__p", F.when(F.size("__m") > 0, new).otherwise(F.array().cast("array<struct<text:string,n:int>>")))
-    pieces = F.zip_with(F.split(t, ALL, -1), "__p", lambda gap, p: F.concat(gap, F.coalesce(p["text"], F.lit(""))))
-    done = F.when(F.size("__p") > 0, F.array_join(pieces, "")).otherwise(t)
-    count = F.aggregate("__p", F.lit(0), lambda a, p: a + p["n"])
-    out = matches.withColumns({text: done} | ({found: count} if found else {}))
-    return out.drop("__m", "__p")
+    new = F.transform(m, lambda x: let(F.transform(values(x), one), lambda v: F.struct(F.array_join(v["text"], "").alias("text"), F.aggregate(v["n"], F.lit(0), lambda a, b: a + b).alias("n"))))
+    matches = matches.withColumn(p, F.when(F.size(m) > 0, new).otherwise(F.array().cast("array<struct<text:string,n:int>>")))
+    pieces = F.zip_with(F.split(t, ALL, -1), p, lambda gap, x: F.concat(gap, F.coalesce(x["text"], F.lit(""))))
+    done = F.when(F.size(p) > 0, F.array_join(pieces, "")).otherwise(t)
+    count = F.aggregate(p, F.lit(0), lambda a, x: a + x["n"])
+    return matches.withColumns({text: done} | ({found: count} if found else {})).drop(m, p)
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark))
 
 
 QUERIES = {"op1_pseudonyms": op1_pseudonyms}

@@ -1,13 +1,17 @@
 import datetime
 import hashlib
 import re
+import time
 
 import pytest
 
 from auralake.llm import pseudonyms as ps
 
 
-def feistel(l, r, a, b, label, key="auralake"):
+KEY = "a key of the tests"
+
+
+def feistel(l, r, a, b, label, key=KEY):
     for i in range(ps.ROUNDS):
         h = lambda v: int(hashlib.sha256("|".join(map(str, (key, label, i, a, b, v))).encode()).hexdigest()[:14], 16)  # noqa: B023, E731
         if i % 2 == 0:
@@ -29,7 +33,7 @@ def luhn(d):
 
 def run(spark, *texts):
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, other string")
-    return sorted(ps.pseudonymise(df).collect())
+    return sorted(ps.pseudonymise(df, KEY).collect())
 
 
 def test_numbers_keep_their_format(spark):
@@ -53,12 +57,34 @@ def test_phones_addresses_and_numbers(spark):
 
 
 def test_dates(spark):
-    day = (datetime.date(2024, 2, 29) - datetime.date(1900, 1, 1)).days
-    l, r = feistel(day // 365, day % 365, 200, 365, "date")
-    new = datetime.date(1900, 1, 1) + datetime.timedelta(l * 365 + r)
-    out = run(spark, "2024-02-29", "29.02.2024", "29/02/2024", "02/29/2024", "2023-02-29")
-    assert [x.text for x in out] == [new.isoformat(), new.strftime("%d.%m.%Y"), new.strftime("%d/%m/%Y"), new.strftime("%m/%d/%Y"), "2023-02-29"]
-    assert [x.n_found for x in out] == [1, 1, 1, 1, 0]
+    epoch = datetime.date(1900, 1, 1)
+
+    def image(d):
+        n = (d - epoch).days % (51 * 101 * 709)
+        window, within = divmod(n, 101 * 709)
+        l, r = feistel(within // 709, within % 709, 101, 709, "date")
+        return datetime.date.fromordinal((epoch.toordinal() - 1 + window * 101 * 709 + l * 709 + r) % (51 * 101 * 709) + 1)
+
+    assert datetime.date.max.toordinal() == 51 * 101 * 709
+    new = walk = image(datetime.date(2024, 2, 29))
+    while walk.day <= 12:
+        walk = image(walk)
+    out = run(spark, "2024-02-29", "29.02.2024", "29/02/2024", "02/29/2024", "2023-02-29", "9999-12-30", "0001-01-02", "0000-01-02", "02/30/2024")
+    assert [x.text for x in out[:3]] == [new.isoformat(), new.strftime("%d.%m.%Y"), new.strftime("%d/%m/%Y")]
+    assert out[3].text == walk.strftime("%m/%d/%Y")
+    assert [out[k].text for k in (5, 6)] == [image(datetime.date(9999, 12, 30)).isoformat(), image(datetime.date(1, 1, 2)).isoformat()]
+    assert [out[k].text for k in (4, 7, 8)] == ["2023-02-29", "0000-01-02", "02/30/2024"] and [x.n_found for x in out] == [1, 1, 1, 1, 0, 1, 1, 0, 0]
+
+
+def test_slash_dates_are_one_to_one(spark):
+    """All of twenty years, in both orders; and the days at either end of the calendar keep four digits."""
+    days = [datetime.date(2001, 1, 1) + datetime.timedelta(k) for k in range(7300)]
+    texts = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    ends = [datetime.date.fromordinal(k) for k in (*range(1, 300), *range(datetime.date.max.toordinal() - 300, datetime.date.max.toordinal() + 1))]
+    df = spark.createDataFrame([(t,) for t in texts] + [(d.isoformat(),) for d in ends], "text string")
+    got = [r.text for r in ps.pseudonymise(df.repartition(4), KEY).collect()]
+    assert len(set(got)) == len(texts) + len(ends)
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}", t) for t in got)
 
 
 def test_accounts(spark):
@@ -78,9 +104,9 @@ def test_mail_and_secrets(spark):
 
 def test_permutations_are_one_to_one(spark):
     df = spark.range(100, 1000).selectExpr("id AS doc_id", "concat('10.0.', id DIV 250, '.', id % 250) AS text")
-    assert ps.pseudonymise(df).select("text").distinct().count() == 900
+    assert ps.pseudonymise(df, KEY).select("text").distinct().count() == 900
     days = spark.range(0, 800).selectExpr("id AS doc_id", "cast(date_add(date'2099-01-01', cast(id AS int)) AS string) AS text")
-    assert ps.pseudonymise(days).select("text").distinct().count() == 800
+    assert ps.pseudonymise(days, KEY).select("text").distinct().count() == 800
 
 
 @pytest.mark.parametrize("s", ["", "plain words. Version 2.0 of 3", "4845168114407320 and 1234567890123456", "999.1.1.1 and 1.2.3", "666-12-3456 000-12-3456 123-00-4567", "Apache License, Version 2.0, January 2004", "a@b", "deadbeef", "12:30:45", "3.14159265358979"])
@@ -88,6 +114,30 @@ def test_clean_texts_stay(spark, s):
     assert run(spark, s)[0].text == s and run(spark, s)[0].n_found == 0
 
 
+def test_forms_of_phones(spark):
+    texts = ["(415)555-1234", "4155551234", "+14155551234", "415-555-1234", "+1 (415) 555-1234", "+1 415 555 1234", "+49 30 1234567", "06 12 34 56 78", "+33 6 12 34 56 78"]
+    out = run(spark, *texts, "555-1234", "1700000000", "1.4155551234", "4155551234-2", "x4155551234", "+1 415 555 1234 2024-01-15")
+    assert [r.n_found for r in out] == [1] * len(texts) + [0, 0, 0, 0, 0, 2]
+    assert all(re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", t) and r.text != t for r, t in zip(out, texts, strict=False))
+    assert len({re.sub(r"\D", "", r.text)[-10:] for r in out[:6]}) == 1
+
+
+@pytest.mark.parametrize("unit", [".c", "-c", "c.", "1", "1 ", "1-", "12.", "AB12 ", "AB12", "a", "F", "0f", "+1", "+1 ", "(415) ", "12/", "2024-01-", "token=", "=a", "415 555 ", "06 12 ", "a@", "a@b."])
+def test_long_runs_of_any_alternative(spark, unit):
+    long = unit * ((1_000_000 if unit in (".c", "-c", "c.", "1", "AB12", "a", "F", "0f", "=a", "a@", "a@b.") else 50_000) // len(unit))
+    began = time.time()
+    out = run(spark, f"a@b{long}", long, f"DE89 {long} x", f"token={long}")
+    assert len(out) == 4 and time.time() - began < 60
+
+
+def test_the_key_is_configured(spark):
+    with pytest.warns(UserWarning, match=ps.KEY_SETTING):
+        assert ps.configured_key(spark) == ps.UNSAFE_KEY
+    spark.conf.set(ps.KEY_SETTING, "other")
+    assert ps.configured_key(spark) == "other"
+    spark.conf.unset(ps.KEY_SETTING)
+
+
 def test_values_side_by_side(spark):
     card, ssn, day, phone, account = "4111 1111 1111 1111", "123-45-6789", "1980-01-15", "415-555-1234", "AT611904300234573201"
     alone = {v: r.text for v, r in zip((card, ssn, day, phone, account), run(spark, card, ssn, day, phone, account), strict=True)}
@@ -106,11 +156,12 @@ def test_long_runs_of_numbers(spark):
 
 def test_cases(spark):
     long = "word " * 40_000 + "4417744280351547 " + "x" * 100_000
-    df = spark.createDataFrame([(1, None), (None, "4417744280351547"), (2, long), (2, long), (3, "4417744280351547" * 100)], "doc_id long, text string").selectExpr("*", "1 AS n_found", "2 AS __x")
-    got = ps.pseudonymise(df).collect()
+    df = spark.createDataFrame([(1, None), (None, "4417744280351547"), (2, long), (2, long), (3, "4417744280351547" * 100)], "doc_id long, text string").selectExpr("*", "1 AS n_found", "2 AS __x", "3 AS __m", "4 AS __p")
+    got = ps.pseudonymise(df, KEY).collect()
     assert got[0].text is None and got[0].n_found == 0 and got[2].text == got[3].text and len(got[2].text) == len(long)
+    assert got[0].asDict().keys() == set(df.columns) and got[0]['__m'] == 3 and got[0]['__p'] == 4
     assert got[1].text in got[2].text and got[4].n_found == 0
-    assert ps.pseudonymise(df.limit(0)).count() == 0
+    assert ps.pseudonymise(df.limit(0), KEY).count() == 0
 
 
 def test_no_python_runs(spark):
