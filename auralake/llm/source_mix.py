@@ -11,10 +11,14 @@ of e whole epochs and a rest takes every document e times; then documents in the
 until the rest is used up, the last one in part.
 
 The prefix sums are made in two steps, over buckets of the key and within a bucket, so that a source
-that holds most rows is spread over as many tasks as it has buckets.
-
-Null and empty texts have size 0 and take 0; a null source is a source of its own, last in order.
-Rows of one id are told apart by size; equal rows are interchangeable. An empty table gives no rows.
+that holds most rows is spread over as many tasks as it has buckets. Buckets are cut at equal steps of the
+keys' distribution, which follows from a source's weights (a histogram of them), so they are about equally
+full whatever the weights are; where they are cut changes no result.
+
+Null and empty texts have size 0 and take 0; a null source is a source of its own, last in order. Texts
+are counted whole, however long. Rows of one id are told apart by size, a row without an id draws by its
+text; equal rows are interchangeable. An empty table gives no rows. Extra columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -63,9 +67,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return levels.select("source", "source_size", "rows", F.round(target, 6).alias("target"))
 
 
+def bucket_of(key: Column, classes: Column) -> Column:
+    """The bucket of a key, which never falls as the key grows: how many documents are expected to have a smaller one, by BUCKET_ROWS."""
+    less = F.aggregate(classes, F.lit(0.0), lambda sum_, c: sum_ + c["n"] * (1 - F.exp(-key * c["w"])))
+    return F.floor(less / BUCKET_ROWS).cast("long")
+
+
 def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, share: float = 1.0, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, taken, and the key that ordered the documents, for every row of docs."""
-    u = hashed_uniform(F.col(id), seed)
+    u = hashed_uniform(F.coalesce(F.col(id).cast("string"), F.col(text), F.lit("")), seed)
     rows = docs.select(
         F.col(id).cast("long").alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -74,12 +84,17 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
         F.coalesce(weight if weight is not None else quality_weight(text), F.lit(1.0)).alias("weight"),
     )
     slim = cut(rows)
-    targets = cut(source_targets(slim, weights, most, share))
-    keyed = slim.join(small(targets, 100_000), slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    # 1 - exp(-key) runs over (0, 1) as the key grows; with weights about 1 it is about uniform.
-    key = -F.log(F.coalesce("u", F.lit(0.5))) / F.greatest("weight", F.lit(1e-6))
-    bucket = F.floor((1 - F.exp(-key)) * F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long")
-    keyed = keyed.select("doc_id", "size", "source", "source_size", "target", "rows", key.alias("key"), bucket.alias("bucket"))
+    # How many documents of a source have which weight, four classes to a factor of e.
+    held = F.greatest("weight", F.lit(1e-6))
+    classes = slim.groupBy(F.col("source").alias("s"), F.floor(F.log(held) * 4).alias("class")).agg(F.count("*").alias("n"), F.avg(held).alias("w"))
+    classes = classes.groupBy("s").agg(F.collect_list(F.struct("n", "w")).alias("classes"))
+    targets = source_targets(slim, weights, most, share)
+    targets = cut(targets.join(classes, F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    keyed = slim.join(small(targets), slim["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    key = -F.log("u") / held
+    bucket = bucket_of(F.col("key"), F.col("classes"))
+    keyed = keyed.withColumn("key", key)
+    keyed = keyed.select("doc_id", "size", "source", "source_size", "target", "rows", "key", bucket.alias("bucket"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("rows").alias("rows"))
     # Buckets of a source in turn: one row for each few thousand documents, and by a second level above those.
     upper = F.floor(F.col("bucket") / 1024)
@@ -106,7 +121,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op6_source_mix": op6_source_mix}
 SIZES_SQL = r"""
 SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-  (CAST(CAST('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u,
+  (CAST(CAST('0x' || substr(md5('mix' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u,
   CASE WHEN length(text) > 0 THEN greatest(0.05, pow(length(translate(text, '0123456789!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', '')) / length(text), 2)) ELSE 1.0 END AS weight
 FROM {docs}
 """
@@ -125,7 +140,7 @@ sizes AS ({sizes}
   SELECT source, source_size, round(least(cap::DOUBLE, coalesce((SELECT level FROM held) * w, cap::DOUBLE)), 6) AS target FROM levels
 ), keyed AS (
   SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS words,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY -ln(coalesce(u, 0.5)) / greatest(weight, 1e-6), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY -ln(u) / greatest(weight, 1e-6), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), mixed AS (
   SELECT doc_id, size::BIGINT AS size, source_size, target,

@@ -59,6 +59,20 @@ def test_quality_comes_first(spark):
     assert mean[True] > mean[False]
 
 
+@pytest.mark.parametrize("least", [0.05, 0.25, 1.0])
+def test_buckets_are_about_equally_full(spark, monkeypatch, least):
+    """The largest holds less than 4 times the mean for weights of 0.05 to 1."""
+    monkeypatch.setattr(sm, "cut", lambda df: df)
+    n = 60_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("a").alias("source"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(least).alias("weight"))
+    plan = sm.mix_sources(docs, weight=F.col("weight"))
+    u = sm.hashed_uniform(F.col("doc_id"), "mix")
+    keys = docs.select("weight", (-F.log(u) / F.col("weight")).alias("key"))
+    classes = F.array(*(F.struct(F.lit(n * a).alias("n"), F.lit(w).alias("w")) for a, w in ((1 / 3, 1.0), (2 / 3, least))))
+    sizes = [r["count"] for r in keys.groupBy(sm.bucket_of(F.col("key"), classes)).count().collect()]
+    assert max(sizes) < 4 * n / len(sizes) and len(sizes) > 0.8 * n / sm.BUCKET_ROWS and plan.count() == n
+
+
 def test_cases(spark):
     rows = [(1, None, None, 0), (2, "", "a", 0), (None, "x y", "a", 0), (3, "x y", "a", 0), (3, "x y", "a", 0), (4, "x " * 50_000, "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rows int").withColumn("key", F.lit(1)).withColumn("target", F.lit(2))
