@@ -112,5 +112,5 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def held_out(id: str, folds: int, fold: int) -> Column:
-    """Whether crc32(id as text) mod folds is fold."""
-    return F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds)) == fold
+    """Whether crc32(id as text) mod folds is fold; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id).cast("string")), F.lit(folds)) == fold, F.lit(False))

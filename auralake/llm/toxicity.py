@@ -1,15 +1,20 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and their prefixes of 4 to 7 bytes, so that members of a word family
-share terms. Terms of fewer than `mindf` rows of the
-sample are left out, and a text with n distinct terms has the value 1 / sqrt(n) at each. The machine scores
+share terms. A term of the sample counts for more the further its log-odds stand from none, in standard
+errors: its value is that to the power of POWER, at least 1, and a text's values have unit length. No term
+of at least `mindf` rows of the sample is left out, so a pair of terms that are neutral by themselves, each
+as frequent in either class, can still be learned. Labels of the rows set aside for the calibration
+have no part in the values. The machine scores
 w0 + <w, x> + the sum over pairs <v_i, v_j> x_i x_j with low-rank v: a pair of terms, such as an
 insult and the mention of a group, can count for more than its parts. It is fitted by Adagrad on the
 logistic loss over a bounded sample of labelled rows (SAMPLE) and calibrated on a fifth of it.
+Texts are read whole, however long.
 
 A null or empty text, or one without words, gets the score of no terms: the calibrated intercept.
 Without labelled rows, or with labels of one kind only, every score is the smoothed share of label 1.
-Repeated rows get equal scores; extra columns of docs are dropped, those of labels are not read.
+Repeated rows get equal scores; an empty table gives no rows; extra columns of docs, whatever their
+names, are dropped, those of labels are not read. A null id is held out of nothing and learned from by nobody.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from auralake.llm.wordhash import fold, span_hashes, word_spans
 
 #: Labelled rows that are fitted on, at most about.
 SAMPLE = 8000
-BITS, RANK = 18, 4
+BITS, RANK, POWER = 18, 4, 1.5
 PREFIXES = (4, 5, 6, 7)
 
 
@@ -45,19 +50,19 @@ def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Machine:
-    """A fitted factorization machine with its calibration."""
+    """A fitted factorization machine with its calibration; scale is 0 at buckets that are no terms."""
 
-    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray, common: np.ndarray, a: float, b: float):
-        self.common, self.w0, self.wv, self.a, self.b = common, w0, np.concatenate([w[:, None], v], 1).astype(np.float32), a, b
-        self.v2 = (self.wv[:, 1:] ** 2).sum(1)
+    def __init__(self, w0: float, w: np.ndarray, v: np.ndarray, scale: np.ndarray, a: float, b: float):
+        self.scale, self.w0, self.wv, self.a, self.b = scale.astype(np.float32), w0, np.concatenate([w[:, None], v], 1).astype(np.float32), a, b
 
     def margin(self, own: np.ndarray) -> float:
-        own = own[self.common[own]]
+        x = self.scale[own].astype(np.float64)
+        own, x = own[x > 0], x[x > 0]
         if not len(own):
             return self.w0
-        x = 1 / np.sqrt(len(own))
-        sums = self.wv[own].sum(0, dtype=np.float64) * x
-        return float(self.w0 + sums[0] + 0.5 * ((sums[1:] ** 2).sum() - self.v2[own].sum(dtype=np.float64) * x * x))
+        parts = self.wv[own] * (x / np.sqrt(x @ x))[:, None]
+        sums = parts.sum(0)
+        return float(self.w0 + sums[0] + 0.5 * ((sums[1:] ** 2).sum() - (parts[:, 1:] ** 2).sum()))
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         buckets, at = terms(data, offs)
@@ -74,30 +79,27 @@ class Machine:
         return learn.sigmoid(self.a * out + self.b)
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray, mindf: int, select: int) -> np.ndarray:
-    """Which buckets are terms of the machine: the `select` whose log-odds stand out most from their error.
-
-    A term of fewer than mindf rows tells those rows apart and no others.
-    """
-    n = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if (v > 0) == k] or [np.zeros(0, int)]), minlength=1 << BITS) for k in (False, True)]
+def scales(rows: list[np.ndarray], y: np.ndarray, mindf: int) -> np.ndarray:
+    """How much each bucket counts; 0 if fewer than mindf rows have it, which tells those rows apart and no others."""
+    n = [np.bincount(np.concatenate([np.zeros(0, int), *(r for r, v in zip(rows, y, strict=True) if (v > 0) == k)]), minlength=1 << BITS) for k in (False, True)]
     size = [(y <= 0).sum(), (y > 0).sum()]
     odds = [np.log((n[k] + 0.5) / (size[k] - n[k] + 0.5)) for k in (0, 1)]
     error = np.sqrt(sum(1 / (n[k] + 0.5) + 1 / (size[k] - n[k] + 0.5) for k in (0, 1)))
-    z = np.where(n[0] + n[1] >= mindf, np.abs(odds[1] - odds[0]) / error, 0)
-    return (z >= max(2.0, np.sort(z)[-select])) & (z > 0)
+    return np.where(n[0] + n[1] >= mindf, np.maximum(np.abs(odds[1] - odds[0]) / error, 1.0) ** POWER, 0.0)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.3, decay: float = 1e-6, mindf: int = 4, select: int = 1024, seed: int = 5) -> Machine:
-    """Adagrad over minibatches; a fifth of the rows is set aside for the calibration."""
+def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.3, pairs: float = 0.1, decay: float = 1e-6, mindf: int = 4, seed: int = 5) -> Machine:
+    """Adagrad over minibatches, the pair weights at `pairs` of the rate; a fifth of the rows is set aside for the calibration."""
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return Machine(0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK)), np.zeros(1 << BITS, bool), 0.0, float(np.log(p / (1 - p))))
-    rows, common = [*rows], telling(rows, y, mindf, select)
-    rows = [r[common[r]] for r in rows]
+        return Machine(0.0, np.zeros(1 << BITS), np.zeros((1 << BITS, RANK)), np.zeros(1 << BITS), 0.0, float(np.log(p / (1 - p))))
+    aside = np.arange(len(y)) % 5 == 0
+    scale = scales([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], mindf)
+    rows = [r[scale[r] > 0] for r in rows]
+    values = [scale[r] / np.sqrt((scale[r] ** 2).sum()) if len(r) else np.zeros(0) for r in rows]
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(1 << BITS), rng.normal(0, 0.05, (1 << BITS, RANK))
     g0, gw, gv = 1e-6, np.full(1 << BITS, 1e-6), np.full((1 << BITS, RANK), 1e-6)
-    aside = np.arange(len(y)) % 5 == 0
     use = np.array([k for k in np.flatnonzero(~aside) if len(rows[k])], int)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(epochs):
@@ -106,7 +108,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64,
             some = use[i : i + batch]
             sizes = np.array([len(rows[k]) for k in some])
             idx, of = np.concatenate([rows[k] for k in some]), np.repeat(np.arange(len(some)), sizes)
-            x = (1 / np.sqrt(sizes))[of]
+            x = np.concatenate([values[k] for k in some])
             edges = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             vx = v[idx] * x[:, None]
             s = np.add.reduceat(vx, edges)
@@ -120,9 +122,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64,
             gv[uniq] += dv**2
             g0 += e.sum() ** 2
             w[uniq] -= rate * dw / np.sqrt(gw[uniq])
-            v[uniq] -= 0.1 * rate * dv / np.sqrt(gv[uniq])
+            v[uniq] -= pairs * rate * dv / np.sqrt(gv[uniq])
             w0 -= rate * e.sum() / np.sqrt(g0)
-    m = Machine(w0, w, v, common, 1.0, 0.0)
+    m = Machine(w0, w, v, scale, 1.0, 0.0)
     held = np.flatnonzero(aside) if len(set(y[aside])) > 1 else np.arange(len(y))
     m.a, m.b = learn.platt(np.array([m.margin(rows[k]) for k in held]), y[held])
     return m

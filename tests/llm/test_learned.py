@@ -34,6 +34,42 @@ def test_language_on_held_out_rows(spark):
 
 
 
+def test_the_machine_sums_over_pairs():
+    """The margin against the sum over all pairs, term by term."""
+    rng = np.random.default_rng(1)
+    n = 1 << toxicity.BITS
+    w, v, scale = rng.normal(size=n), rng.normal(size=(n, toxicity.RANK)), np.where(rng.random(n) < 0.8, rng.random(n) + 0.5, 0)
+    m = toxicity.Machine(0.3, w, v, scale, 1.0, 0.0)
+    for size in (0, 1, 2, 40):
+        own = np.unique(rng.integers(0, n, size))
+        have = [k for k in own if scale[k] > 0]
+        length = np.sqrt(sum(scale[k] ** 2 for k in have))
+        x = {k: scale[k] / length for k in have}
+        want = 0.3 + sum(w[k] * x[k] for k in have) + sum(v[i] @ v[j] * x[i] * x[j] for i in have for j in have if i < j)
+        assert abs(m.margin(own) - want) < 1e-4
+
+
+def test_the_machine_learns_pairs_of_neutral_terms():
+    """A text is toxic if both or neither of two words are there, each as frequent in either class: no additive weight helps."""
+    rng = np.random.default_rng(0)
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < 0.5
+        words = [f"filler{rng.integers(0, 60)}" for _ in range(4)] + ["sneer" if a else "chat", "people" if b else "house"]
+        texts.append(" ".join(words))
+        y.append(float(a == b))
+    rows = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        rows.append(np.unique(toxicity.terms(raw, np.array([0, len(raw)]))[0]))
+    y = np.array(y)
+    m = toxicity.fit(rows[:3000], y[:3000], epochs=30, pairs=1.0)
+    right = np.mean([(m.margin(r) * m.a + m.b > 0) == v for r, v in zip(rows[3000:], y[3000:], strict=True)])
+    m.wv[:, 1:] = 0
+    additive = np.mean([(m.margin(r) * m.a + m.b > 0) == v for r, v in zip(rows[3000:], y[3000:], strict=True)])
+    assert right > 0.9 and additive < 0.6
+
+
 @pytest.mark.parametrize("name", ["toxicity", "quality", "language"])
 def test_cases(spark, name):
     rows = [(1, None, "en"), (2, "", "en"), (3, "!!! ... 12", None), (4, "good words are here " * 20, "en"), (4, "good words are here " * 20, "en"), (None, "x", "de"), (5, "z " * 100_000, "de"), (6, "schöne worte sind hier " * 20, "de")]
