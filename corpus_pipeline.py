@@ -30,7 +30,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data; n_chars counts the new text."""
-    return pseudonyms.pseudonymise(docs, found=None).withColumn("n_chars", F.length("text").cast("long"))
+    return pseudonyms.pseudonymise(docs, pseudonyms.configured_key(spark), found=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
