@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm.common import chunks, columns_text, cut, table
+from auralake.llm.common import chunks, columns_text, cut, small, table
 from auralake.llm.wordhash import mix, text_shingles
 
 BANDS, ROWS = 24, 5
@@ -276,8 +276,8 @@ def _classes(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """node, text and the other columns of nodes (node, ...); a text that several rows have is taken once."""
-        some = nodes.join(heads.select("node", F.col("id").alias("i"), F.col("th").alias("h")), "node")
-        own = rows.join(some, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).drop("doc_id", "th", "i", "h")
+        some = cut(nodes.join(heads.select("node", F.col("id").alias("i"), F.col("th").alias("h")), "node"))
+        own = rows.join(small(some), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).drop("doc_id", "th", "i", "h")
         return cut(own.dropDuplicates(["node"]) if repeats else own)
 
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -312,7 +312,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
     again = again.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
     same = lambda few: docs[id].cast("long").eqNullSafe(few["__id"]) & (F.xxhash64(docs[text]) == few["__th"])
-    left = docs.join(gone, same(gone), "left_anti")
+    left = docs.join(small(gone), same(gone), "left_anti")
     # Of rows that repeat the one that stays, one stays.
     if not again.limit(1).count():
         return left
