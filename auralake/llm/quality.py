@@ -78,24 +78,15 @@ class Model:
         return learn.sigmoid(self.a * out + self.b)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 12, mix: float = 0.9, seed: int = 3) -> Model:
-    """Dual coordinate descent on the hinge loss, with classes weighted to equal shares."""
-    if not len(y) or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return Model(np.zeros(TWICE + 1), 0.0, 0.0, float(np.log(p / (1 - p))))
-    aside = np.arange(len(y)) % 5 == 0
-    use = np.flatnonzero(~aside) if len(set(y[~aside])) > 1 else np.arange(len(y))
-    sums = np.ones((2, TWICE + 1))
-    for k in use:
-        sums[int(y[k])][rows[k]] += 1
-    r = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
-    sign = np.where(y > 0, 1.0, -1.0)
-    upper = c * np.where(y > 0, 0.5 / (y[use] > 0).mean(), 0.5 / (y[use] <= 0).mean())
-    x = {k: r[rows[k]] / np.sqrt(len(rows[k])) for k in use}
-    square = {k: float(x[k] @ x[k]) + 1.0 for k in use}
-    alpha, w, bias, rng = np.zeros(len(y)), np.zeros(TWICE + 1), 0.0, np.random.default_rng(seed)
+def dual_descent(rows: list[np.ndarray], x: list[np.ndarray], sign: np.ndarray, upper: np.ndarray, size: int, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, float]:
+    """alpha, weights and bias that minimise (w.w + bias^2) / 2 and upper * hinge loss of each row.
+
+    A row has the values x at the places rows; one coordinate of the dual is set to its best at a time.
+    """
+    square = [float(v @ v) + 1.0 for v in x]
+    alpha, w, bias = np.zeros(len(rows)), np.zeros(size), 0.0
     for _ in range(epochs):
-        for k in rng.permutation(use):
+        for k in rng.permutation(len(rows)):
             g = sign[k] * (w[rows[k]] @ x[k] + bias) - 1
             new = min(max(alpha[k] - g / square[k], 0.0), upper[k])
             if new != alpha[k]:
@@ -103,6 +94,29 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 12,
                 alpha[k] = new
                 w[rows[k]] += step * x[k]
                 bias += step
+    return alpha, w, bias
+
+
+def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The log of each bucket's smoothed share in the rows of label 1, less that in the others."""
+    sums = np.ones((2, TWICE + 1))
+    for r, v in zip(rows, y, strict=True):
+        sums[int(v)][r] += 1
+    return np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 12, mix: float = 0.9, seed: int = 3) -> Model:
+    """Dual coordinate descent on the hinge loss, with classes weighted to equal shares."""
+    if not len(y) or y.min() == y.max():
+        p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
+        return Model(np.zeros(TWICE + 1), 0.0, 0.0, float(np.log(p / (1 - p))))
+    aside = np.arange(len(y)) % 5 == 0
+    use = np.flatnonzero(~aside) if len(set(y[~aside])) > 1 else np.arange(len(y))
+    own, label = [rows[k] for k in use], y[use]
+    r = ratios(own, label)
+    upper = c * np.where(label > 0, 0.5 / (label > 0).mean(), 0.5 / (label <= 0).mean())
+    x = [r[k] / np.sqrt(len(k)) for k in own]
+    _, w, bias = dual_descent(own, x, np.where(label > 0, 1.0, -1.0), upper, TWICE + 1, epochs, np.random.default_rng(seed))
     w = (1 - mix) * np.abs(w).mean() + mix * w
     m = Model(r * w, bias, 1.0, 0.0)
     held = np.flatnonzero(aside) if len(set(y[aside])) > 1 else use

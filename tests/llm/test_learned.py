@@ -70,6 +70,56 @@ def test_the_machine_learns_pairs_of_neutral_terms():
     assert right > 0.9 and additive < 0.6
 
 
+def test_dual_descent_reaches_the_optimum():
+    """Primal and dual objective meet, the weights are those of alpha, and ratios are counted one by one."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(120)]
+    x = [rng.normal(size=len(r)) / np.sqrt(len(r)) for r in rows]
+    sign = np.where(rng.random(120) < 0.4, 1.0, -1.0)
+    upper = np.where(sign > 0, 1.2, 0.8)
+    alpha, w, bias = quality.dual_descent(rows, x, sign, upper, 40, 400, np.random.default_rng(0))
+    again = np.zeros(40)
+    for r, v, s, a in zip(rows, x, sign, alpha, strict=True):
+        again[r] += a * s * v
+    assert np.allclose(again, w) and abs((alpha * sign).sum() - bias) < 1e-9 and (alpha >= 0).all() and (alpha <= upper).all()
+    loss = sum(u * max(0.0, 1 - s * (w[r] @ v + bias)) for r, v, s, u in zip(rows, x, sign, upper, strict=True))
+    norm = (w @ w + bias * bias) / 2
+    assert 0 <= norm + loss - (alpha.sum() - norm) + 1e-9 < 0.01 * (norm + loss)
+
+    y = (sign > 0).astype(float)
+    r = quality.ratios(rows, y)
+    count = lambda j, v: 1 + sum(j in k for k, t in zip(rows, y, strict=True) if t == v)
+    for j in (0, 7, 39):
+        total = [sum(len(k) for k, t in zip(rows, y, strict=True) if t == v) + quality.TWICE + 1 for v in (0, 1)]
+        assert abs(r[j] - np.log(count(j, 1) / total[1]) + np.log(count(j, 0) / total[0])) < 1e-12
+
+
+def test_language_model_against_a_loop():
+    """Logits as averages, the temperature of the least loss, and the acceptance that keeps the share that is right."""
+    rng = np.random.default_rng(3)
+    rows, counts, y = [], [], []
+    for k in range(300):
+        lang = ("aa", "bb", "cc")[k % 3]
+        mixed = np.concatenate([rng.integers(0, 300, 4) + 300 * "abc".index(lang[0]), rng.integers(0, 900, 12)])
+        own, n = np.unique(mixed, return_counts=True)
+        rows.append(own)
+        counts.append(n)
+        y.append(lang)
+    m = language.fit(rows, counts, y)
+    for r, n in zip(rows[:5], counts[:5], strict=True):
+        every = np.repeat(r, n)
+        want = np.array([sum(float(m.weights[b, c]) for b in every) / len(every) + m.bias[c] for c in range(3)])
+        assert np.allclose(m.logits(every), want, atol=1e-5) and np.allclose(m.logits(r, n), want, atol=1e-5)
+    held = range(0, 300, 5)
+    logits = [m.logits(rows[k], counts[k]) for k in held]
+    label = ["abc".index(y[k][0]) for k in held]
+    loss = lambda t: -np.mean([z[c] / t - np.log(np.exp(z / t).sum()) for z, c in zip(logits, label, strict=True)])
+    assert all(loss(m.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.02, 20, 60))
+    p = [np.exp(z / m.temperature) / np.exp(z / m.temperature).sum() for z in logits]
+    right = [v.argmax() == c for v, c in zip(p, label, strict=True) if v.max() >= m.accept]
+    assert not right or np.mean(right) >= language.ACCEPTED
+
+
 @pytest.mark.parametrize("name", ["toxicity", "quality", "language"])
 def test_cases(spark, name):
     rows = [(1, None, "en"), (2, "", "en"), (3, "!!! ... 12", None), (4, "good words are here " * 20, "en"), (4, "good words are here " * 20, "en"), (None, "x", "de"), (5, "z " * 100_000, "de"), (6, "schöne worte sind hier " * 20, "de")]
