@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +40,12 @@ class Generator(Protocol):
     def generate(self, prompts: list[list[int]]) -> list[list[int]]: ...
 
 
-_made: dict[int, object] = {}
+_made: dict[bytes, object] = {}
 
 
 def once(make: Callable[[], object]) -> object:
-    """The worker's instance of what make builds."""
-    key = hash(make.__code__) if hasattr(make, "__code__") else id(make)
+    """The worker's instance of what make builds: factories that differ in anything they carry have instances of their own."""
+    key = cloudpickle.dumps(make)
     if key not in _made:
         _made[key] = make()
     return _made[key]

@@ -10,11 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auralake.config import VOCABULARY
 from auralake.functions import arrays, logits, signal, text, tokens
 from auralake.functions.speaker_values import SPEAKERS
 from auralake.operators import chunking, feedback, metrics, speakers, vectors
+from auralake.sources.files import METRICS_SCHEMA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,16 +74,9 @@ def metrics_resample(spark, sf_dir):
     return _rounded(metrics.time_series(requests(spark, sf_dir), "10 minutes"))
 
 
-@query(_series_sql("1 second", "(SELECT * FROM requests WHERE ts < (SELECT min(ts) FROM requests) + INTERVAL '6 hours')"))
-def metrics_per_second(spark, sf_dir):
-    r = requests(spark, sf_dir)
-    first = r.agg((F.min("ts") + F.expr("INTERVAL 6 HOURS")).alias("until"))
-    return _rounded(metrics.time_series(r.crossJoin(F.broadcast(first)).where("ts < until").drop("until")))
-
-
 @query(_series_sql("1 second"))
-def metrics_every_second(spark, sf_dir):
-    """The per-second form over the whole table; metrics_per_second has its first six hours only, as its SQL has."""
+def metrics_per_second(spark, sf_dir):
+    """Every second from the first request of the table to its last."""
     return _rounded(metrics.time_series(requests(spark, sf_dir)))
 
 
@@ -100,7 +95,8 @@ WITH m AS (SELECT * FROM events WHERE event_type <> 'error')
 SELECT round(avg(value), 6) AS avg_time_to_first_token, round(avg(value * 2), 6) AS avg_time_to_last_token, round(avg(value * 3), 6) AS avg_end_to_end_time FROM m""")
 def generation_summary(spark, sf_dir):
     v = F.col("value")
-    m = F.struct(F.array(v).alias("time_to_first_token"), F.array(v * 2).alias("time_to_last_token"), (v * 3).alias("end_to_end_time"))
+    # In the order of the schema; the time end to end is optional and absent here.
+    m = F.struct(F.array(v), F.array(v * 2), v, v, F.array(F.lit(1)), F.array(F.lit(2)), v * 3, F.lit(None)).cast(T.StructType.fromDDL(METRICS_SCHEMA))
     rows = table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "error", m).alias("metrics"))
     return _rounded(metrics.generation_summary(rows), ("avg_time_to_first_token", "avg_time_to_last_token", "avg_end_to_end_time"))
 
@@ -293,15 +289,15 @@ def array_pieces(spark, sf_dir):
     return _hand(spark, sf_dir).select("vec_id", as_text(arrays.between(a, 3, 8)).alias("middle"), as_text(arrays.tail(a, 3)).alias("tail"), as_text(arrays.tail(a, 0)).alias("whole"), as_text(tokens.proportional(a, 35)).alias("scaled"), as_text(tokens.add(a, a)).alias("doubled"), arrays.distinct_count(a).alias("kinds"), F.size(a).alias("n"))
 
 
-@query(f"WITH {_CODES} SELECT vec_id % 10 AS grp, {_text_sql('flatten(list(a[1:3] ORDER BY vec_id))')} AS ids FROM codes GROUP BY 1")
+@query(f"WITH {_CODES} SELECT vec_id % 10 AS grp, {_text_sql('flatten(list(a ORDER BY vec_id))')} AS ids FROM codes GROUP BY 1")
 def arrays_in_order(spark, sf_dir):
-    rows = codes(spark, sf_dir).select((F.col("vec_id") % 10).alias("grp"), "vec_id", F.slice("a", 1, 3).alias("ids"))
+    rows = codes(spark, sf_dir).select((F.col("vec_id") % 10).alias("grp"), "vec_id", F.col("a").alias("ids"))
     return chunking.concat_in_order(rows, "grp", "vec_id", "ids").select("grp", as_text(F.col("ids")).alias("ids"))
 
 
-@query(f"WITH {_CODES} SELECT vec_id % 10 AS grp, {_text_sql('flatten(list(a[1:4] ORDER BY vec_id))')} AS book0, {_text_sql('flatten(list(a[5:8] ORDER BY vec_id))')} AS book1 FROM codes GROUP BY 1")
+@query(f"WITH {_CODES} SELECT vec_id % 10 AS grp, {_text_sql('flatten(list(a[1:32] ORDER BY vec_id))')} AS book0, {_text_sql('flatten(list(a[33:64] ORDER BY vec_id))')} AS book1 FROM codes GROUP BY 1")
 def books_in_order(spark, sf_dir):
-    rows = codes(spark, sf_dir).select((F.col("vec_id") % 10).alias("grp"), "vec_id", books_of(F.col("a"), 2, 4).alias("m"))
+    rows = codes(spark, sf_dir).select((F.col("vec_id") % 10).alias("grp"), "vec_id", books_of(F.col("a"), 2, 32).alias("m"))
     return chunking.join_books_in_order(rows, "grp", "vec_id", "m").select("grp", as_text(F.get("m", 0)).alias("book0"), as_text(F.get("m", 1)).alias("book1"))
 
 

@@ -17,7 +17,7 @@ def test_resample_has_gaps(spark):
 def test_every_second_has_every_request(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     n, seconds = events.selectExpr("count(*)", "unix_seconds(cast(date_trunc('second', max(ts)) AS timestamp)) - unix_seconds(cast(date_trunc('second', min(ts)) AS timestamp)) + 1").first()
-    got = QUERIES["metrics_every_second"](spark, "/root/testdata/sf0.001").selectExpr("count(*)", "count(DISTINCT timestamp)", "sum(attempts_per_s)").first()
+    got = QUERIES["metrics_per_second"](spark, "/root/testdata/sf0.001").selectExpr("count(*)", "count(DISTINCT timestamp)", "sum(attempts_per_s)").first()
     assert tuple(got) == (seconds, seconds, n) and seconds > 2_000_000
 
 
