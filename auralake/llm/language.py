@@ -9,7 +9,8 @@ to ACCEPTED; `accepted` says which side a row is on, the prediction itself stays
 
 A null text, or one without a letter, gives `und` and score 0, and so does every text if no row has a
 language. A text with letters but without any run (shorter than three bytes) gets the prediction of
-the mean of no subwords: the bias. Repeated rows get equal results; extra columns are dropped.
+the mean of no subwords: the bias. Texts are read whole, however long; an empty table gives no rows.
+Repeated rows get equal results; extra columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations

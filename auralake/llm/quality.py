@@ -7,7 +7,8 @@ linear model is fitted by dual coordinate descent on a bounded sample of labelle
 calibrated on a fifth of it.
 
 A null or empty text has no indicators and gets the calibrated bias. Without labelled rows, or with
-labels of one kind only, every score is the smoothed share of label 1. Repeated rows get equal scores;
+labels of one kind only, every score is the smoothed share of label 1. Texts are read whole, however long;
+an empty table gives no rows. Repeated rows get equal scores;
 extra columns of docs are dropped, those of labels are not read.
 """
 

@@ -1,11 +1,12 @@
 """Removal of repeated strings: every byte covered by a string of `least` bytes that also starts earlier.
 
 Earlier is a smaller doc_id, or an earlier start in the same document; strings are judged on the input,
-and matches never cross documents. The strings are found exactly:
+and matches never cross documents. The strings are found exactly, but for hashes of 64 bits that are taken
+for the bytes they are of:
 
 1. Every window of `least` bytes has one anchor (anchors.py); windows of one anchor and document are a
    block. Anchors whose gram occurs once hold no repeats and go no further: a count of the grams' hashes.
-2. Blocks of equal bytes (128 bits of hash) are copies: all but the earliest go whole. They meet in a
+2. Blocks of equal bytes, told by their hash, are copies: all but the earliest go whole. They meet in a
    map-side aggregate, and the blocks learn of their earliest one by a join that can be split.
 3. The earliest blocks that share a gram with other bytes differ somewhere. They are cut into strips of
    windows at most STRIP apart in their distance from the anchor, which share most of their bytes;
@@ -16,7 +17,7 @@ and matches never cross documents. The strings are found exactly:
 
 A null id stands before all others; a null text is empty. Rows that repeat an id and its text are one
 document; texts that share an id are told apart by their hash. Texts shorter than `least` bytes lose
-nothing, and long ones are read in pieces that overlap by a window. Extra columns are ignored.
+nothing, and long ones are read in pieces that overlap by a window. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

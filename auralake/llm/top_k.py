@@ -18,7 +18,8 @@ Components are floor(scale * x) computed in doubles. A vector that is null, empt
 non-finite components takes no part, neither as query nor as candidate. Ties go to the smaller id; a
 repeated id is as many candidates, none of them its own query's. Vectors of another length than the
 query's do not match it. Products are summed in doubles while every partial sum is below 2**53, which
-is exact, and else as Python integers, then held within 64 bits.
+is exact, and else as Python integers, then held within 64 bits. Empty tables give no rows, and extra
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
