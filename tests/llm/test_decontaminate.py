@@ -23,6 +23,9 @@ def brute(docs, items):
         a = shingles(words(t))
         for i, s in items:
             b = shingles(words(s))
+            # No frame has more in common than the whole text; 0.8 takes 0.8 of the item's at least.
+            if sum((Counter(a) & Counter(b)).values()) < 0.8 * len(b):
+                continue
             for start in range(1 - len(b), len(a)):
                 cut = a[max(start, 0) : start + len(b)]
                 both = sum((Counter(cut) & Counter(b)).values())
