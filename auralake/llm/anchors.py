@@ -28,6 +28,36 @@ class Sums:
         return mix(((self.sums[ends] - self.sums[starts]) * self.q[starts]) ^ mix(salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
+PRIMES = (2147483647, 2147483629)
+_BASES = (1103515245, 1664525351)
+_steps: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _prime_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**i modulo prime for i < n, kept between calls and doubled as needed."""
+    got = _steps.get((base, prime), np.ones(1, np.uint64))
+    while len(got) < n:
+        got = np.concatenate([got, got * np.uint64(pow(base, len(got), prime)) % np.uint64(prime)])
+    _steps[base, prime] = got
+    return got[:n]
+
+
+class Checks:
+    """A second hash of slices: two polynomials modulo primes of 31 bits, independent of Sums and of its modulus."""
+
+    def __init__(self, data: np.ndarray):
+        self.lanes = []
+        for base, prime in zip(_BASES, PRIMES, strict=True):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _prime_powers(base, prime, len(data)) % np.uint64(prime), out=sums[1:])
+            self.lanes.append((sums, _prime_powers(pow(base, -1, prime), prime, len(data) + 1), np.uint64(prime)))
+
+    def slices(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """62 bits of each slice."""
+        high, low = ((sums[ends] - sums[starts]) % prime * back[starts] % prime for sums, back, prime in self.lanes)
+        return (high << np.uint64(31) | low).view(np.int64)
+
+
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     """For every i the least of h[i : i + width], by doubling."""
     m, span = h, 1

@@ -1,12 +1,12 @@
 """Removal of repeated strings: every byte covered by a string of `least` bytes that also starts earlier.
 
 Earlier is a smaller doc_id, or an earlier start in the same document; strings are judged on the input,
-and matches never cross documents. The strings are found exactly, but for hashes of 64 bits that are taken
-for the bytes they are of:
+and matches never cross documents. Where a hash is taken for the bytes it is of, it is two: 64 bits of a
+polynomial modulo 2**64, and 62 bits of polynomials modulo two primes over the same bytes:
 
 1. Every window of `least` bytes has one anchor (anchors.py); windows of one anchor and document are a
    block. Anchors whose gram occurs once hold no repeats and go no further: a count of the grams' hashes.
-2. Blocks of equal bytes, told by their hash, are copies: all but the earliest go whole. They meet in a
+2. Blocks of equal bytes, told by both hashes, are copies: all but the earliest go whole. They meet in a
    map-side aggregate, and the blocks learn of their earliest one by a join that can be split.
 3. The earliest blocks that share a gram with other bytes differ somewhere. They are cut into strips of
    windows at most STRIP apart in their distance from the anchor, which share most of their bytes;
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralake.llm.anchors import Sums, anchors
+from auralake.llm.anchors import Checks, Sums, anchors
 from auralake.llm.bwt import repeated
 from auralake.llm.common import CHUNK_BYTES, chunks, columns_text, cut, small, table
 
@@ -81,8 +81,9 @@ def _blocks(least: int):
                 g = sums.slices(lo, hi + least, place - lo)
                 of = np.searchsorted(offs, lo, "right") - 1
                 at = base + lo - offs[of]
-                columns = [h.view(np.int64), g.view(np.int64), d[row + of], t[row + of], at.astype(np.int32), (hi - lo).astype(np.int32), (place - lo).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "g", "d", "t", "lo", "more", "rel"])
+                c = Checks(data).slices(lo, hi + least)
+                columns = [h.view(np.int64), g.view(np.int64), c, d[row + of], t[row + of], at.astype(np.int32), (hi - lo).astype(np.int32), (place - lo).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["h", "g", "c", "d", "t", "lo", "more", "rel"])
 
     return found
 
@@ -173,9 +174,9 @@ def _windows(least: int):
             data, d, t, lo = (batch.column(c) for c in ("bytes", "d", "t", "lo"))
             out: tuple[list, ...] = ([], [], [], [], [])
             for i in range(len(data)):
-                sums = Sums(np.frombuffer(data[i].as_buffer(), np.uint8))
-                s = np.arange(len(sums.sums) - least)
-                for c, v in enumerate((sums.slices(s, s + least, s * 0 + 1).view(np.int64), sums.slices(s, s + least, s * 0 + 2).view(np.int64), np.full(len(s), d[i].as_py()), np.full(len(s), t[i].as_py()), (s + lo[i].as_py()).astype(np.int32))):
+                raw = np.frombuffer(data[i].as_buffer(), np.uint8)
+                s = np.arange(len(raw) + 1 - least)
+                for c, v in enumerate((Sums(raw).slices(s, s + least, s * 0).view(np.int64), Checks(raw).slices(s, s + least), np.full(len(s), d[i].as_py()), np.full(len(s), t[i].as_py()), (s + lo[i].as_py()).astype(np.int32))):
                     out[c].append(v)
             if len(data):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["w1", "w2", "d", "t", "lo"])
@@ -215,12 +216,12 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= least)
     grams = cut(texts.select("text").mapInArrow(_grams(least), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     _release(spark)
-    blocks = texts.select("d", "t", "text").mapInArrow(_blocks(least), "h long, g long, d long, t long, lo int, more int, rel int")
+    blocks = texts.select("d", "t", "text").mapInArrow(_blocks(least), "h long, g long, c long, d long, t long, lo int, more int, rel int")
     blocks = cut(blocks.join(grams, "h"))
     _release(spark)
-    place = F.struct("d", "t", "lo")
-    heads = cut(blocks.groupBy("h", "g").agg(F.min(place).alias("head"), F.min("more").alias("more"), F.min("rel").alias("rel"), F.count("*").alias("n")))
-    copies = blocks.join(heads.where("n > 1").select("h", "g", "head"), ["h", "g"]).where(place != F.col("head"))
+    place, same = F.struct("d", "t", "lo"), ["h", "g", "c"]
+    heads = cut(blocks.groupBy(*same).agg(F.min(place).alias("head"), F.min("more").alias("more"), F.min("rel").alias("rel"), F.count("*").alias("n")))
+    copies = blocks.join(heads.where("n > 1").select(*same, "head"), same).where(place != F.col("head"))
     copies = copies.select("d", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("more") + least).alias("e"))
 
     framed = cut(heads.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"))

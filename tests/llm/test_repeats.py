@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auralake.llm import repeats
-from auralake.llm.anchors import Sums, anchors
+from auralake.llm.anchors import _BASES, PRIMES, Checks, Sums, anchors
 from auralake.llm.bwt import repeated
 
 
@@ -68,6 +68,19 @@ def test_every_window_has_one_anchor_by_its_bytes():
         assert all(len(v) == 1 for v in by.values())
 
 
+def test_checks_tell_apart_what_the_sums_do_not():
+    bits = np.array([bin(i).count("1") % 2 for i in range(1024)], np.uint8)
+    x, y = bits + 97, 98 - bits  # equal modulo 2**64 whatever the base
+    data, at = np.concatenate([x, y, x]), np.array([0, 1024, 2048])
+    assert len(set(Sums(data).slices(at, at + 1024, at * 0).tolist())) == 1
+    a, b, c = Checks(data).slices(at, at + 1024).tolist()
+    assert a == c != b
+    for prime, shift in zip(PRIMES, (31, 0), strict=True):
+        base = _BASES[PRIMES.index(prime)]
+        want = sum((int(v) + 1) * pow(base, i, prime) for i, v in enumerate(y)) % prime
+        assert b >> shift & (1 << 31) - 1 == want
+
+
 @pytest.mark.parametrize("core", [512, 3])
 def test_repeats_equal_brute_force(spark, monkeypatch, core):
     monkeypatch.setattr(repeats, "CORE", core)  # 3: the way of crowded cores
