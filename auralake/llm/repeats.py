@@ -7,7 +7,8 @@ polynomial modulo 2**64, and 62 bits of polynomials modulo two primes over the s
 1. Every window of `least` bytes has one anchor (anchors.py); windows of one anchor and document are a
    block. Anchors whose gram occurs once hold no repeats and go no further: a count of the grams' hashes.
 2. Blocks of equal bytes, told by both hashes, are copies: all but the earliest go whole. They meet in a
-   map-side aggregate, and the blocks learn of their earliest one by a join that can be split.
+   map-side aggregate. Blocks with more than HOT copies learn of their earliest one without a shuffle,
+   as there is at most one such for HOT blocks; the others by a join that can be split.
 3. The earliest blocks that share a gram with other bytes differ somewhere. They are cut into strips of
    windows at most STRIP apart in their distance from the anchor, which share most of their bytes;
    strips of one such core are put through the Burrows-Wheeler expansion (bwt.py), a few thousand bytes
@@ -35,7 +36,7 @@ from auralake.llm.anchors import Checks, Sums, anchors
 from auralake.llm.bwt import repeated
 from auralake.llm.common import CHUNK_BYTES, chunks, columns_text, cut, small, table
 
-GRAM, STRIP, CORE = 32, 16, 512
+GRAM, STRIP, CORE, HOT = 32, 16, 512, 1024
 #: Bytes of strips that are expanded at once.
 EXPAND_BYTES = 1 << 19
 
@@ -221,7 +222,10 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     _release(spark)
     place, same = F.struct("d", "t", "lo"), ["h", "g", "c"]
     heads = cut(blocks.groupBy(*same).agg(F.min(place).alias("head"), F.min("more").alias("more"), F.min("rel").alias("rel"), F.count("*").alias("n")))
-    copies = blocks.join(heads.where("n > 1").select(*same, "head"), same).where(place != F.col("head"))
+    hot = small(cut(heads.where(F.col("n") > HOT).select(*same, "head")))
+    crowd = blocks.join(hot, same)
+    rest = blocks.join(hot, same, "left_anti").join(heads.where(F.col("n").between(2, HOT)).select(*same, "head"), same)
+    copies = crowd.unionByName(rest).where(place != F.col("head"))
     copies = copies.select("d", "t", F.col("lo").alias("s"), (F.col("lo") + F.col("more") + least).alias("e"))
 
     framed = cut(heads.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"))

@@ -81,9 +81,10 @@ def test_checks_tell_apart_what_the_sums_do_not():
         assert b >> shift & (1 << 31) - 1 == want
 
 
-@pytest.mark.parametrize("core", [512, 3])
-def test_repeats_equal_brute_force(spark, monkeypatch, core):
+@pytest.mark.parametrize("core,hot", [(512, 1024), (3, 2)])
+def test_repeats_equal_brute_force(spark, monkeypatch, core, hot):
     monkeypatch.setattr(repeats, "CORE", core)  # 3: the way of crowded cores
+    monkeypatch.setattr(repeats, "HOT", hot)  # 2: the way of crowded blocks
     rng = np.random.default_rng(7)
     words = ["alpha", "be", "gamma", "the", "öl", "x1", "zeta,", "\n"]
     text = lambda n: " ".join(rng.choice(words) + str(rng.integers(0, 50)) for _ in range(n))
