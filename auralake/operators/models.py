@@ -37,7 +37,7 @@ class AudioCodec(Protocol):
 
 
 class Generator(Protocol):
-    def generate(self, prompts: list[list[int]]) -> list[list[int]]: ...
+    def generate(self, prompts: list[list[int]], **options: object) -> list[list[int]]: ...  # temperature, top_k, do_sample
 
 
 _made: dict[bytes, object] = {}
@@ -99,14 +99,14 @@ def decode_books(books: Column, make: Callable[[], AudioCodec]) -> Column:
     return run(books)
 
 
-def generate(prompt: Column, make: Callable[[], Generator], most: int = 1024) -> Column:
-    """At most `most` generated ids for each prompt, a batch at a time."""
+def generate(prompt: Column, make: Callable[[], Generator], most: int = 1024, **options: object) -> Column:
+    """At most `most` generated ids for each prompt, a batch at a time; options reach the model as they are."""
 
     @F.pandas_udf(IDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = once(make)
         for s in batches:
-            out = iter(model.generate([[int(i) for i in p] for p in s if p is not None]))
+            out = iter(model.generate([[int(i) for i in p] for p in s if p is not None], **options))
             yield pd.Series([None if p is None else next(out)[:most] for p in s])
 
     return run(prompt)
@@ -117,15 +117,16 @@ def _stored(rows: DataFrame, name: str, value: Column) -> DataFrame:
     return rows.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
-def speak(requests: DataFrame, tokenizer: Callable[[], TextTokenizer], model: Callable[[], Generator], codec: Callable[[], AudioCodec], marks: dict[str, int], v: Vocabulary = VOCABULARY, audio: str | None = None) -> DataFrame:
+def speak(requests: DataFrame, tokenizer: Callable[[], TextTokenizer], model: Callable[[], Generator], codec: Callable[[], AudioCodec], marks: dict[str, int], v: Vocabulary = VOCABULARY, audio: str | None = None, most: int = 1024, **options: object) -> DataFrame:
     """Text requests (text, speaker_id) to waveforms: prompt, ids, books, valid, wave.
 
-    All but the three model steps stays in the JVM. A column of audio ids is continued if given.
+    All but the three model steps stays in the JVM. A column of audio ids is continued if given; options
+    (temperature, top_k, do_sample) reach the model.
     """
     prompt = tokens.tts_prompt(F.col("__text"), F.col("__speaker"), *(F.lit(marks[m]) for m in (v.text, v.convert, v.audio)))
     out = requests.withColumn("__text", encode_text(sanitize(F.col("text")), tokenizer)).withColumn("__speaker", encode_text(F.coalesce("speaker_id", F.lit(v.unknown_speaker)), tokenizer))
     out = out.withColumn("prompt", tokens.with_audio_context(prompt, F.col(audio), v=v) if audio else prompt).drop("__text", "__speaker")
-    out = out.withColumn("ids", generate(F.col("prompt"), model))
+    out = out.withColumn("ids", generate(F.col("prompt"), model, most, **options))
     out = _stored(out, "books", tokens.decode_audio(tokens.until_stop(F.col("ids"), marks[v.stop]), v))
     out = out.withColumn("valid", tokens.non_negative(F.col("books")))
     return out.withColumn("wave", decode_books(F.col("books"), codec))
@@ -140,10 +141,11 @@ def continue_audio(requests: DataFrame, model: Callable[[], Generator], codec: C
     return out.withColumn("valid", tokens.non_negative(F.col("books"))).withColumn("wave", decode_books(F.col("books"), codec))
 
 
-def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Generator], most: int, overlap: int, marks: tuple[int, int, int], limit: int = 1024) -> DataFrame:
+def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Generator], most: int, overlap: int, marks: tuple[int, int, int], limit: int = 1024, prompt: tuple[list[int], list[int]] = ([], []), **options: object) -> DataFrame:
     """Chunk after chunk of one long source, each prompted by the tail of what the last one gave.
 
-    Chunks of a key follow one another; keys run side by side.
+    Chunks of a key follow one another; keys run side by side. A prompt's source stands before the first
+    chunk and its target after it. A tail of no ids is all that was given so far, as a slice from -0 is.
     """
     out = T.StructType([rows.schema[key], T.StructField("target", IDS)])
 
@@ -153,12 +155,13 @@ def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Gen
             a, target, context, at = [int(x) for x in a], [], [], 0
             while at < len(a):
                 part = a[at : at + most]
-                new = model.generate([[marks[0], *part, marks[1], marks[2], *context]])[0][:limit]
+                before, after = (prompt[0], prompt[1]) if not at else ([], context)
+                new = model.generate([[marks[0], *before, *part, marks[1], marks[2], *after]], **options)[0][:limit]
                 target += new
                 fresh = max(1, len(part) - (overlap if at else 0))
                 n = -(-overlap * len(new) // fresh)
                 n += n % 2
-                context = target[-n:] if n else []
+                context = target[-n:]
                 if at + most > len(a):
                     break
                 at += most - overlap
@@ -194,7 +197,7 @@ class DoubleGenerator:
     def __init__(self, stop: int, v: Vocabulary = VOCABULARY):
         self.stop, self.v = stop, v
 
-    def generate(self, prompts: list[list[int]]) -> list[list[int]]:
+    def generate(self, prompts: list[list[int]], **options: object) -> list[list[int]]:
         v = self.v
         return [[v.audio_offset + c * v.codebook_size + i % v.codebook_size for i in p for c in range(v.codebooks)] + [self.stop] for p in prompts]
 

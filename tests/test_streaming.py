@@ -76,3 +76,19 @@ def test_long_generation_covers_the_source(spark):
     rows = spark.createDataFrame([("k", list(range(50))), ("e", [])], "k string, a array<int>")
     out = dict(models.generate_long(rows, "k", "a", Echo, 20, 4, (-1, -2, -3)).collect())
     assert out["e"] == [] and set(out["k"]) == set(range(50))
+
+
+class Whole:
+    """Gives back its whole prompt, then its options."""
+
+    def generate(self, prompts, **options):
+        return [p + [options.get("top_k", 0)] for p in prompts]
+
+
+def test_prompts_options_and_whole_tails(spark):
+    rows = spark.createDataFrame([("k", list(range(10, 16)))], "k string, a array<int>")
+    out = models.generate_long(rows, "k", "a", Whole, 4, 0, (-1, -2, -3), prompt=([7], [8]), top_k=5).first().target
+    first = [-1, 7, 10, 11, 12, 13, -2, -3, 8, 5]
+    assert out == first + [-1, 14, 15, -2, -3] + first + [5]  # an overlap of 0 is the whole target
+    ids = spark.createDataFrame([([1, 2],), (None,)], "p array<int>").select(models.generate(F.col("p"), Whole, 3, top_k=9).alias("o"))
+    assert [r.o for r in ids.collect()] == [[1, 2, 9], None]
