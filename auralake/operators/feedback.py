@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,24 +24,33 @@ def invalid(feedback: DataFrame, samples: DataFrame, audio: str = "audio_id", sa
 
 
 def create(spark: SparkSession, table: str = TABLE) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (id BIGINT, audio_id STRING, feedback INT, timestamp TIMESTAMP) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (id BIGINT, audio_id STRING, feedback INT, timestamp TIMESTAMP, batch STRING) USING parquet PARTITIONED BY (batch)")
 
 
-def append(feedback: DataFrame, table: str = TABLE, now: str | None = None) -> None:
+def append(feedback: DataFrame, table: str = TABLE, now: str | None = None, batch: str = "direct") -> None:
     """Add rows (audio_id, feedback) with ids that follow the table's; one append, committed as a whole.
 
     Ids are dense within an append: a running number inside each range of audio ids, on top of the ranges' counts.
+    A batch of a name of its own replaces what the same batch wrote before, so that a retry leaves it once.
     """
+    if not re.fullmatch(r"[\w-]+", batch):
+        raise ValueError("a batch is named by letters, digits, _ and -")
     spark = feedback.sparkSession
     create(spark, table)
-    last = spark.table(table).agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    named = batch != "direct"
+    others = spark.table(table).where(F.col("batch") != batch) if named else spark.table(table)
+    last = others.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     parted = feedback.select("audio_id", F.col("feedback").cast("int").alias("feedback")).withColumn("__part", F.pmod(F.xxhash64("audio_id", "feedback"), F.lit(64)))
     counts = parted.groupBy("__part").agg(F.count("*").alias("n"))
     before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     numbered = parted.withColumn("r", F.row_number().over(Window.partitionBy("__part").orderBy("audio_id", "feedback")))
-    rows = numbered.join(F.broadcast(before), "__part").crossJoin(F.broadcast(last))
+    rows = numbered.join(F.broadcast(before), "__part")
     at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-    rows.select((F.col("last") + F.col("before") + F.col("r")).alias("id"), "audio_id", "feedback", at.alias("timestamp")).write.mode("append").saveAsTable(table)
+    out = rows.select((F.lit(last) + F.col("before") + F.col("r")).alias("id"), "audio_id", "feedback", at.alias("timestamp"))
+    if named:
+        spark.sql(f"INSERT OVERWRITE {table} PARTITION (batch = '{batch}') SELECT * FROM {{out}}", out=out)
+    else:
+        out.withColumn("batch", F.lit(batch)).write.insertInto(table)
 
 
 def tally(feedback: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,8 +45,9 @@ def load(spark: SparkSession, least: float, most: float, step: float, every: int
 
 
 def append_feedback(stream: DataFrame, checkpoint: str, table: str = TABLE) -> StreamingQuery:
-    """Feedback rows (audio_id, feedback) into the table, batch by batch, with ids in turn."""
-    return stream.writeStream.foreachBatch(lambda df, _: append(df, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Feedback rows (audio_id, feedback) into the table, batch by batch, with ids in turn; a batch that is retried replaces itself."""
+    stream_name = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    return stream.writeStream.foreachBatch(lambda df, n: append(df, table, batch=f"{stream_name}-{n}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_logs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -99,6 +99,12 @@ def test_feedback_table(spark):
     rows = spark.createDataFrame([(f"a{i}", 1) for i in range(100)], "audio_id string, feedback int")
     feedback.append(rows, "votes_test", "2024-01-01 00:00:00")
     feedback.append(rows, "votes_test")
+    feedback.append(rows.limit(7), "votes_again", batch="s-0")
+    for _ in range(2):  # a batch that is tried again has the ids it had
+        feedback.append(rows.limit(3), "votes_again", batch="s-1")
+    assert sorted(r.id for r in spark.table("votes_again").where("batch = 's-1'").collect()) == [8, 9, 10]
+    assert spark.table("votes_again").count() == 10 == spark.table("votes_again").select("id").distinct().count()
+    spark.sql("DROP TABLE votes_again")
     got = [r.id for r in spark.table("votes_test").select("id").collect()]
     assert sorted(got) == list(range(1, 201))
     spark.sql("DROP TABLE votes_test")
