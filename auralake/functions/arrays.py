@@ -55,6 +55,11 @@ def between(a: Column, lo: int, hi: int) -> Column:
     return F.slice(a, lo + 1, max(hi - lo, 0))
 
 
+def odd_length(a: Column) -> Column:
+    """Whether the number of elements is odd: two codebooks that are interleaved have lost step."""
+    return F.pmod(F.size(a), F.lit(2)) == 1
+
+
 def even_length(a: Column) -> Column:
     """Without the last element if their number is odd."""
     return take(a, F.size(a) - F.pmod(F.size(a), F.lit(2)))

@@ -78,10 +78,15 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-@F.pandas_udf(_struct(data=T.ArrayType(T.DoubleType()), shape=T.ArrayType(T.IntegerType())))
-def _npy(content: pd.Series) -> pd.DataFrame:
-    loaded = [np.load(io.BytesIO(c), allow_pickle=False) for c in content]
-    return pd.DataFrame({"data": [a.astype(float).ravel() for a in loaded], "shape": [list(a.shape) for a in loaded]})
+def _npy(content: Column, whole: bool) -> Column:
+    @F.pandas_udf(_struct(data=T.ArrayType(T.LongType() if whole else T.DoubleType()), shape=T.ArrayType(T.IntegerType())))
+    def run(content: pd.Series) -> pd.DataFrame:
+        loaded = [np.load(io.BytesIO(c), allow_pickle=False) for c in content]
+        if whole and any(a.dtype.kind not in "biu" for a in loaded):
+            raise ValueError("an array of whole numbers was asked for")
+        return pd.DataFrame({"data": [a.astype(np.int64 if whole else float).ravel() for a in loaded], "shape": [list(a.shape) for a in loaded]})
+
+    return run(content)
 
 
 @F.pandas_udf(_struct(**{n: T.ArrayType(T.LongType()) for n in ("TEXT", "SEMANTIC", "ACOUSTIC")}))
@@ -109,9 +114,9 @@ def _wav(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["wave", "rate"])
 
 
-def npy(spark: SparkSession, path: str) -> DataFrame:
-    """path, data (row-major) and shape of dense arrays."""
-    return files(spark, path, "*.npy").select("path", _npy("content").alias("a")).select("path", "a.*")
+def npy(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """path, data (row-major) and shape of dense arrays: as doubles, or as longs, for codes and ids, if whole."""
+    return files(spark, path, "*.npy").select("path", _npy(F.col("content"), whole).alias("a")).select("path", "a.*")
 
 
 def npz(spark: SparkSession, path: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 A sample is a key and its members by suffix: files a.json and a.wav of a shard are key a with members
 json and wav. A shard is one input partition; a task writes its rows to shards that close once they
-hold `maxsize` bytes. Names may hold one range in braces, as in shard-{000000..000011}.tar.
+hold `maxsize` bytes. Names may hold ranges in braces, as in shard-{000000..000011}.tar, and wildcards.
+Paths are URIs of any store that stores.store() opens.
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import os
 import re
@@ -16,24 +16,28 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from auralake.sources.stores import is_folder, matching, store
+
 SCHEMA = "key string, members map<string, binary>"
 
 
 def expand(name: str) -> list[str]:
-    """The shards a name stands for."""
+    """The names that one with ranges in braces stands for."""
     found = re.search(r"\{(\d+)\.\.(\d+)\}", name)
     if not found:
-        return sorted(glob.glob(name)) if re.search(r"[*?\[]", name) else [name]
+        return [name]
     lo, hi = found.groups()
     return [x for i in range(int(lo), int(hi) + 1) for x in expand(name[: found.start()] + str(i).zfill(len(lo)) + name[found.end() :])]
 
 
 @dataclass
 class Shard(InputPartition):
+    where: FileSystem
     path: str
 
 
@@ -42,12 +46,14 @@ class ShardReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[Shard]:
-        path = os.path.join(self.path, "*.tar") if os.path.isdir(self.path) else self.path
-        return [Shard(p) for p in expand(path)]
+        names = expand(self.path)
+        if names == [self.path] and not re.search(r"[*?\[]", self.path) and is_folder(self.path):
+            names = [f"{self.path.rstrip('/')}/*.tar"]
+        return [Shard(*found) for name in names for found in matching(name)]
 
     def read(self, partition: Shard) -> Iterator[tuple]:
         key, members = None, {}
-        with tarfile.open(partition.path, "r|*") as tar:
+        with partition.where.open_input_stream(partition.path, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
             for entry in tar:
                 if not entry.isfile():
                     continue
@@ -75,17 +81,20 @@ class ShardWriter(DataSourceWriter):
         self.path, self.maxsize = path, maxsize
 
     def write(self, iterator: Iterator) -> Written:
-        os.makedirs(self.path, exist_ok=True)
-        run, files, tar, held = uuid.uuid4().hex, [], None, 0
+        where, folder = store(self.path)
+        where.create_dir(folder, recursive=True)
+        run, files, tar, stream, held = uuid.uuid4().hex, [], None, None, 0
         for row in iterator:
             size = sum(len(b) for b in (row.members or {}).values())
             if tar is not None and held + size > self.maxsize:
                 tar.close()
+                stream.close()
                 tar = None
             if tar is None:
-                final = os.path.join(self.path, f"shard-{run}-{len(files):06d}.tar")
+                final = f"{folder.rstrip('/')}/shard-{run}-{len(files):06d}.tar"
                 files.append((f"{final}.part", final))
-                tar, held = tarfile.open(files[-1][0], "w"), 0
+                stream = where.open_output_stream(files[-1][0], compression=None)
+                tar, held = tarfile.open(fileobj=stream, mode="w|"), 0
             for suffix, content in sorted((row.members or {}).items()):
                 entry = tarfile.TarInfo(f"{row.key}.{suffix}")
                 entry.size = len(content)
@@ -93,18 +102,21 @@ class ShardWriter(DataSourceWriter):
             held += size
         if tar is not None:
             tar.close()
+            stream.close()
         return Written(files)
 
     def commit(self, messages: list) -> None:
+        where, _ = store(self.path)
         for m in messages:
             for part, final in m.files if m else []:
-                os.rename(part, final)
+                where.move(part, final)
 
     def abort(self, messages: list) -> None:
+        where, _ = store(self.path)
         for m in messages:
             for part, _ in m.files if m else []:
-                if os.path.exists(part):
-                    os.remove(part)
+                if where.get_file_info(part).type == FileType.File:
+                    where.delete_file(part)
 
 
 class Shards(DataSource):

@@ -1,8 +1,9 @@
-"""Writers: tables as CSV and JSON, waveforms, responses, logs."""
+"""Writers: tables as CSV and JSON, waveforms, files by row, responses, logs."""
 
 from __future__ import annotations
 
 import io
+import uuid
 import wave as wavelib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from auralake.sources.stores import store
 
 
 def csv(df: DataFrame, path: str) -> None:
@@ -80,3 +84,46 @@ def response(rows: DataFrame, audio: str = "audio", metrics: str = "metrics", id
 def with_request_id(rows: DataFrame) -> DataFrame:
     """A random id for each request; it differs between runs, so it is for rows that are then written."""
     return rows.withColumn("request_id", F.uuid())
+
+
+class _FileWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        where, folder = store(self.path)
+        folder = folder.rstrip("/")
+        where.create_dir(folder, recursive=True)
+        for row in iterator:
+            if row.name is None or row.content is None:
+                continue
+            if not row.name or "/" in row.name or row.name in (".", ".."):
+                raise ValueError(f"not a file name: {row.name!r}")
+            part = f"{folder}/.{uuid.uuid4().hex}.part"
+            with where.open_output_stream(part, compression=None) as out:
+                out.write(bytes(row.content))
+            where.move(part, f"{folder}/{row.name}")
+        return WriterCommitMessage()
+
+
+class _Files(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "row_files"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> _FileWriter:
+        return _FileWriter(self.options["path"])
+
+
+def file_of_each(rows: DataFrame, path: str, name: Column, content: Column) -> None:
+    """One file for each row in a folder: its name, and its bytes (such as wav_bytes or encode make).
+
+    A task writes a file under a name of its own and then moves it into place, so no file is ever seen in
+    part, and a task that runs again writes the same files. Rows without a name or bytes make none. Names
+    are plain file names; of rows that share one, any one's file stays.
+    """
+    rows.sparkSession.dataSource.register(_Files)
+    rows.select(name.alias("name"), content.alias("content")).write.format("row_files").mode("append").save(path)

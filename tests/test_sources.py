@@ -94,6 +94,31 @@ def test_shards(spark, tmp_path):
     assert sorted((r.key, sorted(r.members)) for r in back.collect()) == sorted((f"s{i}{k}", ["json", "npy"]) for i in range(2) for k in range(3))
 
 
+def test_shards_by_uri(spark, tmp_path):
+    shards.register(spark)
+    rows = spark.createDataFrame([(f"k{i}", {"bin": bytes([i]) * 1000}) for i in range(5)], shards.SCHEMA).coalesce(1)
+    uri = (tmp_path / "far").as_uri()
+    rows.write.format("tar_shards").mode("append").option("maxsize", "2000").save(uri)
+    for path in (uri, f"{uri}/shard-*.tar", f"{tmp_path.as_uri()}/f*/*.tar", str(tmp_path / "far") + "/"):
+        back = spark.read.format("tar_shards").load(path)
+        assert {r.key: bytes(r.members["bin"]) for r in back.collect()} == {f"k{i}": bytes([i]) * 1000 for i in range(5)}
+        assert back.rdd.getNumPartitions() == 3
+
+
+def test_file_of_each(spark, tmp_path):
+    rows = spark.createDataFrame([("a.wav", b"1"), ("b.wav", b""), ("c.wav", None), (None, b"3")], "n string, c binary")
+    for _ in range(2):
+        sinks.file_of_each(rows, (tmp_path / "out").as_uri(), F.col("n"), F.col("c"))
+        assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"a.wav": b"1", "b.wav": b""}
+    with pytest.raises(Exception, match="not a file name"):
+        sinks.file_of_each(rows, str(tmp_path / "out"), F.lit("../x"), F.col("c"))
+
+
+def test_whole_arrays(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.array([2**53 + 1, -1]))
+    assert files.npy(spark, str(tmp_path), whole=True).first()["data"] == [2**53 + 1, -1]
+
+
 def test_feedback_table(spark):
     spark.sql("DROP TABLE IF EXISTS votes_test")
     rows = spark.createDataFrame([(f"a{i}", 1) for i in range(100)], "audio_id string, feedback int")
