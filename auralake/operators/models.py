@@ -12,11 +12,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auralake.config import VOCABULARY, Vocabulary
+from auralake.config import VOCABULARY, Vocabulary, ship
 from auralake.functions import arrays, tokens
 from auralake.functions.text import sanitize
 
@@ -40,6 +40,18 @@ class Generator(Protocol):
     def generate(self, prompts: list[list[int]], **options: object) -> list[list[int]]: ...  # temperature, top_k, do_sample
 
 
+class Completer(Protocol):
+    """A client of a server that tokenises by itself."""
+
+    def complete(self, prompts: list[str], **options: object) -> list[str]: ...  # temperature, max_tokens
+
+
+class Refiner(Protocol):
+    """A codec that fills in the finer books of a coarse code by itself."""
+
+    def refine(self, books: np.ndarray) -> np.ndarray: ...  # [book][frame], with more books
+
+
 _made: dict[bytes, object] = {}
 
 
@@ -51,30 +63,45 @@ def once(make: Callable[[], object]) -> object:
     return _made[key]
 
 
-def encode_text(text: Column, make: Callable[[], TextTokenizer]) -> Column:
-    @F.pandas_udf(IDS)
+def _step(kind: T.DataType | str) -> Callable:
+    """A pandas_udf whose workers have this package."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+    return F.pandas_udf(kind)
+
+
+def text_encoder(make: Callable[[], TextTokenizer]) -> Callable[..., Column]:
+    @_step(IDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = once(make)
         for s in batches:
             yield s.map(lambda x: None if x is None else t.encode(x))
 
-    return run(text)
+    return run
 
 
-def decode_text(ids: Column, make: Callable[[], TextTokenizer]) -> Column:
-    @F.pandas_udf(T.StringType())
+def encode_text(text: Column, make: Callable[[], TextTokenizer]) -> Column:
+    return text_encoder(make)(text)
+
+
+def text_decoder(make: Callable[[], TextTokenizer]) -> Callable[..., Column]:
+    @_step(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = once(make)
         for s in batches:
             yield s.map(lambda x: None if x is None else t.decode([int(i) for i in x]))
 
-    return run(ids)
+    return run
+
+
+def decode_text(ids: Column, make: Callable[[], TextTokenizer]) -> Column:
+    return text_decoder(make)(ids)
 
 
 def encode_books(wave: Column, rate: Column, make: Callable[[], AudioCodec]) -> Column:
     """The codec's books [book][frame] of a waveform."""
 
-    @F.pandas_udf(T.ArrayType(IDS))
+    @_step(T.ArrayType(IDS))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         codec = once(make)
         for waves, rates in batches:
@@ -89,29 +116,97 @@ def with_audio_ids(rows: DataFrame, make: Callable[[], AudioCodec], wave: str =
     return stored.withColumn(name, tokens.encode_audio(F.col("__books"), v)).drop("__books")
 
 
-def decode_books(books: Column, make: Callable[[], AudioCodec]) -> Column:
-    @F.pandas_udf(WAVE)
+def books_decoder(make: Callable[[], AudioCodec]) -> Callable[..., Column]:
+    @_step(WAVE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = once(make)
         for s in batches:
             yield s.map(lambda m: None if m is None else codec.decode(np.array([np.asarray(b) for b in m])).astype(np.float32))
 
+    return run
+
+
+def decode_books(books: Column, make: Callable[[], AudioCodec]) -> Column:
+    return books_decoder(make)(books)
+
+
+def refine_books(books: Column, make: Callable[[], Refiner]) -> Column:
+    """The codec's own finer books of coarse ones."""
+
+    @_step(T.ArrayType(IDS))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = once(make)
+        for s in batches:
+            yield pd.Series([None if m is None else [list(map(int, b)) for b in codec.refine(np.array([np.asarray(b) for b in m]))] for m in s])
+
     return run(books)
 
 
-def generate(prompt: Column, make: Callable[[], Generator], most: int = 1024, **options: object) -> Column:
-    """At most `most` generated ids for each prompt, a batch at a time; options reach the model as they are."""
+def round_trip(rows: DataFrame, make: Callable[[], AudioCodec], refine: Callable[[], Refiner] | None = None, wave: str = "wave", rate: str = "rate") -> DataFrame:
+    """rows with the books of their waveforms, refined if a refiner is given, and the waveform these give (again)."""
+    books = encode_books(F.col(wave), F.col(rate), make)
+    out = rows.withColumn("books", refine_books(books, refine) if refine else books)
+    return out.withColumn("again", decode_books(F.col("books"), make))
+
 
-    @F.pandas_udf(IDS)
+def generator(make: Callable[[], Generator], most: int = 1024, **options: object) -> Callable[..., Column]:
+    @_step(IDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = once(make)
         for s in batches:
             out = iter(model.generate([[int(i) for i in p] for p in s if p is not None], **options))
             yield pd.Series([None if p is None else next(out)[:most] for p in s])
 
+    return run
+
+
+def generate(prompt: Column, make: Callable[[], Generator], most: int = 1024, **options: object) -> Column:
+    """At most `most` generated ids for each prompt, a batch at a time; options reach the model as they are."""
+    return generator(make, most, **options)(prompt)
+
+
+def convert(source: Column, make: Callable[[], Generator], marks: tuple[int, int, int], most: int = 1024, stop: int | None = None, **options: object) -> Column:
+    """What a model makes of a whole source at once: ids of one kind to ids of another, up to the stop id.
+
+    marks are the ids of the source's kind, of the conversion and of the target's kind. Sources that
+    exceed a model's context are for generate_long.
+    """
+    first, turn, last = (F.lit(m) for m in marks)
+    found = generate(F.concat(F.array(first), source, F.array(turn, last)), make, most, **options)
+    return found if stop is None else tokens.until_stop(found, stop)
+
+
+def complete(prompt: Column, make: Callable[[], Completer], **options: object) -> Column:
+    """What a completion server answers to each prompt; each worker has one client, and null prompts none."""
+
+    @_step(T.StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        client = once(make)
+        for s in batches:
+            asked = [p for p in s if p is not None]
+            out = iter(client.complete(asked, **options) if asked else [])
+            yield pd.Series([None if p is None else next(out) for p in s], dtype=object)
+
     return run(prompt)
 
 
+def speak_by_server(requests: DataFrame, client: Callable[[], Completer], tokenizer: Callable[[], TextTokenizer], codec: Callable[[], AudioCodec], stop: int, v: Vocabulary = VOCABULARY, **options: object) -> DataFrame:
+    """Text requests (text, speaker_id) to waveforms by a server of text: prompt, answer, ids, books, valid, wave."""
+    speaker = F.coalesce("speaker_id", F.lit(v.unknown_speaker))
+    out = requests.withColumn("prompt", tokens.tts_prompt_text(sanitize(F.col("text")), speaker, v))
+    out = out.withColumn("answer", complete(F.col("prompt"), client, **options)).withColumn("ids", encode_text(F.col("answer"), tokenizer))
+    out = _stored(out, "books", tokens.decode_audio(tokens.until_stop(F.col("ids"), stop), v))
+    return out.withColumn("valid", tokens.non_negative(F.col("books"))).withColumn("wave", decode_books(F.col("books"), codec))
+
+
+def register(spark: SparkSession, tokenizer: Callable[[], TextTokenizer], model: Callable[[], Generator], codec: Callable[[], AudioCodec], prefix: str = "", most: int = 1024, **options: object) -> list[str]:
+    """The steps as functions of SQL: encode_text, decode_text, generate_ids and decode_books, with a prefix; their names."""
+    steps = {"encode_text": text_encoder(tokenizer), "decode_text": text_decoder(tokenizer), "generate_ids": generator(model, most, **options), "decode_books": books_decoder(codec)}
+    for name, step in steps.items():
+        spark.udf.register(prefix + name, step)
+    return [prefix + name for name in steps]
+
+
 def _stored(rows: DataFrame, name: str, value: Column) -> DataFrame:
     """rows with a column that the optimiser does not move into its uses: a Python step cannot take a lambda as its argument."""
     return rows.select("*", F.explode_outer(F.array(value)).alias(name))
@@ -147,6 +242,7 @@ def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Gen
     Chunks of a key follow one another; keys run side by side. A prompt's source stands before the first
     chunk and its target after it. A tail of no ids is all that was given so far, as a slice from -0 is.
     """
+    ship(rows.sparkSession)
     out = T.StructType([rows.schema[key], T.StructField("target", IDS)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -148,3 +148,8 @@ def test_small_operators(spark):
     assert [len(c) for c in wave.select(arrays.crop_seconds(F.col("w"), 4, 5)).first()[0]] == [20, 20]
     assert spark.createDataFrame([([[1, 2], [3, 4]],)], "m array<array<int>>").select(tokens.join_books(F.col("m"), tokens.narrow(F.col("m")))).first()[0] == [[1, 2, 1, 2], [3, 4, 3, 4]]
     assert session() is not None
+
+
+def test_odd_length(spark):
+    rows = spark.createDataFrame([([],), ([1],), ([1, 2],), (None,)], "a array<int>")
+    assert [r[0] for r in rows.select(arrays.odd_length(F.col("a"))).collect()] == [False, True, False, None]
