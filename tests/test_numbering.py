@@ -1,0 +1,54 @@
+import pytest
+from pyspark.sql import functions as F
+
+from auralake import scratch
+from auralake.operators.numbering import batches, numbered
+
+
+def rows(spark):
+    gaps = spark.range(20_000).select((F.col("id") * 7 % 1000 * 3).alias("k"), F.col("id").alias("v"))
+    hot = spark.range(10_000).select(F.lit(15).cast("long").alias("k"), F.lit(1).cast("long").alias("v"))
+    none = spark.range(3).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("v"))
+    return gaps.union(hot).union(none).repartition(5)
+
+
+def test_numbers_are_dense_and_follow_the_order(spark):
+    got = numbered(rows(spark), ["k"], start=1).orderBy("number").collect()
+    assert [r.number for r in got] == list(range(1, 30_004))
+    keys = [(r.k is not None, r.k) for r in got]
+    assert keys == sorted(keys, key=lambda k: (k[0], k[1] or 0))
+    assert sorted((r.k or -1, r.v) for r in got) == sorted((r.k or -1, r.v) for r in rows(spark).collect())
+
+
+def test_no_window_and_no_single_task(spark):
+    df = numbered(rows(spark), ["k"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    # One value holds a third of the rows and is still dealt to several ranges.
+    assert df.where("k = 15").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_batches_are_full(spark):
+    got = batches(rows(spark), ["k"], 256).select("batch", F.size("rows").alias("n"), F.get("rows", 0)["k"].alias("first"), F.element_at("rows", -1)["k"].alias("last")).orderBy("batch").collect()
+    assert [r.n for r in got] == [256] * 117 + [30_003 - 117 * 256]
+    assert all((a.last or -1) <= b.first for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_descending_and_empty(spark, unique):
+    df = spark.range(10)
+    assert [r.id for r in numbered(df, [F.col("id").desc()], unique=unique).orderBy("number").collect()] == list(range(9, -1, -1))
+    assert numbered(df.limit(0), ["id"], unique=unique).count() == 0
+
+
+def test_scope_and_release(spark):
+    from pyspark.sql.utils import AnalysisException
+
+    with scratch.scope(spark):
+        inner = scratch.written(spark.range(5))
+        assert inner.count() == 5
+        file = inner.inputFiles()[0]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(file)
+    left = scratch.written(spark.range(3))
+    assert left.inputFiles()[0].startswith(scratch.folder(spark).removeprefix("file://")) or scratch.folder(spark).removeprefix("file://") in left.inputFiles()[0]
