@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables, written cuts of lineage, chunks of text."""
+"""What the operators of this subpackage share: tables, written cuts of lineage (auralake.scratch), chunks of text."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.config import ship
+from auralake.scratch import written as cut
+
+__all__ = ["CHUNK_BYTES", "chunks", "columns_text", "cut", "flat", "small", "table"]
 
 #: Bytes of text that the numpy kernels take at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -25,28 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/auralake-scratch"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again.
-
-    The files outlive executors, so a lost executor costs a few tasks and not the whole lineage;
-    the planner then knows their size, which is what lets it broadcast a side on its own.
-    """
-    ship(df.sparkSession)
-    path = f"{scratch_root(df.sparkSession)}/auralake/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """df (already cut) marked for broadcast if its values take at most `most` bytes; else as it is, for a shuffled join.
 
