@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auralake.operators import numbering
+from auralake.operators.quantiles import exact_quantiles
+from auralake.scratch import written
+
 OK = 200
 
 #: Intervals of the spine that one row makes.
 SPINE_ROWS = 4096
+#: Requests of an interval above which its percentile is found by narrowing ranges, not in one buffer of its values.
+CROWDED = 1 << 20
 
 
 def succeeded(status: Column) -> Column:
     return F.when(status == OK, 1.0).otherwise(0.0)
 
 
-def series_aggregates(request: str = "request_id", seconds: str = "response_time", status: str = "status", approximate: bool = False) -> list[Column]:
+def series_aggregates(request: str = "request_id", seconds: str = "response_time", status: str = "status", approximate: bool = False, p95: Column | None = None) -> list[Column]:
     """What a bin reports. Failed requests have no id, so requests_per_s counts successes; attempts_per_s counts all."""
-    p95 = F.percentile_approx(seconds, 0.95, 10_000) if approximate else F.percentile(seconds, 0.95)
+    if p95 is None:
+        p95 = F.percentile_approx(seconds, 0.95, 10_000) if approximate else F.percentile(seconds, 0.95)
     return [
         F.count(request).alias("requests_per_s"),
         F.count("*").alias("attempts_per_s"),
@@ -30,13 +37,24 @@ def series_aggregates(request: str = "request_id", seconds: str = "response_time
     ]
 
 
-def time_series(requests: DataFrame, every: str = "1 second", ts: str = "ts", fill: bool = True, **columns: str) -> DataFrame:
+def time_series(requests: DataFrame, every: str = "1 second", ts: str = "ts", fill: bool = True, crowded: int = CROWDED, **columns: str) -> DataFrame:
     """One row per interval from the first to the last request; intervals without requests have counts of 0.
 
     One shuffle by interval; the spine is generated from two bounds, in two steps so that no row holds all of
-    it and many tasks take part, and joined to the few binned rows.
+    it and many tasks take part, and joined to the few binned rows. Intervals of more than `crowded` requests, told
+    by a count beforehand, have their percentile from `exact_quantiles`, so that no task holds all their values.
     """
-    bins = requests.groupBy(F.window(ts, every)["start"].alias("timestamp")).agg(*series_aggregates(**columns))
+    start, seconds = F.window(ts, every)["start"], columns.get("seconds", "response_time")
+    full = requests.groupBy(start.alias("__full")).agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("__full")
+    if full.isEmpty():
+        bins = requests.groupBy(start.alias("timestamp")).agg(*series_aggregates(**columns))
+    else:
+        full = F.broadcast(written(full))  # 2**20 rows of the input for each
+        marked = requests.withColumn("timestamp", start).join(full, F.col("timestamp") == F.col("__full"), "left")
+        other = F.percentile(F.when(F.col("__full").isNull(), F.col(seconds)), 0.95)
+        exact = exact_quantiles(marked.where("__full IS NOT NULL").select(F.col("__full"), F.col(seconds).alias("__v")).withColumnRenamed("__full", "full"), "__v", [0.95], ["full"])
+        bins = marked.groupBy("timestamp").agg(*series_aggregates(p95=other, **columns)).join(exact, F.col("timestamp") == F.col("full"), "left")
+        bins = bins.withColumn("p95_response_time", F.coalesce("p95_response_time", "q0")).drop("full", "n", "q0")
     if not fill:
         return bins
     bounds = bins.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).where("lo IS NOT NULL")
@@ -47,18 +65,19 @@ def time_series(requests: DataFrame, every: str = "1 second", ts: str = "ts", fi
 
 
 def summary(requests: DataFrame, seconds: str = "response_time", status: str = "status") -> DataFrame:
-    """Totals over all requests, and response times over the successful ones."""
+    """Totals over all requests, and response times over the successful ones; the median by narrowing ranges."""
     good = F.col(status) == OK
     of = F.when(good, F.col(seconds))
-    return requests.agg(
+    median = exact_quantiles(requests.select(of.alias("v")), "v", [0.5]).select(F.col("q0").alias("median_response_time"))
+    totals = requests.agg(
         F.count("*").alias("total"),
         F.count_if(good).alias("successes"),
         (F.count("*") - F.count_if(good)).alias("failures"),
         F.avg(of).alias("avg_response_time"),
         F.min(of).alias("min_response_time"),
         F.max(of).alias("max_response_time"),
-        F.median(of).alias("median_response_time"),
     )
+    return totals.crossJoin(F.broadcast(median))  # one row each
 
 
 def generation_summary(requests: DataFrame, metrics: str = "metrics") -> DataFrame:
@@ -108,9 +127,9 @@ def pick(a: Column, key: Column, seed: int = 1337) -> Column:
     return F.when(F.size(a) > 0, F.get(a, F.pmod(F.xxhash64(key, F.lit(seed)), F.size(a)).cast("int")))
 
 
-def batches(rows: DataFrame, order: str, n: int = 256) -> DataFrame:
-    """batch and the rows in it as an array, n at a time in the order of a dense whole number `order` from 0."""
-    return rows.groupBy(F.floor(F.col(order) / n).alias("batch")).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order]))).alias("rows"))
+def batches(rows: DataFrame, order: str, n: int = 256, unique: bool = False) -> DataFrame:
+    """batch and the rows in it as an array, exactly n at a time but for the last, in an order that may have gaps and ties."""
+    return numbering.batches(rows, [order], n, unique)
 
 
 def dataset_totals(rows: DataFrame, books: str = "codes") -> DataFrame:

@@ -41,6 +41,30 @@ class Shard(InputPartition):
     path: str
 
 
+def sample_name(name: str) -> tuple[str, str]:
+    """The key of a member's name and its suffix in lower case: all after the first dot of the file's own name."""
+    folder, own = os.path.split(name)
+    stem, _, suffix = own.partition(".")
+    return os.path.join(folder, stem), suffix.lower()
+
+
+def samples(tar: tarfile.TarFile) -> Iterator[tuple[str, dict[str, bytes]]]:
+    """(key, members) of the samples of an open tar, as they come."""
+    key, members = None, {}
+    for entry in tar:
+        tar.members = []  # the library would keep them all
+        if not entry.isfile():
+            continue
+        own, suffix = sample_name(entry.name)
+        if key is not None and own != key:
+            yield key, members
+            members = {}
+        key = own
+        members[suffix] = tar.extractfile(entry).read()
+    if key is not None:
+        yield key, members
+
+
 class ShardReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -52,21 +76,8 @@ class ShardReader(DataSourceReader):
         return [Shard(*found) for name in names for found in matching(name)]
 
     def read(self, partition: Shard) -> Iterator[tuple]:
-        key, members = None, {}
         with partition.where.open_input_stream(partition.path, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
-            for entry in tar:
-                if not entry.isfile():
-                    continue
-                folder, name = os.path.split(entry.name)
-                stem, _, suffix = name.partition(".")
-                own = os.path.join(folder, stem)
-                if key is not None and own != key:
-                    yield key, members
-                    members = {}
-                key = own
-                members[suffix.lower()] = tar.extractfile(entry).read()
-        if key is not None:
-            yield key, members
+            yield from samples(tar)
 
 
 @dataclass

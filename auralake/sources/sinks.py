@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from auralake.operators.numbering import numbered
 from auralake.sources.stores import store
 
 
@@ -25,10 +26,9 @@ def csv(df: DataFrame, path: str) -> None:
 
 
 def csv_indexed(df: DataFrame, path: str, order: list[str]) -> None:
-    """One CSV file whose first column is the row's number from 0 in an order: for results of a few rows."""
-    from pyspark.sql import Window
-
-    csv(df.select((F.row_number().over(Window.orderBy(*order)) - 1).alias("row_id"), "*").coalesce(1), path)
+    """CSV whose first column is the row's number from 0 in an order; files follow the order, and each is sorted."""
+    found = numbered(df, order, "row_id")
+    csv(found.select("row_id", *df.columns).repartitionByRange("row_id").sortWithinPartitions("row_id"), path)
 
 
 def settings(df: DataFrame, path: str) -> None:
