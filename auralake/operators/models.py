@@ -227,15 +227,27 @@ def speak(requests: DataFrame, tokenizer: Callable[[], TextTokenizer], model: Ca
     return out.withColumn("wave", decode_books(F.col("books"), codec))
 
 
-def continue_audio(requests: DataFrame, model: Callable[[], Generator], codec: Callable[[], AudioCodec], marks: dict[str, int], v: Vocabulary = VOCABULARY) -> DataFrame:
-    """Waveforms (wave, rate) and what a model makes follow them."""
+def continue_audio(requests: DataFrame, model: Callable[[], Generator], codec: Callable[[], AudioCodec], marks: dict[str, int], v: Vocabulary = VOCABULARY, most: int = 1024, **options: object) -> DataFrame:
+    """Waveforms (wave, rate) and what a model makes follow them; options (temperature, top_k, do_sample) reach the model."""
     heard = with_audio_ids(requests, codec, v=v)
     out = _stored(heard, "prompt", tokens.continuation_prompt(F.col("audio_ids"), F.lit(marks[v.audio]))).drop("audio_ids", "wave")
-    out = out.withColumn("ids", generate(F.col("prompt"), model))
+    out = out.withColumn("ids", generate(F.col("prompt"), model, most, **options))
     out = _stored(out, "books", tokens.decode_audio(tokens.until_stop(F.col("ids"), marks[v.stop]), v))
     return out.withColumn("valid", tokens.non_negative(F.col("books"))).withColumn("wave", decode_books(F.col("books"), codec))
 
 
+def long_prompt(part: list[int], first: bool, context: list[int], marks: tuple[int, int, int], prompt: tuple[list[int], list[int]]) -> list[int]:
+    """What a model is asked for one chunk of a long source: the first has the prompt around it, others what was given last."""
+    before, after = (prompt[0], prompt[1]) if first else ([], context)
+    return [marks[0], *before, *part, marks[1], marks[2], *after]
+
+
+def tail_length(new: int, part: int, first: bool, overlap: int) -> int:
+    """How many of the ids given so far belong to the overlap with the next chunk, rounded up to an even number."""
+    n = -(-overlap * new // max(1, part - (0 if first else overlap)))
+    return n + n % 2
+
+
 def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Generator], most: int, overlap: int, marks: tuple[int, int, int], limit: int = 1024, prompt: tuple[list[int], list[int]] = ([], []), **options: object) -> DataFrame:
     """Chunk after chunk of one long source, each prompted by the tail of what the last one gave.
 
@@ -251,13 +263,9 @@ def generate_long(rows: DataFrame, key: str, source: str, make: Callable[[], Gen
             a, target, context, at = [int(x) for x in a], [], [], 0
             while at < len(a):
                 part = a[at : at + most]
-                before, after = (prompt[0], prompt[1]) if not at else ([], context)
-                new = model.generate([[marks[0], *before, *part, marks[1], marks[2], *after]], **options)[0][:limit]
+                new = model.generate([long_prompt(part, not at, context, marks, prompt)], **options)[0][:limit]
                 target += new
-                fresh = max(1, len(part) - (overlap if at else 0))
-                n = -(-overlap * len(new) // fresh)
-                n += n % 2
-                context = target[-n:]
+                context = target[-tail_length(len(new), len(part), not at, overlap) :]
                 if at + most > len(a):
                     break
                 at += most - overlap
