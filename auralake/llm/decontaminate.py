@@ -12,8 +12,12 @@ it holds what is there, so a document that begins or ends within an item is seen
 2. Every window that is left has a fingerprint of 256 bits, each the sign of a sum over its shingles.
    Fingerprints are cut into 16 blocks of 16 bits. Two that differ in at most RADIUS = 63 bits differ in
    at most 3 bits in some block: items are stored under all values within 2 bits of a block's and
-   windows ask for all within 1 bit, so the join on (words, block, value) finds every pair within the
-   radius, and is the only source of pairs. At 0.8 some 39 bits differ, with a deviation of 6.
+   windows ask for all within 1 bit, so the join on (item, block, value) finds every pair within the
+   radius, and is the only source of pairs. At 0.8 some 39 bits differ, with a deviation of 6. A window asks
+   for the items that it shares an anchor with: of an item's m shingles one of 0.8 similarity lacks at most
+   m - ceil(0.8 * m), so it holds one of any m - ceil(0.8 * m) + 1 of them; the rarest among items
+   are its anchors. No pair that can be verified is lost by this, and what the join makes grows with the windows
+   times the items that are like them, not with all items of their length.
 3. Pairs left after the exact Hamming distance are verified by the weighted Jaccard similarity of their
    shingles, each weighted by its number of occurrences: 0.8 or more is contamination.
 
@@ -28,7 +32,7 @@ windows the first counts. Extra columns, whatever their names, are ignored or, i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auralake.llm.common import cut, small, table
@@ -82,6 +86,19 @@ def filed(prints: DataFrame, flips: int, *keep: str) -> DataFrame:
     return blocks.select(*keep, "block", F.explode_outer(near(F.col("value"), flips)).alias("value"))
 
 
+def anchors(items: DataFrame) -> DataFrame:
+    """it, n and h: of each item the shingles of which a window of LEAST similarity has one, the rarest first.
+
+    A shingle that an item holds twice counts twice. A window over the shingles of one item ranks them.
+    """
+    num, den = LEAST
+    each = items.select("it", "n", F.size("hs").alias("m"), F.posexplode("hs").alias("place", "h"))
+    common = each.groupBy("h").agg(F.count_distinct("it").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("it").orderBy("df", "h", "place"))
+    ranked = each.join(common, "h").withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= F.col("m") - F.ceil(F.col("m") * num / den) + 1).select("it", "n", "h").distinct()
+
+
 def frames(listed: DataFrame, *keep: str) -> DataFrame:
     """keep, n and start of each window that might reach LEAST.
 
@@ -132,8 +149,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str,
 
     # 3. Blocks: every pair of fingerprints within the radius meets in one of them, under ids alone.
     stored = cut(items.select("it", "n", "hs", fingerprint(F.col("hs")).alias("fp")))
-    index = cut(filed(stored, STORED, "it", "n"))
-    pairs = cut(filed(prints, ASKED, *key).join(small(index), ["n", "block", "value"]).select(*key, "it").distinct())
+    index = cut(filed(stored, STORED, "it"))
+    held = prints.select(*key, "fp", F.explode_outer(F.array_distinct("ws")).alias("h")).join(small(cut(anchors(items))), ["n", "h"])
+    asked = cut(held.select(*key, "fp", "it").distinct())
+    pairs = cut(filed(asked, ASKED, *key, "it").join(small(index), ["it", "block", "value"]).select(*key, "it").distinct())
 
     # 4. The exact distance, then the weighted Jaccard similarity: occurrences in common by those in either.
     pairs = pairs.join(prints, key).join(stored.select("it", "hs", F.col("fp").alias("ifp")), "it")
@@ -161,8 +180,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated; of rows that share an id only those of a contaminated text go."""
-    bad = _found(docs, benchmark, id, text, "item_id", "text").select(F.col("doc_id").alias("__bad"), F.col("copy").alias("__copy")).distinct()
-    return docs.join(cut(bad), docs[id].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text]) == F.col("__copy")), "left_anti")
+    own = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has a name that long
+    bad = _found(docs, benchmark, id, text, "item_id", "text").select(F.col("doc_id").alias(f"{own}id"), F.col("copy").alias(f"{own}copy")).distinct()
+    return docs.join(cut(bad), F.col(f"`{id}`").eqNullSafe(F.col(f"{own}id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col(f"{own}copy")), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

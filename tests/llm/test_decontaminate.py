@@ -53,6 +53,9 @@ def test_planted_passages(spark):
     kept = dc.drop_contaminated(d, b)
     stay = [4, 5, 8, 9] + [12] * (12 not in {k for k, _ in got})
     assert kept.columns == d.columns and sorted((r.doc_id or 0) for r in kept.collect()) == stay
+    named = d.withColumns({"__bad": F.lit(1), "__copy": F.lit(2), "item_id": F.lit(3), "_id": F.lit(4)})
+    left = dc.drop_contaminated(named, b)
+    assert left.columns == named.columns and sorted((r.doc_id or 0) for r in left.collect()) == stay
     assert dc.contaminated(d.limit(0), b).count() == 0 and dc.contaminated(d, b.limit(0)).count() == 0
 
 
@@ -127,3 +130,36 @@ def test_fingerprint_is_the_sign_of_sums(spark):
 def test_no_python_runs(spark):
     plan = dc.contaminated(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_anchors_lose_no_pair_of_the_threshold(spark):
+    """Whatever a window of 0.8 similarity lacks of an item, it holds one of its anchors; shingles that repeat included."""
+    rng = random.Random(9)
+    items = [(k, [rng.randrange(1 + m // (1 + k % 4)) for _ in range(m)]) for k, m in enumerate([1, 2, 4, 5, 6, 9, 10, 26, 61, 100] * 3)]
+    df = spark.createDataFrame([(k, len(hs) + 4, hs) for k, hs in items], "it long, n int, hs array<long>")
+    held = {}
+    for r in dc.anchors(df).collect():
+        held.setdefault(r.it, set()).add(r.h)
+    for k, hs in items:
+        need = -(-4 * len(hs) // 5)
+        for _ in range(50):
+            assert held[k] & set(rng.sample(hs, need))
+
+
+def test_recall_by_similarity(spark):
+    """Passages with words changed, 0.8 to 1 similar: all that brute force finds over all places are found; few candidates beside them."""
+    rng = random.Random(4)
+    items = [(k, [f"i{k}w{j}" if rng.random() < 0.8 else f"c{rng.randrange(40)}" for j in range(40 + k)]) for k in range(20)]
+    docs = []
+    for k, w in items:
+        for c in range(12):
+            own = list(w)
+            for at in rng.sample(range(len(own)), c % 4):
+                own[at] = "x"
+            docs.append((k * 100 + c, [f"f{rng.randrange(10**6)}" for _ in range(c)] + own + ["y"] * c))
+    docs, items = [(d, " ".join(w)) for d, w in docs], [(k, " ".join(w)) for k, w in items]
+    got = {(r.doc_id, r.item_id): r.similarity for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t in docs:
+        want |= brute([(d, t)], [items[d // 100]])
+    assert got == want and sum(v < 0.9 for v in want.values()) > 20

@@ -1,0 +1,76 @@
+import hashlib
+import re
+import tracemalloc
+
+import pytest
+from pyspark.sql import functions as F
+
+from auralake.llm import infill as im
+
+SF = "/root/testdata/sf0.001"
+
+
+def numbers(id):
+    digits = hashlib.sha256(f"1:{'' if id is None else id}".encode()).hexdigest()
+    return [int(digits[i : i + 8], 16) for i in (0, 8, 16, 24)]
+
+
+def brute(id, text):
+    """Over a list of the code points."""
+    t = list(text or "")
+    h, n = numbers(id), len(t)
+    if not n or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return id, n, "plain", None, None, "".join(t)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(t[:a]), "".join(t[a:b]), "".join(t[b:])
+    return (id, n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (id, n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}")
+
+
+ODD = ["", None, "x", "😀", "é", "\r\n", "\x00\x01", "a<P>b", "<S>", "x<M>", "<P", "<<S", "P>S>M>", "<" * 50, "<P<S<M" * 9, "日本語\U0001f600" * 300, "w " * 60_000]
+
+
+def test_equals_brute_force_on_odd_texts(spark):
+    rows = [(i * 31 + j, t) for j in range(12) for i, t in enumerate(ODD)] + [(None, "no id at all"), (5, "twice"), (5, "twice"), (-(2**63), "least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(1), "form": F.lit("x"), "h1": F.lit(2), "output": F.lit("y")}).repartition(3)
+    made = im.fill_in_middle(docs)
+    got = sorted((tuple(r) for r in made.collect()), key=str)
+    assert got == sorted((brute(*r) for r in rows), key=str)
+    assert {g[2] for g in got} == {"plain", "psm", "spm"}
+    texts = sorted(r[0] for r in made.select(im.restored(F.col("output"), F.col("form"))).collect())
+    assert texts == sorted(t or "" for _, t in rows)
+    assert im.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_equals_brute_force_on_the_table(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        id, n, form, a, m, out = brute(r.doc_id, r.text)
+        want.append((id, n, form, a, m, sha(out), sha(r.text or "")))
+    assert sorted(tuple(r) for r in im.op12_infill(spark, SF).collect()) == sorted(want)
+
+
+def test_equals_its_sql(same):
+    same(im.op12_infill, im.ORACLES["op12_infill"])
+
+
+@pytest.mark.parametrize("pattern", [r"\w+", r"[^\n]*\n?", r"x*", im.UNIT])
+def test_other_units_tile_the_text(pattern):
+    unit = re.compile(pattern)
+    text = "  one two,\nthree \n\n xx four é "
+    ends = [m.end() for m in unit.finditer(text)]
+    assert im.count_units(unit, text) == len(ends)
+    for low in range(len(ends) + 1):
+        for high in range(low, len(ends) + 1):
+            assert im.borders(unit, text, low, high) == ((ends[low - 1] if low else 0), (ends[high - 1] if high else 0))
+
+
+def test_memory_does_not_grow_with_the_text():
+    unit, peaks = re.compile(im.UNIT), []
+    for n in (10_000, 1_000_000):
+        text = "ab" * (n // 2)
+        tracemalloc.start()
+        assert im.count_units(unit, text) == n and im.borders(unit, text, n // 3, n // 2) == (n // 3, n // 2)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 4096
