@@ -16,7 +16,7 @@ size, and a block of vectors meets each block of queries once: the stated query
 
 Components are floor(scale * x) computed in doubles. A vector that is null, empty or holds null or
 non-finite components takes no part, neither as query nor as candidate. Ties go to the smaller id; a
-repeated id is as many candidates, none of them its own query's. Vectors of another length than the
+repeated id is as many candidates, none of them its own query's, and as many queries, each ranked by itself. Vectors of another length than the
 query's do not match it. Products are summed in doubles while every partial sum is below 2**53, which
 is exact, and else as Python integers, then held within 64 bits. Empty tables give no rows, and extra
 columns, whatever their names, are ignored.
@@ -35,6 +35,7 @@ from auralake.llm.common import cut, table
 
 #: Rows of a block of vectors and of a block of queries: what bounds a task's memory.
 ROWS, QUERIES_A_BLOCK = 2048, 256
+FOUND = "q long, at long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, id: str, vector: str, scale: float) -> DataFrame:
@@ -88,16 +89,17 @@ def _parts(d: int, groups: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _answer(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    held = [(q, c, min(max(int(s), -(1 << 63)), (1 << 63) - 1)) for q, c, s in found]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+def _answer(found: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    held = [(b, at, q, c, min(max(int(s), -(1 << 63)), (1 << 63) - 1)) for b, at, q, c, s in found]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], pa.int64()) for i in range(5)], names=["q", "at", "query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0, groups: int = 4) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of vectors for each row of queries, but the query's own id."""
     spark = vectors.sparkSession
     blocks = cut(packed(quantised(vectors, id, vector, scale), ROWS, "c"))
-    asked = cut(packed(quantised(queries, id, vector, scale).coalesce(4), QUERIES_A_BLOCK, "q"))
+    # A query is known by its block and its place there: ids may repeat.
+    asked = cut(packed(quantised(queries, id, vector, scale).coalesce(4), QUERIES_A_BLOCK, "q").withColumn("q", F.monotonically_increasing_id()))
     # A block of vectors goes once to each block of queries; salting keeps a query block's pairs apart.
     n = max(1, spark.sparkContext.defaultParallelism)
     salt = F.pmod(F.xxhash64("c"), F.lit(n)).cast("int")
@@ -116,19 +118,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
                     near = np.unique(np.concatenate([best(np.where(cs == own, p[i].min() - 1, p[i]), cs, k) for p in parts]))
                     near = near[cs[near] != own]
                     scores, ids = sum(p[i][near] for p in parts), cs[near]
-                    found += [(own, ids[j], scores[j]) for j in best(np.asarray(scores), ids, k)]
+                    found += [(row["q"], i, own, ids[j], scores[j]) for j in best(np.asarray(scores), ids, k)]
                 yield _answer(found)
 
-    gathered = meet.mapInArrow(gather, "query_id long, vec_id long, score long")
+    gathered = meet.mapInArrow(gather, FOUND)
     # The k-th best gathered score of each query; -2**63 while there are fewer than k.
     cutoff = F.when(F.count("*") >= k, F.element_at(F.sort_array(F.collect_list("score"), asc=False), k)).otherwise(F.lit(-(1 << 63)))
-    by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoffs = cut(gathered.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= k).groupBy("query_id").agg(cutoff.alias("tau")))
-    own = asked.select("q", F.explode(F.sequence(F.lit(0), (F.length("q_ids") / 8 - 1).cast("int"))).alias("at"), "q_ids")
+    by_rank = Window.partitionBy("q", "at").orderBy(F.desc("score"), "vec_id")
+    cutoffs = cut(gathered.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= k).groupBy("q", "at").agg(cutoff.alias("tau")))
     # tau goes back to its block of queries as one array in the block's order.
-    le = F.reverse(F.substring("q_ids", F.col("at") * 8 + 1, F.lit(8)))
-    ids = F.conv(F.hex(le), 16, -10).cast("long")
-    taus = own.select("q", "at", ids.alias("query_id")).join(cutoffs, "query_id", "left").groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("tau", F.lit(-(1 << 63))).alias("tau")))), lambda s: s["tau"]).alias("taus"))
+    own = asked.select("q", F.explode(F.sequence(F.lit(0).cast("long"), (F.length("q_ids") / 8 - 1).cast("long"))).alias("at"))
+    taus = own.join(cutoffs, ["q", "at"], "left").groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("tau", F.lit(-(1 << 63))).alias("tau")))), lambda s: s["tau"]).alias("taus"))
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +145,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
                     some = some[bound >= tau - 1 - abs(tau) * 1e-12] if len(some) else some
                     scores = np.asarray(sum(p[i][some] for p in parts))
                     some, scores = some[scores >= tau], scores[scores >= tau]
-                    found += [(own, cs[some[j]], scores[j]) for j in best(scores, cs[some], k)]
+                    found += [(row["q"], i, own, cs[some[j]], scores[j]) for j in best(scores, cs[some], k)]
                 yield _answer(found)
 
-    resolved = meet.join(taus, "q").mapInArrow(resolve, "query_id long, vec_id long, score long")
+    resolved = meet.join(taus, "q").mapInArrow(resolve, FOUND)
     ranked = resolved.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -166,13 +166,13 @@ WITH fit AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asked AS (SELECT *, row_number() OVER () AS r FROM fit WHERE vec_id % 50 = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
     CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM fit q JOIN fit c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-  WHERE q.vec_id % 50 = 0
+  FROM asked q JOIN fit c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
