@@ -16,7 +16,7 @@ polynomial modulo 2**64, and 62 bits of polynomials modulo two primes over the s
 4. A core with more than CORE strips, a passage that very many documents frame differently, would gather
    in one task: its windows are counted one by one instead, again by aggregate and join.
 
-A null id stands before all others; a null text is empty. Rows that repeat an id and its text are one
+A null id stands before all others but the least of a long, with which it is in an order by hash; a null text is empty. Rows that repeat an id and its text are one
 document; texts that share an id are told apart by their hash. Texts shorter than `least` bytes lose
 nothing, and long ones are read in pieces that overlap by a window. An empty table gives no rows. Extra columns are ignored.
 """
@@ -43,40 +43,40 @@ EXPAND_BYTES = 1 << 19
 _KEY = ["d", "t"]
 
 
-def _pieces(texts: pa.Array, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, place of the piece in its text, bytes, offsets): several texts, or part of a long one."""
-    for i, _, data, offs in chunks(texts):
-        if len(data) <= 2 * CHUNK_BYTES:
+def _pieces(texts: pa.Array, least: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place of the piece in its text, bytes, offsets): several texts of about `size` bytes, or part of a longer one."""
+    for i, _, data, offs in chunks(texts, size):
+        if len(data) <= 2 * size:
             yield i, 0, data, offs
         else:
-            for a in range(0, len(data) - least + 1, CHUNK_BYTES):
-                part = data[a : a + CHUNK_BYTES + least - 1]
+            for a in range(0, len(data) - least + 1, size):
+                part = data[a : a + size + least - 1]
                 yield i, a, part, np.array([0, len(part)])
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
     """doc_id, d (the id, the least number for null), t (0, or the text's hash if texts share the id), text."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63))).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    hashed = F.xxhash64("text")
+    hashed = F.xxhash64("text", F.col("doc_id").isNull())
     shared = cut(rows.groupBy("d").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").select(F.col("d").alias("shared")))
     return rows.join(small(shared), rows["d"] == shared["shared"], "left").select("doc_id", "d", F.when(F.col("shared").isNotNull(), hashed).otherwise(F.lit(0).cast("long")).alias("t"), "text")
 
 
-def _grams(least: int):
+def _grams(least: int, size: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in _pieces(columns_text(batch, "text"), least):
+            for _, _, data, offs in _pieces(columns_text(batch, "text"), least, size):
                 h = anchors(Sums(data), offs, least, GRAM)[1]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     return found
 
 
-def _blocks(least: int):
+def _blocks(least: int, size: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, t = batch.column("d").to_numpy(), batch.column("t").to_numpy()
-            for row, base, data, offs in _pieces(columns_text(batch, "text"), least):
+            for row, base, data, offs in _pieces(columns_text(batch, "text"), least, size):
                 sums = Sums(data)
                 place, h, lo, hi = anchors(sums, offs, least, GRAM)
                 g = sums.slices(lo, hi + least, place - lo)
@@ -211,13 +211,13 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 100, size: int = CHUNK_BYTES) -> DataFrame:
     """Spans to remove, d, t, s (from) and e (to, in bytes), which may overlap; docs as _keyed() gives them."""
     spark = docs.sparkSession
     texts = docs.where(F.octet_length("text") >= least)
-    grams = cut(texts.select("text").mapInArrow(_grams(least), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    grams = cut(texts.select("text").mapInArrow(_grams(least, size), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     _release(spark)
-    blocks = texts.select("d", "t", "text").mapInArrow(_blocks(least), "h long, g long, c long, d long, t long, lo int, more int, rel int")
+    blocks = texts.select("d", "t", "text").mapInArrow(_blocks(least, size), "h long, g long, c long, d long, t long, lo int, more int, rel int")
     blocks = cut(blocks.join(grams, "h"))
     _release(spark)
     place, same = F.struct("d", "t", "lo"), ["h", "g", "c"]
@@ -244,10 +244,10 @@ def repeated_spans(docs: DataFrame, least: int = 100) -> DataFrame:
     return copies.union(later).union(alone)
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs."""
+def remove_repeats(docs: DataFrame, least: int = 100, id: str = "doc_id", text: str = "text", size: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs; texts of more than 2 * size bytes are read in pieces."""
     keyed = _keyed(docs, id, text)
-    spans = repeated_spans(keyed, least).groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = repeated_spans(keyed, least, size).groupBy(*_KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = cut(spans)
     _release(docs.sparkSession)
     return keyed.join(spans, _KEY, "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

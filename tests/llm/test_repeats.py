@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ def brute(rows, least=100):
     return out
 
 
-def run(spark, rows, schema="doc_id long, text string"):
+def run(spark, rows, schema="doc_id long, text string", **how):
     df = spark.createDataFrame([(i, b.decode() if b is not None else None) for i, b in rows], schema).withColumn("n_bytes", F.lit("x")).repartition(3)
-    return {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(df).collect()}
+    return {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(df, **how).collect()}
 
 
 def test_expansion_equals_brute_force():
@@ -103,12 +104,20 @@ def test_repeats_equal_brute_force(spark, monkeypatch, core, hot):
     assert run(spark, rows) == brute(rows)
 
 
-def test_cases(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK_BYTES", 5000)  # long texts are read in pieces
+def test_pieces_cover_all_windows_once():
+    text = bytes(range(97, 122)) * 2000
+    pieces = list(repeats._pieces(pa.array([b"short".decode(), text.decode()]), 100, 5000))
+    assert len(pieces) > 9 and [p[1] for p in pieces if p[0]] == list(range(0, len(text) - 99, 5000))
+    assert all(bytes(d) == text[a : a + 5099] for i, a, d, _ in pieces if i)
+
+
+def test_cases(spark):
     rng = np.random.default_rng(2)
     long = bytes(rng.integers(97, 123, 30_000).astype(np.uint8))
     rows = [(None, long[:150]), (1, b""), (2, b"a" * 99), (3, b"a" * 100), (4, b"a" * 300), (5, long), (6, b"q" + long[7:]), (7, long[100:199]), (8, long[100:200]), (9, long[20_000:] + long[:20_000])]
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows) == run(spark, rows, size=5000) == brute(rows)  # long texts are read in pieces
+    ends = spark.createDataFrame([(None, long[:300].decode()), (-(2**63), long[:300].decode()), (2**63 - 1, long[:300].decode())], "doc_id long, text string")
+    assert sorted(r.n_removed for r in repeats.remove_repeats(ends).collect()) == [0, 300, 300]
     assert run(spark, [*rows, (10, None)])[10] == (0, 0, 0, hashlib.sha256(b"").hexdigest())
     df = spark.createDataFrame([(1, long.decode()), (1, long.decode()), (2, long[:500].decode())], "doc_id long, text string")
     got = sorted(tuple(r)[:3] for r in repeats.remove_repeats(df).collect())
