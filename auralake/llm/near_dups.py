@@ -245,17 +245,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _heads(signed: DataFrame) -> DataFrame:
-    """One row for each distinct sequence of words: c1, c2, id and th of its first row, bands, and a number of its own (node).
-
-    The number is the smallest id, or one below all ids where there is none or another text has it, too.
-    """
+    """One row for each distinct sequence of words: c1, c2, id and th of its first row, bands, and a number of its own (node), from 0 up whatever the ids are."""
     same = signed.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "th")).alias("m0"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("m"), F.first("bands", ignorenulls=True).alias("bands"))
-    same = cut(same.select("c1", "c2", "id", F.coalesce("m.th", "m0.th").alias("th"), "bands", F.monotonically_increasing_id().alias("at")))
-    shared = cut(same.where("id IS NOT NULL").groupBy(F.col("id").alias("id2")).agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    floor = F.lit(min(same.agg(F.min("id")).first()[0] or 0, 0))
-    taken = F.col("id").isNull() | F.col("first").isNotNull() & (F.col("first") != F.col("at"))
-    heads = same.join(shared, same["id"] == shared["id2"], "left").withColumn("node", F.when(taken, floor - 1 - F.col("at")).otherwise(F.col("id")))
-    return cut(heads.select("c1", "c2", "id", "th", "bands", "node"))
+    return cut(same.select("c1", "c2", "id", F.coalesce("m.th", "m0.th").alias("th"), "bands", F.monotonically_increasing_id().alias("node")))
 
 
 def _classes(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:

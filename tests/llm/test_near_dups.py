@@ -145,3 +145,12 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 100)], "a long, b long")
     got = dict(nd.components(links).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_ids_at_the_ends_of_long(spark):
+    """Ids that leave no room below or above them, repeated ones and none: numbers of nodes come from no id."""
+    words = [f"w{i}" for i in range(40)]
+    near = " ".join([*words[:-1], "x"])
+    rows = [(-(2**63), " ".join(words)), (None, near), (2**63 - 1, near + " y"), (2**63 - 1, "another text"), (None, "third text here"), (-(2**63), "another text"), (0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.class_id) for r in nd.near_duplicates(df).collect()), key=str) == classes(rows)
