@@ -8,7 +8,7 @@ different ones, and a pseudonym validates as its original did:
   card       13 to 19 digits, issuer range, Luhn    the first four digits stay, the check digit is new
   iban       country, length, remainder mod 97      country and letters stay, the check digits are new
   ssn        area, group and serial in range        over the valid numbers alone
-  phone      see PHONES                             the last ten digits, in place
+  phone      see PHONES                             the last ten digits, in place; their kind of area and number stays
   ip         four octets up to 255                  over the 2**32 addresses
   date       a day that exists, four formats        the days of its 196 years, within the format
   email      local part and domain                  keyed hash, a domain under .example
@@ -208,10 +208,23 @@ def ssn(m: Column, key: str) -> Column:
     return F.when(fits, let(image, text))
 
 
+def subscriber(digits: Column, key: str) -> Column:
+    """Ten digits as an area of three and a number of seven. Each kind of area (2 to 9, 1 or 0 first) and of number
+    (2 to 9 or lower first) is permuted within itself, so what a form asks of the first digits still holds."""
+    area, rest = F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 7).cast("long")
+    low_area = F.when(area >= 200, 200).when(area >= 100, 100).otherwise(0).cast("long")
+    low_rest = F.when(rest >= 2_000_000, 2_000_000).otherwise(0).cast("long")
+    areas, rests = F.when(area >= 200, 800).otherwise(100).cast("long"), F.when(rest >= 2_000_000, 8_000_000).otherwise(2_000_000).cast("long")
+    image = feistel(area - low_area, rest - low_rest, areas, rests, key, "phone")
+    return let(image, lambda s: F.concat(F.lpad((s["l"] + low_area).cast("string"), 3, "0"), F.lpad((s["r"] + low_rest).cast("string"), 7, "0")))
+
+
 def phone(m: Column, key: str) -> Column:
     def body(d: Column) -> Column:
         keep = F.greatest(F.length(d) - 10, F.lit(0))
-        new = F.concat(F.substring(d, F.lit(1), keep), permuted(F.substring(d, keep + 1, F.lit(10)), key, "phone"))
+        tail = F.substring(d, keep + 1, F.lit(10))
+        image = let(tail, lambda t: F.when(F.length(t) == 10, subscriber(t, key)).otherwise(permuted(t, key, "phone")))
+        new = F.concat(F.substring(d, F.lit(1), keep), image)
         return F.when(F.length(d).between(7, 15), let(new, lambda x: refilled(m, x)))
 
     return let(only_digits(m), body)

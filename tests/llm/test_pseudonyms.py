@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 import re
 import time
 
@@ -47,7 +48,8 @@ def test_numbers_keep_their_format(spark):
 
 def test_phones_addresses_and_numbers(spark):
     a, b, c = run(spark, "+1 (017) 555-7713!", "at 97.51.17.173.", "no 123-45-6789 no")
-    p = digits("0175557713", "phone")
+    l, r = feistel(17, 5557713 - 2_000_000, 100, 8_000_000, "phone")
+    p = f"{l:03d}{r + 2_000_000:07d}"
     assert a.text == f"+1 ({p[:3]}) {p[3:6]}-{p[6:]}!"
     l, r = feistel(97 * 256 + 51, 17 * 256 + 173, 65536, 65536, "ip")
     assert b.text == f"at {l >> 8}.{l & 255}.{r >> 8}.{r & 255}."
@@ -122,6 +124,19 @@ def test_forms_of_phones(spark):
     assert len({re.sub(r"\D", "", r.text)[-10:] for r in out[:6]}) == 1
 
 
+def test_ten_digits_keep_their_form_and_stay_apart(spark):
+    form = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
+    rng = random.Random(1)
+    numbers = sorted({f"{rng.randrange(200, 1000)}{rng.randrange(2_000_000, 10_000_000)}" for _ in range(600)} | {"2002000000", "9999999999", "2009999999", "9992000000"})
+    images = [r.text for r in run(spark, *numbers)]
+    assert all(form.fullmatch(i) for i in images) and len(set(images)) == len(numbers)
+    grouped = [f"({n[:3]}) {n[3:6]}-{n[6:]}" for n in ("0175557713", "1234567890", "4151234567", "4155551234")]
+    kinds = lambda t: (min(int(t[1]), 2), t[6] >= "2")
+    out = [r.text for r in run(spark, *grouped)]
+    assert [kinds(t) for t in out] == [kinds(t) for t in grouped] and len(set(out)) == 4
+    assert all(r.text.startswith("0") for r in run(spark, "06 12 34 56 78", "01 99 34 56 78"))
+
+
 @pytest.mark.parametrize("unit", [".c", "-c", "c.", "1", "1 ", "1-", "12.", "AB12 ", "AB12", "a", "F", "0f", "+1", "+1 ", "(415) ", "12/", "2024-01-", "token=", "=a", "415 555 ", "06 12 ", "a@", "a@b."])
 def test_long_runs_of_any_alternative(spark, unit):
     long = unit * ((1_000_000 if unit in (".c", "-c", "c.", "1", "AB12", "a", "F", "0f", "=a", "a@", "a@b.") else 50_000) // len(unit))
