@@ -139,7 +139,7 @@ def identify(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "te
     """keep (the id), lang_pred, score and accepted for every row of docs."""
     usable = docs.where(train & F.col(lang).isNotNull() & F.col(id).isNotNull() & F.col(text).isNotNull())
     rows = learn.share(usable, usable.count(), sample, id, 7)
-    found, counts, y = learn.collect(rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")), "lang", T.StringType(), subwords, counts=True)
+    found, counts, y = learn.collect(rows.select(F.col(id).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")), "lang", T.StringType(), subwords, counts=True)
     model = docs.sparkSession.sparkContext.broadcast(fit(found, counts, y))  # 2**BITS numbers a language
 
     def predicted(data: np.ndarray, offs: np.ndarray) -> list[pa.Array]:

@@ -1,7 +1,7 @@
 """What the classifiers share: a bounded sample of labelled rows, sparse features of whole texts, calibration.
 
-Only the sample's hashed features come to the driver. Their size is bounded by rows * buckets * 4
-bytes, both parameters; scoring reads every text whole and in place, without a shuffle.
+Only the sample's hashed features come to the driver: one row an id, and no more than BYTES of features in
+all, counted before they are collected. Scoring reads every text whole and in place, without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from auralake.llm.common import chunks, columns_text, cut
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+#: Bytes of features that come to the driver, at most, and slots that ids are dealt to for that count.
+BYTES, SLOTS = 1 << 28, 4096
+
+
 def share(rows: DataFrame, n: int, bound: int, key: str, seed: int) -> DataFrame:
     """About `bound` of n rows, the same ones on any run: those whose hashed key is low enough."""
     if n <= bound:
@@ -29,37 +33,50 @@ def share(rows: DataFrame, n: int, bound: int, key: str, seed: int) -> DataFrame
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, id: str = "doc_id", text: str = "text", seed: int = 7) -> DataFrame:
-    """text and y (0 or 1) of about `bound` labelled rows for which train holds; conflicting labels count as 1.
+    """key, text and y (0 or 1) of about `bound` labelled rows for which train holds; conflicting labels count as 1.
 
     The labels are thinned before the join, so the side that is joined has about `bound` rows.
     """
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & train).groupBy(F.col(id).alias("__id")).agg(F.max(label).cast("int").alias("y"))
     known = cut(known)
     some = share(known, known.count(), bound, "__id", seed)
-    return docs.select(F.col(id).alias("__key"), F.col(text).alias("text")).join(F.broadcast(some), F.col("__key") == F.col("__id")).select("text", "y")
+    return docs.select(F.col(id).alias("__key"), F.col(text).alias("text")).join(F.broadcast(some), F.col("__key") == F.col("__id")).select(F.col("__key").alias("key"), "text", "y")
 
 
-def collect(rows: DataFrame, target: str, kind: T.DataType, features: Features, counts: bool = False) -> tuple[list[np.ndarray], list[np.ndarray], list]:
-    """Buckets, their counts and the target of each row (text, target); rows without features are left out.
+def collect(rows: DataFrame, target: str, kind: T.DataType, features: Features, counts: bool = False, most: int = BYTES) -> tuple[list[np.ndarray], list[np.ndarray], list]:
+    """Buckets, their counts and the target of each row (key, text, target); rows without features are left out.
 
-    They come in the order of their content, so that reruns train on the same sequence.
+    Of rows that share a key the one whose features have the least hash counts. Keys are taken in the order of a hash
+    while their features fit `most` bytes. They come in the order of their content, so that reruns train on the
+    same sequence.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
             for i, j, data, offs in chunks(columns_text(batch, "text")):
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 buckets, at = features(data, offs)
                 for k in range(j - i):
                     own, n = np.unique(buckets[at[k] : at[k + 1]], return_counts=True)
                     if len(own):
-                        out[0].append(own.astype("<i4").tobytes())
-                        out[1].append(n.astype("<i4").tobytes() if counts else b"")
-                        out[2].append(batch.column(target)[i + k])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array([x.as_py() for x in out[2]], batch.column(target).type)], names=["f", "n", "y"])
-
-    schema = T.StructType([T.StructField("f", T.BinaryType()), T.StructField("n", T.BinaryType()), T.StructField("y", kind)])
-    got = rows.select("text", target).mapInArrow(found, schema).toArrow()
+                        out[0].append(batch.column("key")[i + k].as_py())
+                        out[1].append(own.astype("<i4").tobytes())
+                        out[2].append(n.astype("<i4").tobytes() if counts else b"")
+                        out[3].append(batch.column(target)[i + k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary()), pa.array(out[3], batch.column(target).type)], names=["key", "f", "n", "y"])
+
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("f", T.BinaryType()), T.StructField("n", T.BinaryType()), T.StructField("y", kind)])
+    made = rows.select(F.col("key").cast("string").alias("key"), "text", target).mapInArrow(found, schema)
+    one = made.groupBy("key").agg(F.min(F.struct(F.xxhash64("f", "n").alias("h"), "f", "n", "y")).alias("r"))
+    one = cut(one.select("r.*", F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("slot")))
+    sizes = sorted(one.groupBy("slot").agg(F.sum(F.octet_length("f") + F.octet_length("n")).alias("bytes")).collect())
+    total, until = 0, SLOTS
+    for r in sizes:
+        total += r.bytes
+        if total > most:
+            until = r.slot
+            break
+    got = one.where(F.col("slot") < until).select("f", "n", "y").toArrow()
     f, n, y = (got.column(c).to_pylist() for c in ("f", "n", "y"))
     order = sorted(range(len(f)), key=lambda i: (hash_bytes(f[i]), str(y[i])))
     return [np.frombuffer(f[i], "<i4") for i in order], [np.frombuffer(n[i], "<i4") for i in order], [y[i] for i in order]
