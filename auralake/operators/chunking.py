@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auralake.functions.arrays import indices, let
+from auralake.operators.numbering import numbered
 
 
 def chunk_starts(n: Column, most: int, overlap: int = 0, early_stop: bool = True) -> Column:
@@ -68,3 +71,16 @@ def join_books_in_order(rows: DataFrame, key: str, order: str, books: str) -> Da
     pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(books).alias("m"))))
     ordered = F.transform(pieces, lambda p: p["m"])
     return rows.groupBy(key).agg(ordered.alias("__all")).select(key, F.transform(F.get("__all", 0), lambda _, c: F.flatten(F.transform("__all", lambda m: F.get(m, c)))).alias(books))
+
+
+def run_starts(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """The rows of each key at which a run of one value begins, in an order without ties within the key.
+
+    Rows are numbered over (key, order) and each meets the one before by its number, so a key that holds most rows is
+    spread like any other; no window and no array has all rows of a key.
+    """
+    found = numbered(rows, [*key, *order], "__at", unique=True)
+    before = found.select((F.col("__at") + 1).alias("__at"), *(F.col(c).alias(f"__{i}") for i, c in enumerate([*key, value])))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate([*key, value])]
+    met = found.join(before.withColumn("__met", F.lit(True)), "__at", "left")
+    return met.where(F.col("__met").isNull() | ~reduce(lambda a, b: a & b, same)).select(*rows.columns)

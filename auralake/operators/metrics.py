@@ -97,10 +97,15 @@ def relative_time(requests: DataFrame, ts: str = "ts") -> DataFrame:
     return requests.crossJoin(F.broadcast(first)).withColumn("relative_time", (micros(ts) - micros("__first")) / 1e6).drop("__first")
 
 
+def rate_at(second: Column, least: float, most: float, step: float, every: int) -> Column:
+    """Requests a second at a second of a load test whose rate rises by step."""
+    return F.least(F.lit(least) + F.floor(second / every) * F.lit(step), F.lit(most))
+
+
 def rate_schedule(least: float, most: float, step: float, seconds: int, every: int) -> Column:
-    """Requests a second at each second of a load test whose rate rises by step: array of (second, qps, delay)."""
+    """The rate at each second of a load test: array of (second, qps, delay)."""
     at = F.sequence(F.lit(0), F.lit(seconds - 1))
-    qps = lambda t: F.least(F.lit(least) + F.floor(t / every) * F.lit(step), F.lit(most))
+    qps = lambda t: rate_at(t, least, most, step, every)
     return F.transform(at, lambda t: F.struct(t.alias("second"), qps(t).alias("qps"), (1 / qps(t)).alias("delay")))
 
 
@@ -127,9 +132,9 @@ def pick(a: Column, key: Column, seed: int = 1337) -> Column:
     return F.when(F.size(a) > 0, F.get(a, F.pmod(F.xxhash64(key, F.lit(seed)), F.size(a)).cast("int")))
 
 
-def batches(rows: DataFrame, order: str, n: int = 256, unique: bool = False) -> DataFrame:
+def batches(rows: DataFrame, order: str | list[str], n: int = 256, unique: bool = False) -> DataFrame:
     """batch and the rows in it as an array, exactly n at a time but for the last, in an order that may have gaps and ties."""
-    return numbering.batches(rows, [order], n, unique)
+    return numbering.batches(rows, [order] if isinstance(order, str) else order, n, unique)
 
 
 def dataset_totals(rows: DataFrame, books: str = "codes") -> DataFrame:

@@ -6,17 +6,22 @@ rounded to six places. Hand-made rows stand beside the tables where these lack a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auralake import scratch
 from auralake.config import VOCABULARY
 from auralake.functions import arrays, logits, signal, text, tokens
 from auralake.functions.speaker_values import SPEAKERS
-from auralake.operators import chunking, feedback, metrics, speakers, vectors
+from auralake.operators import chunking, feedback, metrics, numbering, quantiles, speakers, vectors
+from auralake.sources import ranges, shards
 from auralake.sources.files import METRICS_SCHEMA
+from auralake.streaming.arrivals import arrivals
+from auralake.streaming.partials import finished_outputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -289,15 +294,15 @@ def array_pieces(spark, sf_dir):
     return _hand(spark, sf_dir).select("vec_id", as_text(arrays.between(a, 3, 8)).alias("middle"), as_text(arrays.tail(a, 3)).alias("tail"), as_text(arrays.tail(a, 0)).alias("whole"), as_text(tokens.proportional(a, 35)).alias("scaled"), as_text(tokens.add(a, a)).alias("doubled"), arrays.distinct_count(a).alias("kinds"), F.size(a).alias("n"))
 
 
-@query(f"WITH {_CODES} SELECT vec_id % 10 AS grp, {_text_sql('flatten(list(a ORDER BY vec_id))')} AS ids FROM codes GROUP BY 1")
+@query(f"WITH {_CODES} SELECT vec_id // 16 AS grp, {_text_sql('flatten(list(a ORDER BY vec_id))')} AS ids FROM codes GROUP BY 1")
 def arrays_in_order(spark, sf_dir):
-    rows = codes(spark, sf_dir).select((F.col("vec_id") % 10).alias("grp"), "vec_id", F.col("a").alias("ids"))
+    rows = codes(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("grp"), "vec_id", F.col("a").alias("ids"))
     return chunking.concat_in_order(rows, "grp", "vec_id", "ids").select("grp", as_text(F.col("ids")).alias("ids"))
 
 
-@query(f"WITH {_CODES} SELECT vec_id % 10 AS grp, {_text_sql('flatten(list(a[1:32] ORDER BY vec_id))')} AS book0, {_text_sql('flatten(list(a[33:64] ORDER BY vec_id))')} AS book1 FROM codes GROUP BY 1")
+@query(f"WITH {_CODES} SELECT vec_id // 16 AS grp, {_text_sql('flatten(list(a[1:32] ORDER BY vec_id))')} AS book0, {_text_sql('flatten(list(a[33:64] ORDER BY vec_id))')} AS book1 FROM codes GROUP BY 1")
 def books_in_order(spark, sf_dir):
-    rows = codes(spark, sf_dir).select((F.col("vec_id") % 10).alias("grp"), "vec_id", books_of(F.col("a"), 2, 32).alias("m"))
+    rows = codes(spark, sf_dir).select(F.floor(F.col("vec_id") / 16).alias("grp"), "vec_id", books_of(F.col("a"), 2, 32).alias("m"))
     return chunking.join_books_in_order(rows, "grp", "vec_id", "m").select("grp", as_text(F.get("m", 0)).alias("book0"), as_text(F.get("m", 1)).alias("book1"))
 
 
@@ -428,9 +433,12 @@ def speaker_reject(spark, sf_dir):
     return speakers.rejected(_speaker_requests(spark, sf_dir), speakers.speakers(spark)).select("c_custkey", "speaker", "reason")
 
 
-@query(f"WITH {_SPEAKERS_SQL} SELECT speaker AS display_name FROM dim WHERE effective")
+@query(f"WITH {_SPEAKERS_SQL}, {_ASKED} SELECT d.speaker AS display_name, count(c_custkey) AS n FROM dim d LEFT JOIN asked a ON a.speaker = d.speaker WHERE effective GROUP BY 1")
 def speaker_names(spark, sf_dir):
-    return speakers.names(spark)
+    """The names that can be asked for, and how often each was."""
+    asked = _speaker_requests(spark, sf_dir).groupBy("speaker").agg(F.count("*").alias("n"))
+    named = speakers.names(spark).join(asked, F.col("display_name") == F.col("speaker"), "left")
+    return named.select("display_name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -481,10 +489,15 @@ def topn_by_tokens(spark, sf_dir):
     return metrics.first_by(_speeds(spark, sf_dir).select("doc_id", "output_tokens"), ["output_tokens", "doc_id"])
 
 
-@query("SELECT CAST(t AS INTEGER) AS second, round(least(0.5 + floor(t / 360) * 0.5, 5.0), 6) AS qps, round(1 / least(0.5 + floor(t / 360) * 0.5, 5.0), 6) AS delay FROM range(0, 3600) r(t)")
+@query("""
+WITH e AS (SELECT event_id, (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) // 1000000 AS second FROM events),
+q AS (SELECT *, least(0.5 + floor(second / 360) * 0.5, 5.0) AS qps FROM e)
+SELECT event_id, CAST(second AS BIGINT) AS second, round(qps, 6) AS qps, round(1 / qps, 6) AS delay FROM q""")
 def qps_schedule(spark, sf_dir):
-    rows = spark.range(1).select(F.explode(metrics.rate_schedule(0.5, 5.0, 0.5, 3600, 360)).alias("s")).select("s.*")
-    return rows.withColumns({"qps": F.round("qps", 6), "delay": F.round("delay", 6)})
+    """The rate that a load test has planned for the second of each request."""
+    rows = metrics.relative_time(table(spark, sf_dir, "events").select("event_id", "ts")).select("event_id", F.floor("relative_time").alias("second"))
+    rows = rows.withColumn("qps", metrics.rate_at(F.col("second"), 0.5, 5.0, 0.5, 360))
+    return rows.select("event_id", "second", F.round("qps", 6).alias("qps"), F.round(1 / F.col("qps"), 6).alias("delay"))
 
 
 @query("SELECT count(*) AS samples, CAST(sum(len(embedding) // 8) AS BIGINT) AS frames FROM embeddings")
@@ -512,3 +525,104 @@ def settings_merge(spark, sf_dir):
     update = F.create_map(F.lit("mode"), F.concat(F.lit("v"), F.col("event_id") % 2))
     merged = table(spark, sf_dir, "events").select("event_id", arrays.merge_settings(base, update).alias("m"))
     return merged.select("event_id", F.element_at("m", "mode").alias("mode"), F.element_at("m", "level").cast("long").alias("level"))
+
+
+@query("""
+SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS q0, round(quantile_cont(value, 0.95), 6) AS q1, round(quantile_cont(value, 0.999), 6) AS q2
+FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def quantiles_by_kind(spark, sf_dir):
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "events"), "value", [0.5, 0.95, 0.999], ["event_type"])
+    return _rounded(found, ("q0", "q1", "q2"))
+
+
+_GAMMA = (1 + quantiles.ERROR) / (1 - quantiles.ERROR)
+
+
+@query(f"""
+WITH b AS (SELECT date_trunc('day', ts) AS day, value, CASE WHEN value = 0 THEN 0 ELSE sign(value) * (ceil(ln(abs(value)) / ln({_GAMMA!r}::DOUBLE)) + 1048576) END AS bucket FROM events WHERE value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY bucket) - 1 AS pos, count(*) OVER (PARTITION BY day) AS n FROM b)
+SELECT day, p AS probability, round(CASE WHEN bucket = 0 THEN 0 ELSE sign(bucket) * exp((abs(bucket) - 1048576) * ln({_GAMMA!r}::DOUBLE)) * (2 / ({_GAMMA!r}::DOUBLE + 1)) END, 6) AS value
+FROM r, (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE]) AS p) WHERE pos = floor(p * (n - 1))""")
+def quantile_sketches(spark, sf_dir):
+    """Estimates of each day, of sketches of its hours added up."""
+    hours = quantiles.sketch(table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts")), "value", ["hour"])
+    days = quantiles.merge(hours.select(F.date_trunc("day", "hour").alias("day"), "bucket", "n"))
+    return quantiles.estimate(days, [0.5, 0.95], ["day"]).select(F.col("day").cast("timestamp_ntz").alias("day"), "probability", F.round("value", 6).alias("value"))
+
+
+@query("SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY lang, n_chars DESC, doc_id) AS BIGINT) AS number FROM documents")
+def row_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return numbering.numbered(rows, ["lang", F.col("n_chars").desc(), "doc_id"], start=1, unique=True).drop("n_chars")
+
+
+@query("""
+WITH r AS (SELECT event_id, user_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS pos FROM events)
+SELECT pos // 256 AS batch, count(*) AS n, string_agg(event_id, ',' ORDER BY pos) AS ids FROM r GROUP BY 1""")
+def batched_by_user(spark, sf_dir):
+    """Batches of exactly 256 in an order that has gaps, by users that have many events."""
+    rows = metrics.batches(table(spark, sf_dir, "events").select("event_id", "user_id"), ["user_id", "event_id"], unique=True)
+    return rows.select("batch", F.size("rows").cast("long").alias("n"), as_text(F.transform("rows", lambda r: r["event_id"])).alias("ids"))
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type""")
+def run_starts(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return chunking.run_starts(rows, ["user_id"], ["ts", "event_id"], "event_type").drop("ts")
+
+
+def _shards_of(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of tar shards with the table's texts, one member a language and one of JSON for each document."""
+    shards.register(spark)
+    path = f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents")
+    members = F.create_map(F.lit("txt"), F.encode("text", "UTF-8"), F.lit("json"), F.encode(F.to_json(F.struct(F.col("lang"), F.col("doc_id"))), "UTF-8"))
+    rows = d.select(F.concat(F.lit("set/d"), F.col("doc_id")).alias("key"), members.alias("members"))
+    rows.write.format("tar_shards").option("maxsize", 1 << 26).mode("append").save(path)
+    return path
+
+
+_SHARDS_SQL = "SELECT doc_id, lang, sha256(text) AS sha FROM documents"
+
+
+def _samples_of(rows: DataFrame) -> DataFrame:
+    """doc_id and lang of the JSON member, and the hash of the text's."""
+    about = F.from_json(F.decode(shards.member(F.col("members"), "json"), "UTF-8"), "lang string, doc_id long")
+    return rows.select(about.alias("j"), F.sha2(shards.member(F.col("members"), "txt"), 256).alias("sha")).select("j.doc_id", "j.lang", "sha")
+
+
+@query(_SHARDS_SQL)
+def shard_ranges(spark, sf_dir):
+    """The table's texts through tar shards, read back in ranges of a megabyte, each by a task of its own."""
+    return _samples_of(ranges.read(spark, _shards_of(spark, sf_dir, "ranges"), 1 << 20))
+
+
+@query(_SHARDS_SQL)
+def shard_arrivals(spark, sf_dir):
+    """The table's texts through tar shards that arrive as a stream."""
+    path = _shards_of(spark, sf_dir, "arrivals")
+    return _through(arrivals(spark, path, f"{path}-log", kind="shards"), path, _samples_of)
+
+
+def _through(stream: DataFrame, path: str, of: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What a stream has given out once all that is there has gone through it."""
+    out = of(stream)
+    query = out.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(out.schema).parquet(f"{path}-out")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, length(text) AS ids, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) - 1 AS part, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id AS request, string_agg(ids, ',' ORDER BY part) AS ids, CAST(max(n) AS INTEGER) AS parts, 'finished' AS reason FROM t GROUP BY conv_id""")
+def finished_parts(spark, sf_dir):
+    """A conversation's turns as the parts of one output, backwards, the first of them twice, put together by state."""
+    own = Window.partitionBy("conv_id")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
+    rows = rows.select(F.col("conv_id").alias("request"), (F.row_number().over(own.orderBy("turn", "chars")) - 1).alias("part"), F.array("chars").alias("ids"), F.count("*").over(own).alias("n"))
+    rows = rows.select("request", "part", "ids", (F.col("part") == F.col("n") - 1).alias("finished"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
+    parts = scratch.written(rows.union(rows.where("part = 0")).orderBy(F.desc("part")))
+    path = f"{scratch.folder(spark)}/finished-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(parts.schema).parquet(parts.inputFiles()[0].rsplit("/", 1)[0])
+    return _through(finished_outputs(stream), path).withColumn("ids", as_text(F.col("ids")))
