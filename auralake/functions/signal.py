@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auralake.functions.arrays import let
+from auralake.functions.polyphase import resampled
 
 
 def peak_normalize(wave: Column, decibel: float = -1.0) -> Column:
@@ -39,7 +40,7 @@ def speed(tokens: Column, seconds: Column) -> Column:
 
 
 def resample_array(x: np.ndarray, rate: int, to: int, half: int = 16) -> np.ndarray:
-    """Windowed-sinc resampling of one channel to ceil(n * to / rate) samples."""
+    """Windowed-sinc resampling of one channel to ceil(n * to / rate) samples, all at once: what polyphase is held against."""
     if rate == to or not len(x):
         return x.astype(np.float64)
     n, band = -(-len(x) * to // rate), min(1.0, to / rate) * 0.99
@@ -54,7 +55,8 @@ def resample_array(x: np.ndarray, rate: int, to: int, half: int = 16) -> np.ndar
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def resample(wave: pd.Series, rate: pd.Series, to: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else resample_array(np.asarray(x, float), int(a), int(b)) for x, a, b in zip(wave, rate, to, strict=True)])
+    """One channel at another rate, by a filter bank in blocks: the values of resample_array."""
+    return pd.Series([None if x is None else resampled(np.asarray(x, float), int(a), int(b)) for x, a, b in zip(wave, rate, to, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
