@@ -68,3 +68,34 @@ def draw(probabilities: Column, u: Column) -> Column:
         lambda a, p: F.struct((a["sum"] + p).alias("sum"), (a["id"] + (a["sum"] + p <= u).cast("int")).alias("id")),
     )
     return F.least(step["id"], F.size(probabilities) - 1)
+
+
+def uniform(seed: int | str, *key: Column) -> Column:
+    """A number in (0, 1) from a seed and a key alone: 52 bits of a hash, the same on any run and in any order."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key))
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / F.lit(float(1 << 52))
+
+
+def gumbel_top(logits: Column, key: Column, k: int = 1, temperature: float = 1.0, seed: int | str = 0) -> Column:
+    """k ids drawn without replacement by the softmax of logits at a temperature, in the order of the draws.
+
+    Each logit is raised by a Gumbel number of (seed, key, place), and the k highest are the draws; key tells rows and
+    steps apart, so a rerun draws the same. Masked logits (-inf, null) are never drawn; fewer than k ids if fewer can be. At a
+    temperature of 0 the k highest logits are taken, the first on ties.
+    """
+
+    def raised(own: Column, i: Column) -> Column:
+        if not temperature:
+            return own.cast("double")
+        return own.cast("double") / F.lit(float(temperature)) - F.log(-F.log(uniform(seed, key, i)))
+
+    scored = F.transform(logits, lambda x, i: F.struct(raised(x, i).alias("s"), (-i).alias("i")))
+    able = F.filter(scored, lambda x: x["s"].isNotNull() & ~F.isnan(x["s"]) & (x["s"] > F.lit(float("-inf"))))
+    return F.transform(F.slice(F.sort_array(able, False), 1, k), lambda x: (-x["i"]).cast("int"))
+
+
+def sample(logits: Column, key: Column, top: int | None = None, temperature: float = 1.0, seed: int | str = 0) -> Column:
+    """One id drawn by the softmax of the `top` highest logits; null if none can be."""
+    kept = keep_top(logits, top) if top else logits
+    return F.get(gumbel_top(kept, key, 1, temperature, seed), 0)

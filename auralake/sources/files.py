@@ -6,7 +6,6 @@ Content columns are read only where they are selected; paths alone cost a listin
 from __future__ import annotations
 
 import io
-import wave as wavelib
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auralake.functions.text import sample_id, strip, suffix
+from auralake.sources import riff
 
 AUDIO_SUFFIXES = (".wav", ".mp3", ".m4a")
 
@@ -98,20 +98,16 @@ def _npz(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=list(names))
 
 
-@F.pandas_udf(_struct(wave=T.ArrayType(T.ArrayType(T.FloatType())), rate=T.IntegerType()))
+@F.pandas_udf(_struct(wave=T.ArrayType(T.ArrayType(T.FloatType())), rate=T.IntegerType(), reason=T.StringType()))
 def _wav(content: pd.Series) -> pd.DataFrame:
     rows = []
     for c in content:
-        with wavelib.open(io.BytesIO(c)) as w:
-            width, raw = w.getsampwidth(), w.readframes(w.getnframes())
-            if width == 3:
-                b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-                x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 2.0**23
-            else:
-                x = np.frombuffer(raw, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(float)
-                x = (x - 128) / 128 if width == 1 else x / 2.0 ** (8 * width - 1)
-            rows.append(([ch.astype(np.float32) for ch in x.reshape(-1, w.getnchannels()).T], w.getframerate()))
-    return pd.DataFrame(rows, columns=["wave", "rate"])
+        try:
+            wave, rate = riff.parse(c if c is not None else b"")
+            rows.append(([ch.astype(np.float32) for ch in wave], rate, None))
+        except riff.Unreadable as why:
+            rows.append((None, None, str(why)))
+    return pd.DataFrame(rows, columns=["wave", "rate", "reason"]).astype({"rate": "Int32"})
 
 
 def npy(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -125,10 +121,10 @@ def npz(spark: SparkSession, path: str) -> DataFrame:
 
 
 def wav(spark: SparkSession, path: str) -> DataFrame:
-    """path, wave[channel][sample] in -1 to 1 and rate of PCM files."""
+    """path, wave[channel][sample] in -1 to 1 and rate of RIFF files, or the reason why there is none."""
     return files(spark, path, "*.wav").select("path", _wav("content").alias("a")).select("path", "a.*")
 
 
 def wave_of(content: Column) -> Column:
-    """struct(wave, rate) of the bytes of a PCM file."""
+    """struct(wave, rate, reason) of the bytes of a RIFF file."""
     return _wav(content)

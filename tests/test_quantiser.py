@@ -1,0 +1,87 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from auralake.config import VOCABULARY
+from auralake.functions import tokens
+from auralake.operators import models
+from auralake.operators import quantiser as qz
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(12, 6)) * 3
+    return centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 6)) * 0.4
+
+
+@pytest.fixture(scope="module")
+def frame(spark, vectors):
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(-1, None), (-2, []), (-3, [1.0, None] * 3), (-4, [1.0, 2.0]), (-5, [float("nan")] * 6)]
+    return spark.createDataFrame(rows, "id long, x array<double>").withColumns({"codes_": F.lit(1), "n": F.lit(2)}).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def books(frame):
+    return qz.fit(frame, "x", stages=4, size=16, rounds=6)
+
+
+def test_error_falls_with_each_book(vectors, books):
+    codes = qz.codes_of(vectors, books)
+    errors = [((vectors - qz.vectors_of(codes[:s], books)) ** 2).sum(1).mean() for s in range(1, 5)]
+    assert all(b < a for a, b in zip(errors, errors[1:])) and errors[0] < (vectors**2).sum(1).mean() / 5
+
+
+def test_nearest_is_nearest(vectors, books):
+    for book in books:
+        want = ((vectors[:200, None] - book[None]) ** 2).sum(2).argmin(1)
+        assert np.array_equal(qz.nearest(vectors[:200], book), want)
+
+
+def test_a_round_is_the_mean_of_what_is_nearest(frame, vectors, books):
+    book = qz._round(qz._usable(frame, "x").where("size(x) = 6"), books[:2], 6)
+    rest = vectors - books[0][qz.nearest(vectors, books[0])]
+    code = qz.nearest(rest, books[1])
+    for c in range(16):
+        want = rest[code == c].mean(0) if (code == c).any() else books[1][c]
+        assert np.allclose(book[c], want, atol=1e-9)
+
+
+def test_encode_and_decode(frame, vectors, books):
+    out = qz.encode(frame, "x", books)
+    assert out.columns == [*frame.columns, "codes"]
+    rows = {r.id: r for r in out.withColumns({"again": qz.decode(F.col("codes"), books), "rough": qz.decode(F.col("codes"), books, 1)}).collect()}
+    codes = qz.codes_of(vectors, books)
+    for i in (0, 7, 1499):
+        assert rows[i].codes == codes[:, i].tolist()
+        assert np.allclose(rows[i].again, qz.vectors_of(codes[:, [i]], books)[0]) and np.allclose(rows[i].rough, books[0][codes[0, i]])
+    assert all(rows[i].codes is None and rows[i].again is None for i in range(-5, 0))
+
+
+def test_coarse_codes_are_refined_by_later_books(frame, books):
+    whole = {r.id: r.codes for r in qz.encode(frame, "x", books).collect()}
+    coarse = qz.encode(frame, "x", books[:2], "first").withColumn("first", F.when(F.col("id") % 3 != 0, F.col("first")))
+    got = {r.id: r for r in qz.encode(coarse, "x", books, coarse="first").collect()}
+    assert {i: r.codes for i, r in got.items()} == whole
+
+
+def test_waves_through_ids(spark):
+    rng = np.random.default_rng(1)
+    t = np.arange(2403) / 24_000
+    waves = [(k, (np.sin(2 * np.pi * f * t) * 0.5 + rng.normal(size=len(t)) * 0.01).tolist(), 24_000) for k, f in enumerate((220, 330, 550))]
+    rows = spark.createDataFrame(waves, "k int, wave array<double>, rate int")
+    books = qz.fit(qz.frames(rows, "wave", 12), "x", stages=VOCABULARY.codebooks, size=32, rounds=3)
+    make, errors = qz.codec(books), []
+    held = models.with_audio_ids(rows, make)
+    for n in (1, 4, VOCABULARY.codebooks):
+        back = models._stored(held, "books", F.slice(tokens.decode_audio(F.col("audio_ids")), 1, n)).withColumn("again", models.decode_books(F.col("books"), make))
+        errors.append(max(float(np.abs(np.array(r.again[: len(r.wave)]) - np.array(r.wave)).mean()) for r in back.collect()))
+    assert errors[0] > errors[1] > errors[2] and errors[2] < 0.02
+    assert all(len(r.again) == 2412 for r in models.round_trip(rows, make).collect())
+
+
+def test_few_vectors(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0],), ([3.0, 4.0],)], "x array<double>")
+    books = qz.fit(rows, "x", stages=2, size=8, rounds=3)
+    assert len(books[0]) == 2 and np.allclose(qz.vectors_of(qz.codes_of(np.array([[3.0, 4.0]]), books), books), [[3, 4]])
+    assert qz.fit(rows.limit(0), "x") == []
