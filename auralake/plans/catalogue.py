@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from auralake import scratch
 from auralake.config import VOCABULARY
-from auralake.functions import arrays, logits, signal, text, tokens
+from auralake.functions import arrays, logits, polyphase, signal, subwords, text, tokens
 from auralake.functions.speaker_values import SPEAKERS
-from auralake.operators import chunking, feedback, metrics, numbering, quantiles, speakers, vectors
+from auralake.operators import chunking, feedback, metrics, models, numbering, quantiles, quantiser, speakers, vectors
 from auralake.sources import ranges, shards
 from auralake.sources.files import METRICS_SCHEMA
 from auralake.streaming.arrivals import arrivals
@@ -339,6 +339,15 @@ def greedy_pick(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", logits.greedy(F.col("l")).alias("id"))
 
 
+@query("""
+WITH l AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings),
+g AS (SELECT vec_id, i, CAST(x AS DOUBLE) / 0.8 - ln(-ln((CAST(CAST('0x' || substr(md5('7|' || vec_id || '|' || i), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)) AS s FROM l)
+SELECT vec_id, string_agg(i, ',' ORDER BY s DESC, i) AS ids FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, i) <= 3) GROUP BY vec_id""")
+def sampled_ids(spark, sf_dir):
+    """Three ids of each row, drawn without replacement by the softmax of its logits."""
+    return _logits(spark, sf_dir).select("vec_id", as_text(logits.gumbel_top(F.col("l"), F.col("vec_id"), 3, 0.8, 7)).alias("ids"))
+
+
 @query("""
 WITH two AS (SELECT a.embedding AS a, b.embedding AS b FROM embeddings a, embeddings b WHERE a.vec_id = 1 AND b.vec_id = 2),
 steps AS (SELECT step, a, b FROM two, range(0, 10) s(step))
@@ -622,7 +631,37 @@ def finished_parts(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
     rows = rows.select(F.col("conv_id").alias("request"), (F.row_number().over(own.orderBy("turn", "chars")) - 1).alias("part"), F.array("chars").alias("ids"), F.count("*").over(own).alias("n"))
     rows = rows.select("request", "part", "ids", (F.col("part") == F.col("n") - 1).alias("finished"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"))
-    parts = scratch.written(rows.union(rows.where("part = 0")).orderBy(F.desc("part")))
-    path = f"{scratch.folder(spark)}/finished-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(parts.schema).parquet(parts.inputFiles()[0].rsplit("/", 1)[0])
+    parts, path = rows.union(rows.where("part = 0")).orderBy(F.desc("part")), f"{scratch.folder(spark)}/finished-{uuid.uuid4().hex}"
+    parts.write.parquet(f"{path}-in")
+    stream = spark.readStream.schema(parts.schema).parquet(f"{path}-in")
     return _through(finished_outputs(stream), path).withColumn("ids", as_text(F.col("ids")))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def subword_round_trip(spark, sf_dir):
+    """The texts that the ids of each document's tokens stand for."""
+    import public_tokenizers
+
+    make = subwords.shared(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    d = table(spark, sf_dir, "documents").select("doc_id", models.encode_text(F.col("text"), make).alias("ids"))
+    return d.select("doc_id", F.sha2(models.decode_text(F.col("ids"), make).cast("binary"), 256).alias("sha"))
+
+
+@query("SELECT vec_id, 4 AS codes, true AS nearer FROM embeddings")
+def residual_codes(spark, sf_dir):
+    """Codes of the embeddings by books that are fitted on them, and whether all books are as near as the first alone."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    books = quantiser.fit(vectors, "x", stages=4, size=16, rounds=2)
+    off = lambda n: F.aggregate(F.zip_with("x", quantiser.decode(F.col("codes"), books, n), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    coded = quantiser.encode(vectors, "x", books)
+    total = coded.select(F.sum(off(4)).alias("fine"), F.sum(off(1)).alias("rough"))
+    return coded.crossJoin(F.broadcast(total)).select("vec_id", F.size("codes").alias("codes"), (F.col("fine") <= F.col("rough")).alias("nearer"))
+
+
+@query(f"""
+WITH {_CODES} SELECT vec_id // 32 AS wave, CAST(count(*) * 64 / 2 AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS pieces FROM codes GROUP BY 1""")
+def resampled_waves(spark, sf_dir):
+    """Waveforms in pieces over rows, at half their rate: how many samples come of how many pieces."""
+    rows = codes(spark, sf_dir).select(F.floor(F.col("vec_id") / 32).alias("wave"), "vec_id", F.col("a").cast("array<double>").alias("x"), F.lit(48_000).alias("rate"))
+    out = polyphase.resample_pieces(rows, "wave", "vec_id", "x", "rate", 24_000, block=500).groupBy("wave").agg(F.sum(F.size("x")).alias("n"))
+    return out.join(rows.groupBy("wave").agg(F.count("*").alias("pieces")), "wave")
