@@ -35,12 +35,12 @@ def folder(spark: SparkSession) -> str:
     return f"{root(spark)}/auralake/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet into the shared folder and read again; the planner then knows its size."""
+def written(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """df, written as Parquet into the shared folder and read again; the planner then knows its size. lasting: it outlives the innermost scope."""
     ship(df.sparkSession)
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if len(_open) > lasting:
+        _open[-1 - lasting].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -59,7 +59,7 @@ def release(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what is written within; results have to be written elsewhere, or before it begins."""
+    """Removes at its end what is written within; results have to be written elsewhere, or as lasting ones."""
     _open.append([])
     try:
         yield

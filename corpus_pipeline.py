@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.llm import decontaminate, learn, near_dups, pseudonyms, quality, source_mix
-from auralake.llm.common import cut, table
+from auralake.llm.common import table
+from auralake.scratch import scope, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage gives. What a stage has written on its way is removed when its result is there; the
+    results themselves stay in the shared folder until auralake.scratch.release."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scope(spark):
+            docs = written(stage(spark, docs, sf_dir), lasting=True)
     return docs

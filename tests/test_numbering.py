@@ -52,5 +52,11 @@ def test_scope_and_release(spark):
         file = inner.inputFiles()[0]
     with pytest.raises(AnalysisException):
         spark.read.parquet(file)
+    with scratch.scope(spark):
+        with scratch.scope(spark):
+            lasting = scratch.written(spark.range(4), lasting=True)
+        assert lasting.count() == 4
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(lasting.inputFiles()[0])
     left = scratch.written(spark.range(3))
     assert left.inputFiles()[0].startswith(scratch.folder(spark).removeprefix("file://")) or scratch.folder(spark).removeprefix("file://") in left.inputFiles()[0]
