@@ -182,3 +182,55 @@ def test_cases(spark):
 def test_no_python_runs(spark):
     plan = ps.op1_pseudonyms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+FOUND = re.compile(
+    r"(?P<mail>(?<![\w.%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)"
+    r"|(?P<hex>(?<![A-Za-z0-9])[A-Fa-f0-9]{32,64}(?![A-Za-z0-9]))"
+    r"|(?P<card>(?<![A-Za-z0-9.\-/])[0-9]{13,19}(?![A-Za-z0-9]))"
+    r"|(?P<ip>(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[A-Za-z0-9]))"
+    r"|(?P<phone>(?<![A-Za-z0-9+.\-/])\+[0-9] \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![A-Za-z0-9]))"
+)
+
+
+def replaced(m):
+    """The pseudonym of a match, or the match, written out anew."""
+    s, kind = m.group(), m.lastgroup
+    sha = lambda f, label, v: f(f"{KEY}|{label}|{v}".encode()).hexdigest()
+    if kind == "mail":
+        return f"u{sha(hashlib.sha256, 'email', s.lower())[:12]}@d{sha(hashlib.sha256, 'email', s.rsplit('@', 1)[1].lower())[:8]}.example"
+    if kind == "hex":
+        new = (sha(hashlib.sha512, "secret", s) * 2)[: len(s)]
+        return new.upper() if s.upper() == s else new
+    if kind == "card":
+        issuer = re.match(r"4|5[1-5]|2(22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[4-7]|30|38|39|6011|65|64[4-9]|62|35", s)
+        if not issuer or not luhn(s):
+            return s
+        body = s[:4] + digits(s[4:-1], "card")
+        return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+    if kind == "ip":
+        a, b, c, d = map(int, s.split("."))
+        if max(a, b, c, d) > 255:
+            return s
+        l, r = feistel(a * 256 + b, c * 256 + d, 65536, 65536, "ip")
+        return f"{l >> 8}.{l & 255}.{r >> 8}.{r & 255}"
+    d = re.sub(r"\D", "", s)
+    area, rest = int(d[1:4]), int(d[4:])
+    low, size = (200, 800) if area >= 200 else (area // 100 * 100, 100)
+    low_rest, rests = (2_000_000, 8_000_000) if rest >= 2_000_000 else (0, 2_000_000)
+    l, r = feistel(area - low, rest - low_rest, size, rests, "phone")
+    p = f"{l + low:03d}{r + low_rest:07d}"
+    return f"+{d[0]} ({p[:3]}) {p[3:6]}-{p[6:]}"
+
+
+def test_whole_texts_equal_brute_force(spark):
+    """Finding and replacing, over all documents of a table and over texts that mix what they hold."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    values = [m.group() for _, t in docs for m in FOUND.finditer(t or "")]
+    rng = random.Random(3)
+    docs += [(-1 - k, ", ".join(rng.choice([rng.choice(values), "word", "12", "300.1.1.1", "1234567890123456", "x@y", "v1.2.3.4"]) for _ in range(12))) for k in range(300)]
+    got = {r.doc_id: r for r in ps.pseudonymise(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()}
+    for i, t in docs:
+        new, n = FOUND.sub(replaced, t), sum(replaced(m) != m.group() for m in FOUND.finditer(t))
+        assert got[i].text == new and got[i].n_found == n, (i, n, got[i].n_found)
+    assert len(values) > 80
