@@ -47,9 +47,11 @@ SAMPLE_RATE = 24_000
 
 
 def session(name: str = "auralake", **conf: str) -> SparkSession:
-    """A session with what the library relies on: UTC, adaptive execution, Arrow transfer."""
+    """A session with what the library relies on: UTC, adaptive execution, Arrow transfer, and workers that have this package."""
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
-    return SparkSession.builder.appName(name).config(map=base | conf).getOrCreate()
+    spark = SparkSession.builder.appName(name).config(map=base | conf).getOrCreate()
+    ship(spark)
+    return spark
 
 
 _shipped: set[str] = set()
