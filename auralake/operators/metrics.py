@@ -21,6 +21,11 @@ def succeeded(status: Column) -> Column:
     return F.when(status == OK, 1.0).otherwise(0.0)
 
 
+def having(rows: DataFrame, column: str, values: list, present: list[str] = ()) -> DataFrame:
+    """The rows whose column is one of values and whose `present` columns are not null: both reach the scan as filters."""
+    return rows.where(F.col(column).isin(*values)).na.drop(subset=list(present)) if present else rows.where(F.col(column).isin(*values))
+
+
 def series_aggregates(request: str = "request_id", seconds: str = "response_time", status: str = "status", approximate: bool = False, p95: Column | None = None) -> list[Column]:
     """What a bin reports. Failed requests have no id, so requests_per_s counts successes; attempts_per_s counts all."""
     if p95 is None:

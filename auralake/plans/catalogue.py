@@ -114,7 +114,7 @@ def relative_time(spark, sf_dir):
 @query("""
 SELECT event_type, user_id, count(*) AS n FROM events WHERE event_type IN ('purchase', 'error') AND value IS NOT NULL GROUP BY ALL""")
 def status_filter(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error")).na.drop(subset=["value"]).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return metrics.having(table(spark, sf_dir, "events"), "event_type", ["purchase", "error"], ["value"]).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
 _LITERAL_TEXTS = ["", "a,.?b..c!!", "a\t\tb", "\n\nA\r\nB ", "\xa0edge\xa0", "\x1cedge\x1f", "Mixed हिन्दी ,, Text??"]
@@ -509,9 +509,11 @@ def qps_schedule(spark, sf_dir):
     return rows.select("event_id", "second", F.round("qps", 6).alias("qps"), F.round(1 / F.col("qps"), 6).alias("delay"))
 
 
-@query("SELECT count(*) AS samples, CAST(sum(len(embedding) // 8) AS BIGINT) AS frames FROM embeddings")
+@query("SELECT count(*) AS samples, CAST(sum(vec_id % 9) AS BIGINT) AS frames FROM embeddings")
 def dataset_totals(spark, sf_dir):
-    return metrics.dataset_totals(codes(spark, sf_dir).select(books_of(F.col("a")).alias("codes")))
+    """Samples of 0 to 8 frames."""
+    cut = F.transform(books_of(F.col("a")), lambda book: F.slice(book, F.lit(1), (F.col("vec_id") % 9).cast("int")))
+    return metrics.dataset_totals(codes(spark, sf_dir).select(cut.alias("codes")))
 
 
 @query("SELECT event_id // 256 AS batch, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")

@@ -41,3 +41,12 @@ def test_rates(spark):
     assert all(abs(r.q - min(0.5 + r.id // 360 * 0.5, 5.0)) < 1e-12 for r in rows.collect())
     whole = spark.range(1).select(F.explode(metrics.rate_schedule(0.5, 5.0, 0.5, 3600, 360)).alias("s")).select("s.*").collect()
     assert len(whole) == 3600 and np.allclose([r.qps * r.delay for r in whole], 1)
+
+
+def test_having_reaches_the_scan(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    df = metrics.having(events, "event_type", ["purchase", "error"], ["value"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(value)" in plan.split("PushedFilters")[1] and "In(event_type" in plan.split("PushedFilters")[1]
+    assert {r[0] for r in df.select("event_type").distinct().collect()} == {"purchase", "error"}
+    assert metrics.having(events, "event_type", ["none"]).count() == 0
