@@ -22,8 +22,11 @@ def succeeded(status: Column) -> Column:
 
 
 def having(rows: DataFrame, column: str, values: list, present: list[str] = ()) -> DataFrame:
-    """The rows whose column is one of values and whose `present` columns are not null: both reach the scan as filters."""
-    return rows.where(F.col(column).isin(*values)).na.drop(subset=list(present)) if present else rows.where(F.col(column).isin(*values))
+    """The rows whose column is one of values and whose `present` columns are neither null nor NaN; both reach the scan as filters."""
+    found = rows.where(F.col(column).isin(*values))
+    for c in present:
+        found = found.where(F.col(c).isNotNull())
+    return found.na.drop(subset=list(present)) if present else found
 
 
 def series_aggregates(request: str = "request_id", seconds: str = "response_time", status: str = "status", approximate: bool = False, p95: Column | None = None) -> list[Column]:
