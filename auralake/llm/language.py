@@ -104,6 +104,7 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: list[str], epochs:
     a_round = -(-len(use) // batch)
     epochs = max(epochs, -(-least_steps // a_round))  # few rows are gone through more often
     steps, done = epochs * a_round, 0
+    seen, place = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, np.int64)
     for _ in range(epochs):
         rng.shuffle(use)
         for i in range(0, len(use), batch):
@@ -111,13 +112,19 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], y: list[str], epochs:
             sizes = np.array([len(rows[k]) for k in some])
             idx, of = np.concatenate([rows[k] for k in some]), np.repeat(np.arange(len(some)), sizes)
             share = np.concatenate([counts[k] / counts[k].sum() for k in some])
-            x = np.add.reduceat(e[idx] * share[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            # A batch as a matrix of rows and the buckets that they have: its products are sums over subwords.
+            seen[idx] = True
+            own = np.flatnonzero(seen)
+            place[own], seen[own] = np.arange(len(own)), False
+            held = np.zeros((len(some), len(own)))
+            held[of, place[idx]] = share
+            x = held @ e[own]
             d = softmax(x @ w + bias)
             d[np.arange(len(some)), label[some]] -= 1
             step = rate * (1 - done / steps)
             dx = d @ w.T
             # Each subword has a small share of an average, so its steps may be larger than those of the layer.
-            np.add.at(e, idx, -step * 4 * dx[of] * share[:, None])
+            e[own] -= step * 4 * (held.T @ dx)
             w -= step * x.T @ d / len(some)
             bias -= step * d.mean(0)
             done += 1
