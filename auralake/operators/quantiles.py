@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def merge(*sketches: DataFrame) -> DataFrame:
 
 def _running(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """counts (by, bucket, n) with the number below each bucket and in all; a group has few thousand buckets at most."""
-    keys = [*by] or [F.lit(0)]
+    keys = [*by] or [F.lit(0)]  # a sketch without keys is few rows as a whole
     ordered = Window.partitionBy(*keys).orderBy("bucket")
     return counts.withColumns({"below": F.sum("n").over(ordered) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(*keys))})
 
@@ -83,8 +85,6 @@ def estimate(counts: DataFrame, probabilities: Sequence[float], by: Sequence[str
 def _joined(rows: DataFrame, ranges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Each value with each range of its group that it lies in; ranges are few for a group, and NaN is a value like others."""
     held = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
-    if not by:
-        return rows.crossJoin(F.broadcast(ranges)).where(held)  # one row for each rank asked for
     renamed = ranges.withColumnsRenamed({c: f"__{c}" for c in by})
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
     return rows.join(renamed, [*same, held]).drop(*(f"__{c}" for c in by))
@@ -97,6 +97,45 @@ def _narrowed(counted: DataFrame, by: Sequence[str], start: Column) -> DataFrame
     return placed.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside"))).select(*by, "rank", *_RANGE)
 
 
+def _of_all(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """exact_quantiles without keys: counts of bins are few enough to be read on the driver, and ranges go back as literals, which the scan filters by."""
+    found = sorted(values.groupBy(bucket_of(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect(), key=lambda r: r.bucket)
+    n = sum(r.n for r in found)
+    places = [float(p) * (n - 1) for p in probabilities]
+    ranks = sorted({f(x) for x in places for f in (math.floor, math.ceil)}) if n else []
+
+    def holding(rank: int, bins: list[tuple[float, float, int]], below: int) -> tuple[float, float, int, int]:
+        """lo, hi, the number below and the number inside of the bin (lo, hi, n) that a rank is in."""
+        for lo, hi, inside in bins:
+            if rank < below + inside:
+                return lo, hi, below, inside
+            below += inside
+        raise AssertionError("a rank beyond all values")
+
+    ranges = {k: holding(k, [(r.lo, r.hi, r.n) for r in found], 0) for k in ranks}
+    within = lambda r: (F.col("v") >= F.lit(r[0])) & (F.col("v") <= F.lit(r[1]))
+    while wide := {k: r for k, r in ranges.items() if r[0] < r[1] and r[3] > FEW}:
+        steps = [F.when(within(r), F.struct(F.lit(k).alias("rank"), F.floor((F.col("v") - F.lit(r[0])) / F.lit(r[1] - r[0]) * BINS).cast("int").alias("bin"))) for k, r in wide.items()]
+        cut = values.where(reduce(or_, map(within, wide.values()))).select("v", F.explode(F.array(*steps)).alias("x")).where("x IS NOT NULL")
+        counted = cut.groupBy("x.rank", "x.bin").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).collect()
+        for k, r in wide.items():
+            own = sorted((c.bin, c.lo, c.hi, c.n) for c in counted if c.rank == k)
+            ranges[k] = holding(k, [c[1:] for c in own], r[2])
+    left = {k: r for k, r in ranges.items() if r[0] < r[1]}
+    some = sorted(r.v for r in values.where(reduce(or_, map(within, left.values()))).select("v").collect()) if left else []
+    at = {k: r[0] for k, r in ranges.items()} | {k: [v for v in some if r[0] <= v <= r[1]][k - r[2]] for k, r in left.items()}
+
+    def between(x: float) -> float | None:
+        if not n:
+            return None
+        low, high = at[math.floor(x)], at[math.ceil(x)]
+        same = low == high or math.floor(x) == math.ceil(x)
+        return low if same else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+
+    schema = "n long, " + ", ".join(f"q{i} double" for i in range(len(places)))
+    return values.sparkSession.createDataFrame([(n, *map(between, places))], schema)
+
+
 def exact_quantiles(rows: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by, n (values that are not null) and q0, q1, ...: quantiles as `percentile` has them, between two ranks in proportion.
 
@@ -104,6 +143,8 @@ def exact_quantiles(rows: DataFrame, value: str, probabilities: Sequence[float],
     counts as the largest value. Names of the keys must not begin with __.
     """
     values = rows.where(F.col(value).isNotNull()).select(*by, (F.col(value).cast("double") + F.lit(0.0)).alias("v"))
+    if not by:
+        return _of_all(values, probabilities)
     bins = values.groupBy(*by, bucket_of(F.col("v")).alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     bins = written(_running(bins, by))
     last = F.col("total") - 1
@@ -133,9 +174,6 @@ def exact_quantiles(rows: DataFrame, value: str, probabilities: Sequence[float],
         low, high = F.try_element_at("at", F.floor(place)), F.try_element_at("at", F.ceil(place))
         return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
-    if by:
-        other = found.withColumnsRenamed({c: f"__{c}" for c in by})
-        whole = totals.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
-    else:
-        whole = totals.crossJoin(F.broadcast(found))  # one row each
+    other = found.withColumnsRenamed({c: f"__{c}" for c in by})
+    whole = totals.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
     return whole.select(*by, "n", *(between(p).alias(f"q{i}") for i, p in enumerate(probabilities)))

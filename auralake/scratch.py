@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from auralake.config import ship
 
-#: What each open scope has written, innermost last.
+#: What each open scope has written, innermost last; scopes are for one thread of the driver.
 _open: list[list[str]] = []
 
 

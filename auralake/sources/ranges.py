@@ -145,6 +145,6 @@ def read(spark: SparkSession, path: str, split: int = SPLIT, found: DataFrame |
                     yield batch(rows)
 
     tasks = max(1, parts.count())
-    # Round robin after a sort: a range a task, and the same one if a task runs again.
+    # About a range a task, and the same one if a task runs again.
     dealt = parts.select("path", "start", "end").repartitionByRange(tasks, "path", "start")
     return dealt.mapInArrow(loaded, SCHEMA)
