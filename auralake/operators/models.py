@@ -1,7 +1,8 @@
 """Where models plug in: typed steps around the native algebra. No weights are shipped.
 
-A step is made once per Python worker and sees Arrow batches. The doubles at the end are stand-ins for
-tests of the plumbing; they generate nothing like speech and are no evidence about any model.
+A step is made once per Python worker and sees Arrow batches, part by part: what it makes of a part is given on before
+the next is begun, so a worker holds one batch of input and the results of a part, however many rows there are. The
+doubles at the end are stand-ins for tests of the plumbing; they generate nothing like speech and are no evidence about any model.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from auralake.functions.text import sanitize
 
 IDS = T.ArrayType(T.IntegerType())
 WAVE = T.ArrayType(T.FloatType())
+#: Characters, ids or samples that a step is given at once, in whole rows, and what a row counts besides for what may be made of it.
+PART, ROW = 1 << 20, 1 << 10
 
 
 class TextTokenizer(Protocol):
@@ -70,12 +73,32 @@ def _step(kind: T.DataType | str) -> Callable:
     return F.pandas_udf(kind)
 
 
+def _size(x: object) -> int:
+    """Characters of a text, or elements of an array or of a matrix's rows."""
+    if x is None:
+        return 0
+    return sum(map(len, x)) if len(x) and isinstance(x[0], (list, np.ndarray)) else len(x)
+
+
+def _parts(s: pd.Series, row: int = ROW) -> Iterator[slice]:
+    """Runs of whole rows that together count at most PART; a row that counts more is a run of its own."""
+    start = held = 0
+    for i, x in enumerate(s):
+        n = _size(x) + row
+        if i > start and held + n > PART:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    yield slice(start, len(s))
+
+
 def text_encoder(make: Callable[[], TextTokenizer]) -> Callable[..., Column]:
     @_step(IDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = once(make)
         for s in batches:
-            yield s.map(lambda x: None if x is None else t.encode(x))
+            for p in _parts(s):
+                yield s.iloc[p].map(lambda x: None if x is None else t.encode(x))
 
     return run
 
@@ -89,7 +112,8 @@ def text_decoder(make: Callable[[], TextTokenizer]) -> Callable[..., Column]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = once(make)
         for s in batches:
-            yield s.map(lambda x: None if x is None else t.decode([int(i) for i in x]))
+            for p in _parts(s):
+                yield s.iloc[p].map(lambda x: None if x is None else t.decode([int(i) for i in x]))
 
     return run
 
@@ -105,7 +129,8 @@ def encode_books(wave: Column, rate: Column, make: Callable[[], AudioCodec]) ->
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         codec = once(make)
         for waves, rates in batches:
-            yield pd.Series([None if w is None else [list(map(int, b)) for b in codec.encode(np.asarray(w), int(r))] for w, r in zip(waves, rates, strict=True)])
+            for p in _parts(waves):
+                yield pd.Series([None if w is None else [list(map(int, b)) for b in codec.encode(np.asarray(w), int(r))] for w, r in zip(waves.iloc[p], rates.iloc[p], strict=True)])
 
     return run(wave, rate)
 
@@ -121,7 +146,8 @@ def books_decoder(make: Callable[[], AudioCodec]) -> Callable[..., Column]:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = once(make)
         for s in batches:
-            yield s.map(lambda m: None if m is None else codec.decode(np.array([np.asarray(b) for b in m])).astype(np.float32))
+            for p in _parts(s):
+                yield s.iloc[p].map(lambda m: None if m is None else codec.decode(np.array([np.asarray(b) for b in m])).astype(np.float32))
 
     return run
 
@@ -137,7 +163,8 @@ def refine_books(books: Column, make: Callable[[], Refiner]) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = once(make)
         for s in batches:
-            yield pd.Series([None if m is None else [list(map(int, b)) for b in codec.refine(np.array([np.asarray(b) for b in m]))] for m in s])
+            for p in _parts(s):
+                yield pd.Series([None if m is None else [list(map(int, b)) for b in codec.refine(np.array([np.asarray(b) for b in m]))] for m in s.iloc[p]])
 
     return run(books)
 
@@ -153,15 +180,18 @@ def generator(make: Callable[[], Generator], most: int = 1024, **options: object
     @_step(IDS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = once(make)
-        for s in batches:
-            out = iter(model.generate([[int(i) for i in p] for p in s if p is not None], **options))
-            yield pd.Series([None if p is None else next(out)[:most] for p in s])
+        for batch in batches:
+            for part in _parts(batch, most):
+                s = batch.iloc[part]
+                asked = [[int(i) for i in p] for p in s if p is not None]
+                out = iter(model.generate(asked, **options) if asked else [])
+                yield pd.Series([None if p is None else next(out)[:most] for p in s])
 
     return run
 
 
 def generate(prompt: Column, make: Callable[[], Generator], most: int = 1024, **options: object) -> Column:
-    """At most `most` generated ids for each prompt, a batch at a time; options reach the model as they are."""
+    """At most `most` generated ids for each prompt, a part of a batch at a time; options reach the model as they are."""
     return generator(make, most, **options)(prompt)
 
 
@@ -182,10 +212,12 @@ def complete(prompt: Column, make: Callable[[], Completer], **options: object) -
     @_step(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         client = once(make)
-        for s in batches:
-            asked = [p for p in s if p is not None]
-            out = iter(client.complete(asked, **options) if asked else [])
-            yield pd.Series([None if p is None else next(out) for p in s], dtype=object)
+        for batch in batches:
+            for part in _parts(batch):
+                s = batch.iloc[part]
+                asked = [p for p in s if p is not None]
+                out = iter(client.complete(asked, **options) if asked else [])
+                yield pd.Series([None if p is None else next(out) for p in s], dtype=object)
 
     return run(prompt)
 

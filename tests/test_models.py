@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from auralake.operators import models
@@ -62,3 +63,24 @@ def test_steps_in_sql(spark):
     assert names == ["m_encode_text", "m_decode_text", "m_generate_ids", "m_decode_books"]
     assert spark.sql("SELECT m_decode_text(m_encode_text(t)) FROM VALUES ('abc') AS x(t)").first()[0] == "abc"
     assert spark.sql("SELECT m_generate_ids(array(5)) FROM VALUES (1) AS x(t)").first()[0] == [5, STOP, 0]
+
+
+def test_a_step_gives_on_what_it_made_of_a_part(spark):
+    texts = pd.Series(["ab" * 2000, None, "", "c" * 3 * models.PART] + ["xyz" * 1000] * 3000)
+    ids = list(models.text_encoder(models.DoubleTokenizer).func(iter([texts, texts[:0]])))
+    assert max(sum(len(x) for x in s if x is not None) for s in ids) == 3 * models.PART and max(map(len, ids)) < 300
+    want = [None if t is None else [ord(c) for c in t] for t in texts]
+    assert [x for s in ids for x in s] == want
+    whole = pd.Series([None if x is None else np.array(x) for x in want])
+    again = list(models.text_decoder(models.DoubleTokenizer).func(iter([whole])))
+    assert max(map(len, again)) < 300 and [x for s in again for x in s] == list(texts)
+    for found in (models.generator(Whole).func(iter([whole])), models.books_decoder(models.DoubleCodec).func(iter([pd.Series([[np.zeros(3000)] * 8] * 1000)]))):
+        assert max(map(len, found)) < 500
+
+
+def test_a_step_over_large_batches(spark):
+    rows = spark.range(0, 9000, 1, 1).select("id", F.expr("repeat(cast(id as string), 100)").alias("t"))
+    again = models.decode_text(models.encode_text(F.col("t"), models.DoubleTokenizer), models.DoubleTokenizer)
+    assert rows.select("t", again.alias("u")).where("t = u").count() == 9000
+    made = rows.select("id", models.generate(F.when(F.col("id") % 2 == 0, F.array(F.col("id").cast("int"))), Whole).alias("o"))
+    assert made.where("IF(id % 2 = 0, o[0] = id AND size(o) = 3, o IS NULL)").count() == 9000
