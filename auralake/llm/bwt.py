@@ -13,30 +13,33 @@ import numpy as np
 
 
 def suffix_order(x: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of the suffixes of x (symbols below 512) ordered by their first `depth` symbols or more, by doubling."""
-    n, k = len(x), 7
+    """Starts of the suffixes of x ordered by their first `depth` symbols or more: as many as fit into a number, then by ranks, three at once or two."""
+    n, bits = len(x), max(1, int(x.max()).bit_length())
+    k, width = max(1, 63 // bits), n.bit_length()
     padded = np.concatenate([x.astype(np.uint64), np.zeros(k, np.uint64)])
     key = np.zeros(n, np.uint64)
     for j in range(k):
-        key = key << np.uint64(9) | padded[j : j + n]
+        key = key << np.uint64(bits) | padded[j : j + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties have no order: what is alike that far is in one interval
         new = np.zeros(n, np.int64)
         new[1:] = np.cumsum(key[order[1:]] != key[order[:-1]])
         if k >= depth or new[-1] == n - 1:
             return order
         rank = np.empty(n, np.int64)
         rank[order] = new + 1
-        key = rank.astype(np.uint64) * np.uint64(n + 1)
-        key[: n - k] += rank[k:].astype(np.uint64)
-        k *= 2
+        key, times = rank.astype(np.uint64), 3 if 3 * width <= 64 else 2
+        for j in range(1, times):
+            key <<= np.uint64(width)
+            key[: max(0, n - j * k)] |= rank[j * k :].astype(np.uint64)
+        k *= times
 
 
 def expand(x: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """Whether the suffixes order[i - 1] and order[i] differ within `least` symbols (n + 1 places, true at both ends)."""
     n = len(x)
-    bwt = x[order - 1].astype(np.int64)  # the symbol before a suffix; the last one before the first
-    by_symbol = np.argsort(bwt, kind="stable")
+    bwt = x[order - 1]  # the symbol before a suffix; the last one before the first
+    by_symbol = np.argsort(bwt.astype(np.uint16) if x.max() < 1 << 16 else bwt, kind="stable")  # numbers of 16 bits are sorted by their digits
     lf = np.empty(n, np.int64)
     lf[by_symbol] = np.arange(n)
     before, after = np.full(n, -1), np.full(n, n)
@@ -54,8 +57,8 @@ def expand(x: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[of]
         # The first and the last of each symbol in an interval bound the interval of that symbol before it.
         first, last = before[at] < lo[of], after[at] >= hi[of]
-        a, b = lf[at[first]], lf[at[last]] + 1
-        a, b = a[np.argsort(of[first] * 512 + bwt[at[first]], kind="stable")], b[np.argsort(of[last] * 512 + bwt[at[last]], kind="stable")]
+        # Intervals of different strings of one length are apart, so in order their starts and ends are those of the same ones.
+        a, b = np.sort(lf[at[first]]), np.sort(lf[at[last]]) + 1
         new = ~ends[b]
         a, b = a[new], b[new]
         ends[b] = True

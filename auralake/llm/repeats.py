@@ -12,7 +12,7 @@ polynomial modulo 2**64, and 62 bits of polynomials modulo two primes over the s
 3. The earliest blocks that share a gram with other bytes differ somewhere. They are cut into strips of
    windows at most STRIP apart in their distance from the anchor, which share most of their bytes;
    strips of one such core are put through the Burrows-Wheeler expansion (bwt.py), a few thousand bytes
-   to a few hundred thousand at a time. Windows of one interval are equal, and all but the earliest go.
+   to a few hundred thousand at a time; the core's bytes, which all their windows hold, are one symbol there. Windows of one interval are equal, and all but the earliest go.
 4. A core with more than CORE strips, a passage that very many documents frame differently, would gather
    in one task: its windows are counted one by one instead, again by aggregate and join.
 
@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralake.llm.anchors import Checks, Sums, anchors
 from auralake.llm.bwt import repeated
-from auralake.llm.common import CHUNK_BYTES, chunks, columns_text, cut, small, table
+from auralake.llm.common import CHUNK_BYTES, chunks, columns_text, cut, flat, small, table
 
 GRAM, STRIP, CORE, HOT = 32, 16, 512, 1024
 #: Bytes of strips that are expanded at once.
@@ -89,32 +90,41 @@ def _blocks(least: int, size: int):
     return found
 
 
-def _strips(least: int):
-    """Of each listed block of a text its strips: k (a hash of gram, strip and core), bytes and place."""
+def _strips(least: int, size: int):
+    """Of each listed block of a text its strips: k (a hash of gram, strip and core), bytes, place, and place of the core in them."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, t, listed = batch.column("d").to_numpy(), batch.column("t").to_numpy(), batch.column("blocks")
-            texts = columns_text(batch, "text")
-            for i in range(len(texts)):
-                raw = np.frombuffer(texts[i].as_buffer(), np.uint8)
-                own = listed[i].values
-                lo, more, rel, h = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "more", "rel", "h"))
-                # Distances of the windows' starts from the anchor run from rel down to rel - more.
-                s_lo, s_hi = (rel - more) // STRIP, rel // STRIP
-                n = s_hi - s_lo + 1
-                of = np.repeat(np.arange(len(lo)), n)
-                j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + s_lo[of]
-                anchor = (lo + rel)[of]
-                first = anchor - np.minimum(j * STRIP + STRIP - 1, rel[of])
-                last = anchor - np.maximum(j * STRIP, (rel - more)[of])
-                core = anchor - j * STRIP
-                # Only the part of the text around the blocks is summed.
-                a, b = int(lo.min()), int((lo + more).max()) + least
-                sums = Sums(raw[a:b])
-                k = sums.slices(core - a, core - a + least - STRIP + 1, h[of].astype(np.uint64) + j.astype(np.uint64))
-                rows = [raw[x : y + least].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), d[i])), pa.array(np.full(len(k), t[i])), pa.array(first.astype(np.int32)), pa.array(rows, pa.binary())], names=["k", "d", "t", "lo", "bytes"])
+            if not len(batch):
+                continue
+            d, t, listed, texts = batch.column("d").to_numpy(), batch.column("t").to_numpy(), batch.column("blocks"), columns_text(batch, "text")
+            block, offs = listed.flatten(), np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))])
+            lo, more, rel, h = (block.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "more", "rel", "h"))
+            # Only the part of a text around its blocks is summed: from a to b.
+            a, b = np.minimum.reduceat(lo, offs[:-1]), np.maximum.reduceat(lo + more, offs[:-1]) + least
+            whole, i = np.concatenate([[0], np.cumsum(b - a)]), 0
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(whole, whole[i] + size, "right")) - 1)
+                own = slice(offs[i], offs[j])
+                row = np.repeat(np.arange(i, j), np.diff(offs[i : j + 1]))
+                data = b"".join(memoryview(texts[r].as_buffer())[x:y] for r, x, y in zip(range(i, j), a[i:j].tolist(), b[i:j].tolist(), strict=True))
+                yield cores(data, d[row], t[row], (whole[row] - whole[i]) - a[row], lo[own], more[own], rel[own], h[own])
+                i = j
+
+    def cores(data: bytes, d: np.ndarray, t: np.ndarray, base: np.ndarray, lo: np.ndarray, more: np.ndarray, rel: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        """Strips of blocks whose texts begin at base in data."""
+        # Distances of the windows' starts from the anchor run from rel down to rel - more.
+        s_lo, s_hi = (rel - more) // STRIP, rel // STRIP
+        n = s_hi - s_lo + 1
+        of = np.repeat(np.arange(len(lo)), n)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + s_lo[of]
+        anchor, base = (lo + rel)[of], base[of]
+        first = anchor - np.minimum(j * STRIP + STRIP - 1, rel[of])
+        last = anchor - np.maximum(j * STRIP, (rel - more)[of])
+        core = anchor - j * STRIP + base
+        k = Sums(np.frombuffer(data, np.uint8)).slices(core, core + least - STRIP + 1, h[of].astype(np.uint64) + j.astype(np.uint64))
+        rows = [data[x:y] for x, y in zip((first + base).tolist(), (last + base + least).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(d[of]), pa.array(t[of]), pa.array(first.astype(np.int32)), pa.array((core - base - first).astype(np.int32)), pa.array(rows, pa.binary())], names=["k", "d", "t", "lo", "core", "bytes"])
 
     return found
 
@@ -122,47 +132,63 @@ def _strips(least: int):
 def _later(least: int):
     """Spans of windows that an earlier strip of the same core has as well; rows come sorted by core."""
 
-    def spans(rows: list[tuple]) -> pa.RecordBatch | None:
-        d, t, lo = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
-        sizes = np.array([len(r[4]) for r in rows])
-        x = np.zeros(int(sizes.sum()) + len(rows), np.uint16)
+    def spans(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        d, t, lo = (np.concatenate([r.column(c).to_numpy() for r in rows]).astype(np.int64) for c in ("d", "t", "lo"))
+        parts = [flat(r.column("bytes").cast(pa.binary())) for r in rows]
+        sizes = np.concatenate([np.diff(offs) for _, offs in parts])
+        core = np.concatenate([r.column("core").to_numpy() for r in rows]).astype(np.int64)
+        data, width = np.concatenate([raw[offs[0] : offs[-1]] for raw, offs in parts]), least - STRIP + 1
+        # All windows of a strip hold its core, so that is one symbol for its bytes, and a window STRIP symbols.
+        held = (core + np.cumsum(sizes) - sizes)[:, None] + np.arange(width)
+        kinds = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(sizes), [None, pa.py_buffer(data[held])]).dictionary_encode().indices.to_numpy()
+        symbols, rest = data.astype(np.int64) + 1, np.ones(len(data), bool)
+        symbols[held[:, 0]], rest[held[:, 1:]] = 257 + kinds, False
+        sizes = sizes - width + 1
+        x = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        inside = np.arange(sizes.sum()) + np.repeat(np.arange(len(rows)), sizes)
-        x[inside] = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).astype(np.uint16) + 1
-        at, group = repeated(x, least)
-        of = np.searchsorted(starts, at, "right") - 1
+        x[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = symbols[rest]
+        at, group = repeated(x, STRIP)
+        of = np.repeat(np.arange(len(sizes)), sizes + 1)[at]
         within = at - starts[of]
-        fits = within + least <= sizes[of]  # not a suffix that runs into the next strip
+        fits = within + STRIP <= sizes[of]  # not a suffix that runs into the next strip
         of, within, group = of[fits], within[fits], group[fits]
         if not len(of):
             return None
-        order = np.lexsort((lo[of] + within, t[of], d[of], group))
-        of, within, group = of[order], within[order], group[order]
         start = lo[of] + within
-        # The earliest of a group stays, and so does any row that is that very place again.
+        # Documents by their place in the order; a window's place in it is one number, its start below.
+        order = np.lexsort((t, d))
+        rank = np.empty(len(d), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], (d[order[1:]] != d[order[:-1]]) | (t[order[1:]] != t[order[:-1]])]))
+        place = rank[of] << 32 | start
+        # The earliest of a group stays, and so does any row that is that very place again. Groups come one after another.
         head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        first = np.repeat(head, np.diff(np.append(head, len(group))))
-        gone = (d[of] != d[of[first]]) | (t[of] != t[of[first]]) | (start != start[first])
-        of, start = of[gone], start[gone]
-        order = np.lexsort((start, of))
-        of, start = of[order], start[order]
-        if not len(of):
+        gone = place != np.repeat(np.minimum.reduceat(place, head), np.diff(np.append(head, len(group))))
+        if not gone.any():
             return None
-        new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)]))
-        last = np.append(new[1:], len(of)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(d[of[new]]), pa.array(t[of[new]]), pa.array(start[new].astype(np.int32)), pa.array((start[last] + least).astype(np.int32))], names=["d", "t", "s", "e"])
+        both = np.sort(of[gone] << 32 | start[gone])
+        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1] + 1]))
+        last = np.append(new[1:], len(both)) - 1
+        of, low = both[new] >> 32, (1 << 32) - 1
+        return pa.RecordBatch.from_arrays([pa.array(d[of]), pa.array(t[of]), pa.array((both[new] & low).astype(np.int32)), pa.array(((both[last] & low) + least).astype(np.int32))], names=["d", "t", "s", "e"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        size, before = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "d", "t", "lo", "bytes")), strict=True):
-                if size >= EXPAND_BYTES and row[0] != held[-1][0]:
-                    if (out := spans(held)) is not None:
-                        yield out
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            if not len(batch):
+                continue
+            k, ends = batch.column("k").to_numpy(), np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy(zero_copy_only=False), dtype=np.int64)
+            # Rows at which another core begins, and the bytes before each.
+            at = np.flatnonzero(np.concatenate([[before is not None and k[0] != before], k[1:] != k[:-1]]))
+            done, i, before = np.concatenate([[0], ends])[at], 0, k[-1]
+            while (n := int(np.searchsorted(done, EXPAND_BYTES - size + (ends[i - 1] if i else 0)))) < len(at):
+                if at[n] > i:
+                    held.append(batch.slice(i, at[n] - i))
+                if (out := spans(held)) is not None:
+                    yield out
+                held, size, i = [], 0, int(at[n])
+            held.append(batch.slice(i))
+            size += int(ends[-1] - (ends[i - 1] if i else 0))
         if held and (out := spans(held)) is not None:
             yield out
 
@@ -188,21 +214,28 @@ def _windows(least: int):
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, listed = columns_text(batch, "text"), batch.column("spans")
-        out: tuple[list, ...] = ([], [], [], [])
+        n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        counts, own = pc.fill_null(listed.value_lengths(), 0).to_numpy(zero_copy_only=False), listed.flatten()
+        row = np.repeat(np.arange(len(texts)), counts)
+        s, e = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("s", "e"))
+        order = np.argsort(row << 32 | s)
+        s, e = s[order], e[order]
+        # How far the spans up to each one reach: those of a later text reach beyond all others.
+        far = np.maximum.accumulate(row << 32 | e)
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), (row[1:] << 32 | s[1:]) > far[:-1]]))
+        of, starts, ends = row[new], s[new], far[np.append(new[1:], len(s))[: len(new)] - 1] & (1 << 32) - 1
+        runs = np.bincount(of, minlength=len(texts))
+        removed = np.bincount(of, ends - starts, len(texts)).astype(np.int64)
+        first, hashes = np.concatenate([[0], np.cumsum(runs)]).tolist(), []
+        starts, ends = starts.tolist(), ends.tolist()
         for i in range(len(texts)):
-            raw = texts[i].as_buffer()
-            n, own, at, removed, runs, kept = len(raw), listed[i].as_py() or [], 0, 0, 0, hashlib.sha256()
-            for s, e in sorted((v["s"], v["e"]) for v in own):
-                if s > at or not runs:
-                    kept.update(raw[at:s])
-                    runs += 1
-                    at = s
-                removed += max(0, e - at)
-                at = max(at, e)
-            kept.update(raw[at:n])
-            for c, v in enumerate((n, removed, runs, kept.hexdigest())):
-                out[c].append(v)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            raw, at, kept = memoryview(texts[i].as_buffer()), 0, hashlib.sha256()
+            for r in range(first[i], first[i + 1]):
+                kept.update(raw[at : starts[r]])
+                at = ends[r]
+            kept.update(raw[at:])
+            hashes.append(kept.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(runs.astype(np.int64)), pa.array(hashes, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _release(spark: SparkSession) -> None:
@@ -218,7 +251,7 @@ def repeated_spans(docs: DataFrame, least: int = 100, size: int = CHUNK_BYTES) -
     grams = cut(texts.select("text").mapInArrow(_grams(least, size), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     _release(spark)
     blocks = texts.select("d", "t", "text").mapInArrow(_blocks(least, size), "h long, g long, c long, d long, t long, lo int, more int, rel int")
-    blocks = cut(blocks.join(grams, "h"))
+    blocks = cut(blocks.join(grams.hint("shuffle_hash"), "h"))  # each gram is once in few of the blocks: these need no order
     _release(spark)
     place, same = F.struct("d", "t", "lo"), ["h", "g", "c"]
     heads = cut(blocks.groupBy(*same).agg(F.min(place).alias("head"), F.min("more").alias("more"), F.min("rel").alias("rel"), F.count("*").alias("n")))
@@ -232,11 +265,11 @@ def repeated_spans(docs: DataFrame, least: int = 100, size: int = CHUNK_BYTES) -
     listed = heads.join(framed, "h").select("head.d", "head.t", F.struct(F.col("head.lo").alias("lo"), "more", "rel", "h").alias("block"))
     listed = cut(listed.groupBy("d", "t").agg(F.collect_list("block").alias("blocks")))
     _release(spark)
-    strips = cut(texts.select("d", "t", "text").join(listed, _KEY).mapInArrow(_strips(least), "k long, d long, t long, lo int, bytes binary"))
+    strips = cut(texts.select("d", "t", "text").join(listed, _KEY).mapInArrow(_strips(least, size), "k long, d long, t long, lo int, core int, bytes binary"))
     _release(spark)
     cores = cut(strips.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(strips.join(cores, "k"))
-    few = shared.where(F.col("n") <= CORE).select("k", "d", "t", "lo", "bytes")
+    few = shared.where(F.col("n") <= CORE).select("k", "d", "t", "lo", "core", "bytes")
     later = few.repartition("k").sortWithinPartitions("k").mapInArrow(_later(least), "d long, t long, s int, e int")
     single = cut(shared.where(F.col("n") > CORE).select("d", "t", "lo", "bytes").mapInArrow(_windows(least), "w1 long, w2 long, d long, t long, lo int"))
     firsts = cut(single.groupBy("w1", "w2").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"))

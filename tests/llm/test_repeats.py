@@ -131,3 +131,37 @@ def test_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text.encode()) for r in docs.select("doc_id", "text").collect()]
     assert {r.doc_id: tuple(r)[1:] for r in repeats.op5_repeats(spark, "/root/testdata/sf0.001").collect()} == brute(rows)
+
+
+def test_a_core_is_one_symbol_of_the_expansion(monkeypatch):
+    seen = []
+    monkeypatch.setattr(repeats, "repeated", lambda x, least: seen.append(len(x)) or repeated(x, least))
+    monkeypatch.setattr(repeats, "EXPAND_BYTES", 5000)
+    rng = np.random.default_rng(3)
+    random = lambda n: bytes(rng.integers(97, 100, n).astype(np.uint8))
+    rows, cores = [], [random(85) for _ in range(30)]
+    for k in range(20):  # of two cores that share a hash, each is met in its own bytes
+        for i in range(12):
+            left, right = int(rng.integers(0, 16)), int(rng.integers(0, 16))
+            ends = (b"aab" * 5, b"bba" * 5) if i % 2 else (random(15), random(15))
+            row = ends[0][15 - left :] + cores[k + 10 * (i % 3 == 0)] + ends[1][:right]
+            if len(row) >= 100:
+                rows.append((k, 50 - i, 0, 1000 * k, left, row))
+    names = ["k", "d", "t", "lo", "core", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 7], strict=True), kinds, strict=True)], names=names) for i in range(0, len(rows), 7)]
+    got = {(d, w) for b in repeats._later(100)(iter(batches)) for d, s, e in zip(*(b.column(c).to_pylist() for c in ("d", "s", "e")), strict=True) for w in range(s, e - 99)}
+    first, want = {}, set()
+    for k, d, _, lo, _, row in sorted(rows, key=lambda r: (r[0], r[1])):
+        for s in range(len(row) - 99):
+            if first.setdefault((k, row[s : s + 100]), d) != d:
+                want.add((d, lo + s))
+    assert got == want and len(want) > 50
+    assert len(seen) > 2 and 3 * sum(seen) < sum(len(r[5]) for r in rows)
+
+
+def test_expansion_of_many_symbols():
+    x = np.append(np.tile(np.arange(1, 70_000), 2), 0)
+    at, group = repeated(x, 16)
+    inside = at + 16 < len(x)
+    assert sorted(at[inside & (at < 69_999)].tolist()) == [*range(69_984)] and len(np.unique(group[at < 69_984])) == 69_984
